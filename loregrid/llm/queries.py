@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash
+from . import decontaminate, licenses, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op4_license_scan": licenses.op4_license_scan,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
 SQL: dict[str, str] = {
+    "op1_secret_scan": secrets.SQL,
+    "op4_license_scan": licenses.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
 }
