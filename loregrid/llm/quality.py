@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import read, small, stored
@@ -49,6 +50,12 @@ def terms(text: str | None) -> set[bytes]:
     return set(_WORD.findall((text or "").encode("utf-8", "surrogatepass").lower()))
 
 
+def copy_key(text: str | None) -> bytes:
+    """The text's least hash over 3-word shingles: copies and near copies mostly share it."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return min((xxhash.xxh64_digest(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=b"")
+
+
 @dataclass
 class Logistic:
     """Ridge logistic regression on standardised columns."""
@@ -128,9 +135,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     if 0 < q.sum() < len(q):
         model.quality = Logistic.fit(x, q)
     if 0 < t.sum() < len(t):
-        listed = _per_text(held.select("toxic", "text"), lambda ts: pa.array([list(terms(t)) for t in ts], pa.list_(pa.binary())), "array<binary>")
-        counts = listed.select("toxic", F.explode("x").alias("term")).groupBy("term").agg(F.count_if(F.col("toxic") > 0).alias("bad"), F.count_if(F.col("toxic") <= 0).alias("fine"))
-        bad, fine = float(t.sum()), float(len(t) - t.sum())
+        # copies of a document tell of its terms only once
+        listed = _per_text(held.select("toxic", "text"), lambda ts: pa.array([{"key": copy_key(t), "terms": list(terms(t))} for t in ts], pa.struct([("key", pa.binary()), ("terms", pa.list_(pa.binary()))])), "struct<key: binary, terms: array<binary>>")
+        toxic = (F.col("toxic") > 0).alias("toxic")
+        sizes = dict(map(tuple, listed.groupBy(toxic).agg(F.countDistinct("x.key")).collect()))
+        seen = listed.select(toxic, "x.key", F.explode("x.terms").alias("term")).distinct()
+        counts = seen.groupBy("term").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("fine"))
+        bad, fine = float(sizes[True]), float(sizes[False])
         odds = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("fine") + 0.5) / (fine + 1))
         strong = counts.where(F.col("bad") >= max(LEAST_TOXIC, 0.005 * bad)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
         model.lexicon = {bytes(r.term): float(np.log(r.odds)) for r in strong.orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()}
