@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, secrets, simhash
+from . import decontaminate, licenses, lines, mixing, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op3_source_mixing": mixing.op3_source_mixing,
     "op4_license_scan": licenses.op4_license_scan,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op8_line_dedup": lines.op8_line_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
 SQL: dict[str, str] = {
     "op1_secret_scan": secrets.SQL,
+    "op3_source_mixing": mixing.SQL,
     "op4_license_scan": licenses.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
 }
