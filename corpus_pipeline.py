@@ -1,23 +1,55 @@
-"""Corpus pipeline: the stages that turn raw documents into a training mix."""
+"""Corpus pipeline: raw documents to a training mix, stage by stage.
+
+Each stage takes ``(spark, docs, sf_dir)``, where docs has the columns of documents, and returns a DataFrame;
+what it returns is written and read again before the next one starts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loregrid.llm import simhash
+from loregrid.llm import decontaminate, lines, mixing, quality, simhash
+from loregrid.llm.common import read, stored
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that the classifier rejects go."""
+    return quality.accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: of similar lines the first stays; the texts lose the others."""
+    return lines.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-duplicates: one document of each group stays."""
+    """Operator 7: of documents with near fingerprints the one with the smallest doc_id stays."""
     return simhash.deduplicated(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: contaminated documents go."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: a sample by calibrated probabilities; adds the column weight."""
+    return mixing.sample(docs)
+
+
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("benchmark_filter", benchmark_filter),
+    ("source_mix", source_mix),
+]
+#: SQL can't express the fitted classifier or the hashed signatures; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
