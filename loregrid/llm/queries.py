@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lines, mixing, quality, secrets, simhash
+from . import ann, decontaminate, licenses, lines, mixing, quality, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_nearest_neighbours": ann.op2_nearest_neighbours,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op9_warc": warc.op9_warc,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
@@ -22,5 +24,6 @@ SQL: dict[str, str] = {
     "op1_secret_scan": secrets.SQL,
     "op3_source_mixing": mixing.SQL,
     "op4_license_scan": licenses.SQL,
+    "op9_warc": warc.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
 }
