@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, licenses, lines, mixing, quality, secrets, simhash, warc
+from . import ann, chat, decontaminate, licenses, lines, mixing, quality, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": licenses.op4_license_scan,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_warc": warc.op9_warc,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
@@ -24,6 +25,7 @@ SQL: dict[str, str] = {
     "op1_secret_scan": secrets.SQL,
     "op3_source_mixing": mixing.SQL,
     "op4_license_scan": licenses.SQL,
+    "op6_chat_formatting": chat.SQL,
     "op9_warc": warc.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
 }
