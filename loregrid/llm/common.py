@@ -44,17 +44,40 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loregrid/{name}-{uuid.uuid4().hex}"
 
 
+#: Has Spark drop a query's shuffle files as the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written to the shared folder and read again.
 
-    It cuts the lineage: what is read afterwards survives the loss of any executor.
+    It cuts the lineage: what is read afterwards survives the loss of any executor. The shuffle files
+    that the write needed go with it, so that they don't pile up over an operator's steps.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of stored rows that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if "/loregrid/" in file:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` are within the bound, else as it is."""
     return F.broadcast(df) if rows <= most else df
@@ -81,11 +104,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = stored(large, "large")
+        discard(links)
         # small star: a > b holds for every link; each smaller neighbour and the node itself go to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         smaller = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         links = stored(smaller.where("a <> b").distinct(), "small")
+        discard(large)
         now = mark(links)
         if now == before:
             break

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from .common import read, small, stored, words
+from .common import discard, read, small, stored, words
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -118,6 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     terms = stored(items.select(F.explode("iw").alias("term")).distinct(), "terms")
     index = positional_index(docs, terms, terms.count())
     report = stored(_report(docs, phrase_matches(docs, items, index)), "report")
+    discard(index)
     rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     ids = F.coalesce(F.col("item_ids"), F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
@@ -133,6 +134,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
     terms = stored(items.select(F.explode("iw").alias("term")).distinct(), "terms")
     index = positional_index(docs, terms, terms.count())
     report = stored(_report(docs, phrase_matches(docs, items, index)).select("d", "th", "n_hit"), "report")
+    discard(index)
     held = keyed(docs, F.size(words(F.col("text"))).alias("n_words")).join(report, ["d", "th"])
     gone = stored(held.where(F.col("n_hit") * share >= F.col("n_words")).select(F.col("d").alias("_d"), F.col("th").alias("_th")).distinct(), "contaminated")
     own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_th"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import components, read, small, stored
+from .common import components, discard, read, small, stored
 
 #: Characters of a shingle; a shorter line is one shingle.
 SHINGLE = 7
@@ -17,8 +17,12 @@ SHINGLE = 7
 LEAST = 0.8
 #: Signature: lines at the least similarity share a band with probability 1 - (1 - 0.8**5)**16 = 0.998.
 BANDS, ROWS = 16, 5
-#: Dropped lines up to which their list is broadcast.
-MOST_DROPPED = 100_000
+#: Line numbers (of dropped or wanted lines) and bucket hashes up to which their list is broadcast.
+MOST_DROPPED, MOST_BUCKETS = 600_000, 1_000_000
+#: Rounds in which a bucket is compared with one of its lines.
+STARS = 2
+#: 64-bit words of the parity map of a line's shingles.
+MAP_WORDS = 16
 _STEP = 150_000
 _RNG = np.random.default_rng(7)
 _MULTIPLIERS = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -34,6 +38,24 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def parity_map(line: str) -> tuple[int, list[int]]:
+    """Number of distinct shingles, and a bitmap in which each of them flips one bit.
+
+    Two maps differ in at most as many bits as there are shingles in only one of the lines, which bounds their similarity.
+    """
+    some = shingles(line)
+    h = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in some], dtype=np.uint64) % np.uint64(64 * MAP_WORDS)
+    bits = (np.bincount(h.astype(np.int64), minlength=64 * MAP_WORDS) & 1).astype(np.uint8)
+    return len(some), np.packbits(bits).view(np.int64).tolist()
+
+
+def _may_be_alike(na: str, ma: str, nb: str, mb: str, least: float) -> Column:
+    """False only for pairs whose similarity is surely below ``least``, from numbers of shingles and parity maps."""
+    apart = sum((F.bit_count(F.get(ma, F.lit(i)).bitwiseXOR(F.get(mb, F.lit(i)))) for i in range(MAP_WORDS)), F.lit(0))
+    n = F.col(na) + F.col(nb)
+    return (F.least(na, nb) >= least * F.greatest(na, nb)) & (apart <= n * ((1 - least) / (1 + least)) + 1e-6)
+
+
 def band_hashes(lines: list[str]) -> np.ndarray:
     """int64 array of ``BANDS`` columns, a row for each (normal, non-empty) line."""
     out = np.zeros((len(lines), BANDS), dtype=np.uint64)
@@ -99,7 +121,11 @@ def line_signatures(docs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs ``(a, b)`` whose lines' shingle sets are that similar."""
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    maps = texts.select("h", "n", "map")
+    near = pairs.join(maps.toDF("a", "na", "ma"), "a").join(maps.toDF("b", "nb", "mb"), "b").where(_may_be_alike("na", "ma", "nb", "mb", least)).select("a", "b")
+    near = stored(near, "near")  # few of the pairs are left before texts are joined
+    t = texts.select("h", "t")
+    both = near.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +144,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(h, t)``: the normal line of each ``wanted(h, d, th, line)``."""
+    """``(h, t, n, map)``: the normal line of each ``wanted(h, d, th, line)`` and its parity map."""
     n = wanted.count()
     per_doc = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("line", "h")).alias("at"))
     held = docs.select(*_key(), "text").join(small(per_doc, n, MOST_DROPPED), ["d", "th"])
@@ -126,42 +152,68 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, t = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array([normal(x) for x in t], pa.string())], names=["h", "t"])
+            h, t = batch.column(0).to_pylist(), [normal(x) for x in batch.column(1).to_pylist()]
+            n, maps = zip(*map(parity_map, t), strict=True) if t else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(t, pa.string()), pa.array(n, pa.int32()), pa.array(maps, pa.list_(pa.int64()))], names=["h", "t", "n", "map"])
 
-    return lines.select("x.h", F.get("ls", F.col("x.line")).alias("t")).mapInArrow(run, "h binary, t string").dropDuplicates(["h"])
+    return lines.select("x.h", F.get("ls", F.col("x.line")).alias("t")).mapInArrow(run, "h binary, t string, n int, map array<long>").dropDuplicates(["h"])
 
 
 def line_classes(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """Stored ``lines (d, th, line, h)`` and ``classes (h, first)``: each distinct line with its component's first place.
 
-    Places order by doc_id, then line. Equal lines are one class before any pair is made. Buckets are linked
-    first to one member each, which proves most of a large group; then pairs of a bucket that are in
-    different components are verified too, so a large group makes no pairs of its own and no link is lost.
+    Places order by doc_id, then line. Equal lines are one class before any pair is made. In rounds, a bucket's
+    lines are compared with one line of the bucket, another in each round and bucket, which joins a large
+    group with pairs in proportion to its size. Then the pairs of a bucket that are still in different
+    components are compared too, each in the first band that it shares, but for those that their parity
+    maps prove to differ too much: no link of a bucket is lost.
     """
-    lines = stored(line_signatures(docs), "lines")
-    distinct = lines.groupBy("h").agg(F.min(F.struct("d", "line", "th", "bands")).alias("m"))
-    distinct = stored(distinct.select("h", "m.*"), "distinct-lines")
-    posted = distinct.select("h", F.posexplode("bands").alias("band", "v"))
-    shared = posted.groupBy("band", "v").count().where("count > 1").select("band", "v")
-    buckets = stored(posted.join(shared, ["band", "v"]).select(F.xxhash64("band", "v").alias("bucket"), "h"), "buckets")
-    texts = stored(_texts(docs, distinct.join(buckets.select("h").distinct(), "h").select("h", "d", "th", "line")), "texts")
-    lead = buckets.groupBy("bucket").agg(F.min_by("h", F.xxhash64("h", "bucket")).alias("lead"))
-    spokes = buckets.join(lead, "bucket").where(F.col("h") != F.col("lead")).select(F.least("h", "lead").alias("a"), F.greatest("h", "lead").alias("b")).distinct()
-    links = stored(_verified(spokes, texts, least), "links")
-    comp = stored(components(links), "components")
-    rooted = buckets.join(comp.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    rooted = stored(rooted.join(mixed, "bucket"), "mixed")
-    l, r = rooted.select("bucket", F.col("h").alias("a"), F.col("root").alias("ra")), rooted.select("bucket", F.col("h").alias("b"), F.col("root").alias("rb"))
-    across = l.join(r, (l.bucket == r.bucket) & (l.a < r.b) & (l.ra != r.rb)).select("a", "b").distinct().join(spokes, ["a", "b"], "left_anti")
+    signed = stored(line_signatures(docs), "signed")
+    distinct = stored(signed.groupBy("h").agg(F.min(F.struct("d", "line", "th", "bands")).alias("m")).select("h", "m.*"), "distinct-signed")
+    lines = stored(signed.select("d", "th", "line", "h"), "lines")
+    discard(signed)
+    posted = distinct.select("h", F.posexplode("bands").alias("band", "v")).withColumn("bucket", F.xxhash64("band", "v"))
+    shared = stored(posted.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
+    buckets = stored(posted.join(small(shared, shared.count(), MOST_BUCKETS), "bucket").select("bucket", "band", "h"), "buckets")
+    members = stored(distinct.join(buckets.select("h").distinct(), "h"), "members")
+    places = stored(distinct.select("h", F.struct("d", "line").alias("at")), "places")
+    discard(distinct, shared)
+    texts = stored(_texts(docs, members.select("h", "d", "th", "line")), "texts")
+    links = comp = None
+    tried = []
+    for turn in range(STARS):
+        mixed = _mixed(buckets, comp)
+        lead = mixed.groupBy("bucket").agg(F.min_by(F.struct("h", "root"), F.xxhash64("h", "bucket", F.lit(turn))).alias("lead"))
+        spokes = mixed.join(lead, "bucket").where(F.col("root") != F.col("lead.root")).select(F.least("h", "lead.h").alias("a"), F.greatest("h", "lead.h").alias("b")).distinct()
+        tried.append(stored(spokes, "spokes"))
+        more = stored(_verified(tried[-1], texts, least), "links")
+        if links is not None and more.isEmpty():
+            break
+        links = more if links is None else links.union(more)
+        comp = stored(components(links), "components")
+    mixed = stored(_mixed(buckets, comp).join(members.select("h", "bands").join(texts.select("h", "n", "map"), "h"), "h"), "mixed")
+    l, r = (mixed.select("bucket", "band", F.col("root").alias(f"r{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("h", "n", "map", "bands")]) for x in "ab")
+    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("l.band") + 1
+    alike = _may_be_alike("n_a", "map_a", "n_b", "map_b", least)
+    across = l.alias("l").join(r.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("h_a") < F.col("h_b")) & (F.col("ra") != F.col("rb")) & alike & first)
+    across = across.select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
+    for pairs in tried:
+        across = across.join(pairs, ["a", "b"], "left_anti")
     more = stored(_verified(across, texts, least), "links")
     if not more.isEmpty():
         comp = stored(components(links.union(more)), "components")
-    placed = distinct.select("h", F.struct("d", "line").alias("at")).join(comp.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    placed = stored(placed, "placed")
+    placed = stored(places.join(comp.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")), "placed")
     first = placed.groupBy("root").agg(F.min("at").alias("first"))
-    return lines.select("d", "th", "line", "h"), stored(placed.join(first, "root").select("h", "first"), "classes")
+    classes = stored(placed.join(first, "root").select("h", "first"), "classes")
+    discard(buckets, members, places, texts, mixed, placed, *tried)
+    return lines, classes
+
+
+def _mixed(buckets: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``buckets`` with each line's root, without the buckets whose lines are all in one component."""
+    rooted = buckets.withColumn("root", F.col("h")) if comp is None else buckets.join(comp.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    return rooted.join(mixed, "bucket")
 
 
 def _dropped(docs: DataFrame, least: float) -> tuple[DataFrame, int]:
@@ -169,6 +221,7 @@ def _dropped(docs: DataFrame, least: float) -> tuple[DataFrame, int]:
     lines, classes = line_classes(docs, least)
     gone = lines.join(classes, "h").where((F.col("d") != F.col("first.d")) | (F.col("line") != F.col("first.line")))
     gone = stored(gone.groupBy("d", "th").agg(F.collect_set("line").alias("gone")), "dropped")
+    discard(lines, classes)
     return gone, gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
 
 

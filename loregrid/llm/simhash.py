@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import components, read, stored
+from .common import components, discard, read, stored
 
 SHINGLE = 4
 SEED = 42
@@ -85,7 +85,7 @@ def _pairs(postings: DataFrame, lists: list[tuple[int, ...]], max_bits: int, onc
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_LIST) -> DataFrame:
-    """All pairs ``(a, b)``, a < b, of the distinct longs in ``fps.fp`` that differ in at most ``max_bits`` <= 4 bits.
+    """Stored: all pairs ``(a, b)``, a < b, of the distinct longs in ``fps.fp`` that differ in at most ``max_bits`` <= 4 bits.
 
     Fingerprints within 4 bits share at least 4 of their 8 positional bytes. Lists of single bytes
     would pair up every 32nd fingerprint, so postings are kept by triples of positions: any 4 shared
@@ -98,14 +98,20 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_LIST) -> Data
     postings = stored(fps.select("fp", listed).select("fp", "p.list", "p.key"), "postings")
     long_lists = stored(postings.groupBy("list", "key").count().where(F.col("count") > hot).select("list", "key"), "hot")
     if long_lists.isEmpty():
-        return _pairs(postings, triples, max_bits, once=True)
+        return _ending(_pairs(postings, triples, max_bits, once=True), postings)
     rest = postings.join(long_lists, ["list", "key"], "left_anti")
     quads = list(combinations(range(8), 4))
     of = {t: [n for n, q in enumerate(quads) if set(t) <= set(q)] for t in triples}
     longer = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("list"), _key(F.col("fp"), quads[q]).alias("key")) for t, n in enumerate(triples) for q in of[n]])).alias("p")
     heated = postings.join(long_lists, ["list", "key"], "left_semi").select("fp", F.col("list").alias("t")).distinct()
     heated = heated.select("fp", "t", longer).where("p.t = t").select("fp", "p.list", "p.key").distinct()
-    return _pairs(rest, triples, max_bits, once=False).union(_pairs(heated, quads, max_bits, once=False)).distinct()
+    return _ending(_pairs(rest, triples, max_bits, once=False).union(_pairs(heated, quads, max_bits, once=False)).distinct(), postings)
+
+
+def _ending(pairs: DataFrame, postings: DataFrame) -> DataFrame:
+    out = stored(pairs, "pairs")
+    discard(postings)
+    return out
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -117,8 +123,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     fp = stored(fingerprints(docs), "fingerprints")
     classes = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    pairs = stored(links(classes.select("fp"), max_bits), "pairs")
-    comp = components(pairs).withColumnsRenamed({"node": "fp"})
+    comp = components(links(classes.select("fp"), max_bits)).withColumnsRenamed({"node": "fp"})
     joined = classes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     joined = stored(joined, "rooted")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
