@@ -17,7 +17,7 @@ def tags_of(raw: Column) -> Column:
     """Tags of a JSON list or of a comma-separated text, trimmed, without empty ones."""
     listed = F.from_json(raw, "array<string>")
     split = F.when(raw.rlike(r"^\s*\["), listed).otherwise(F.split(raw, ","))
-    return F.filter(F.transform(split, F.trim), lambda x: x != "")
+    return F.filter(F.transform(split, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def values_of(raw: Column, key: str) -> Column:
