@@ -52,9 +52,13 @@ def identifiers(text: Column) -> Column:
 
 def strong_lexical(query: Column, entry: Column) -> Column:
     """An identifier of the query in the entry, a shared run of 3 content words, or 2 shared words of 7 bytes or more."""
-    q, e = content_tokens(query), content_tokens(entry)
+    return strong_tokens(content_tokens(query), content_tokens(entry), identifiers(query), entry)
+
+
+def strong_tokens(q: Column, e: Column, ids: Column, entry: Column) -> Column:
+    """``strong_lexical`` from content words and identifiers that are columns already."""
     rare = F.filter(F.array_intersect(q, e), lambda w: F.octet_length(w) >= RARE_TERM_LEN)
-    return F.exists(identifiers(query), lambda w: F.contains(F.lower(entry), w)) | F.arrays_overlap(shingles(q, PHRASE_LEN), shingles(e, PHRASE_LEN)) | (F.size(rare) >= RARE_TERMS)
+    return F.exists(ids, lambda w: F.contains(F.lower(entry), w)) | F.arrays_overlap(shingles(q, PHRASE_LEN), shingles(e, PHRASE_LEN)) | (F.size(rare) >= RARE_TERMS)
 
 
 def compact_word(word: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.text import content_tokens, recall_terms, strong_lexical
+from ..functions.text import content_tokens, identifiers, recall_terms, strong_tokens
 from . import hybrid, lexical, memory
 
 #: Buckets of the offline embedder; a model's vectors take its place where one is at hand.
@@ -64,8 +64,13 @@ def recall(entries: DataFrame, queries: DataFrame, limit: int, now: int, floor:
     q = hashed(queries.select(F.col("query").alias("id"), "text"), "text").withColumnRenamed("id", "query")
     cos = sparse_cosine(vectors, q).select("query", "id", F.round("cosine", 6).alias("cosine"))
     vec = top(cos, 2 * limit, F.desc("cosine"), F.col("id")).drop("rank")
-    pool = lex.select("query", "id").union(vec.select("query", "id")).distinct().join(entries, "id").join(F.broadcast(queries), "query").join(cos, ["query", "id"], "left")
-    admitted = pool.where(hybrid.admits(strong_lexical(F.col("text"), F.concat_ws(" ", "title", "content")), F.sqrt(2 * (1 - F.least("cosine", F.lit(1.0)))), (2 * (1 - floor)) ** 0.5 + 1e-9))
+    pool = lex.select("query", "id").union(vec.select("query", "id")).distinct()
+    # tokens are made below the joins: a filter above would otherwise make them again for each use
+    whole = F.concat_ws(" ", "title", "content")
+    tokens = entries.join(pool.select("id").distinct(), "id", "left_semi").withColumns({"whole": whole, "_e": content_tokens(whole)})
+    asked = queries.select("query", content_tokens(F.col("text")).alias("_q"), identifiers(F.col("text")).alias("_i"))
+    pool = pool.join(tokens, "id").join(F.broadcast(asked), "query").join(cos, ["query", "id"], "left")
+    admitted = pool.where(hybrid.admits(strong_tokens(F.col("_q"), F.col("_e"), F.col("_i"), F.col("whole")), F.sqrt(2 * (1 - F.least("cosine", F.lit(1.0)))), (2 * (1 - floor)) ** 0.5 + 1e-9))
     keys = admitted.select("query", "id", "cosine", F.round(memory.access_recency(F.lit(now), half_life), 9).alias("recency"), memory.confidence(F.lit(now)).alias("confidence"))
     inside = lambda leg: leg.join(keys.select("query", "id"), ["query", "id"], "left_semi")
     legs = [(inside(lex), [F.desc("lex"), F.col("id")], hybrid.LEXICAL_WEIGHT), (inside(vec), [F.desc("cosine"), F.col("id")], hybrid.VECTOR_WEIGHT), (keys.where("recency > 0").select("query", "id", "recency"), [F.desc("recency"), F.col("id")], 1.0)]

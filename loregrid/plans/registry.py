@@ -30,4 +30,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["RET05"](spark, sf_dir)
 
 
-from . import filters, relational, scalars  # noqa: E402, F401  they register themselves
+from . import filters, relational, scalars, search, graphs, lifecycle  # noqa: E402, F401  they register themselves
