@@ -19,7 +19,7 @@ LEAST = 0.8
 BANDS, ROWS = 16, 5
 #: Line numbers (of dropped or wanted lines) and bucket hashes up to which their list is broadcast.
 MOST_DROPPED, MOST_BUCKETS = 600_000, 1_000_000
-#: Rounds in which a bucket is compared with one of its lines.
+#: Lines of a bucket with which all of it is compared.
 STARS = 2
 #: 64-bit words of the parity map of a line's shingles.
 MAP_WORDS = 16
@@ -43,10 +43,19 @@ def parity_map(line: str) -> tuple[int, list[int]]:
 
     Two maps differ in at most as many bits as there are shingles in only one of the lines, which bounds their similarity.
     """
-    some = shingles(line)
-    h = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in some], dtype=np.uint64) % np.uint64(64 * MAP_WORDS)
-    bits = (np.bincount(h.astype(np.int64), minlength=64 * MAP_WORDS) & 1).astype(np.uint8)
-    return len(some), np.packbits(bits).view(np.int64).tolist()
+    h = np.unique(_rolled(line + "\0" * max(0, SHINGLE - len(line))))
+    bits = (np.bincount((h >> np.uint64(40)).astype(np.int64) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1).astype(np.uint8)
+    return len(h), np.packbits(bits).view(np.int64).tolist()
+
+
+def _rolled(text: str) -> np.ndarray:
+    """A 64-bit hash of each run of ``SHINGLE`` characters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    h = np.zeros(len(codes) - SHINGLE + 1, dtype=np.uint64)
+    for k in range(SHINGLE):
+        h = h * _BASE + codes[k : k + len(h)]
+    h ^= h >> np.uint64(31)
+    return h * _BASE
 
 
 def _may_be_alike(na: str, ma: str, nb: str, mb: str, least: float) -> Column:
@@ -67,14 +76,9 @@ def band_hashes(lines: list[str]) -> np.ndarray:
             to += 1
         some = lines[at:to]
         pad = "\0" * (SHINGLE - 1)
-        codes = np.frombuffer((pad.join(some) + pad).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         n = np.array([len(x) for x in some])
         starts = np.concatenate(([0], np.cumsum(n + SHINGLE - 1)[:-1]))
-        h = np.zeros(len(codes) - SHINGLE + 1, dtype=np.uint64)
-        for k in range(SHINGLE):
-            h = h * _BASE + codes[k : k + len(h)]
-        h ^= h >> np.uint64(31)
-        h = ((h * _BASE) >> np.uint64(32)).astype(np.uint32)
+        h = (_rolled(pad.join(some) + pad) >> np.uint64(32)).astype(np.uint32)
         count = np.maximum(1, n - SHINGLE + 1)
         first = np.concatenate(([0], np.cumsum(count)[:-1]))
         h = h[np.arange(count.sum()) - np.repeat(first - starts, count)]
@@ -160,58 +164,55 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Stored ``lines (d, th, line, h)`` and ``classes (h, first)``: each distinct line with its component's first place.
+    """Stored ``lines (d, th, line, h)`` and ``classes (h, first)``: each line that isn't alone with its component's first place.
 
-    Places order by doc_id, then line. Equal lines are one class before any pair is made. In rounds, a bucket's
-    lines are compared with one line of the bucket, another in each round and bucket, which joins a large
-    group with pairs in proportion to its size. Then the pairs of a bucket that are still in different
+    Places order by doc_id, then line. Equal lines are one class before any pair is made. A bucket's lines are
+    compared with a few of its lines, others in each bucket, which joins a large group with pairs in
+    proportion to its size. Then the pairs of a bucket that are still in different
     components are compared too, each in the first band that it shares, but for those that their parity
     maps prove to differ too much: no link of a bucket is lost.
     """
     signed = stored(line_signatures(docs), "signed")
-    distinct = stored(signed.groupBy("h").agg(F.min(F.struct("d", "line", "th", "bands")).alias("m")).select("h", "m.*"), "distinct-signed")
+    distinct = stored(signed.groupBy("h").agg(F.min(F.struct("d", "line", "th", "bands")).alias("m"), F.count("*").alias("times")).select("h", "times", "m.*"), "distinct-signed")
     lines = stored(signed.select("d", "th", "line", "h"), "lines")
     discard(signed)
-    posted = distinct.select("h", F.posexplode("bands").alias("band", "v")).withColumn("bucket", F.xxhash64("band", "v"))
+    posted = distinct.select("h", F.posexplode("bands").alias("band", "bucket"))  # the hash of a band knows its number
     shared = stored(posted.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
     buckets = stored(posted.join(small(shared, shared.count(), MOST_BUCKETS), "bucket").select("bucket", "band", "h"), "buckets")
-    members = stored(distinct.join(buckets.select("h").distinct(), "h"), "members")
-    places = stored(distinct.select("h", F.struct("d", "line").alias("at")), "places")
+    within = stored(buckets.select("h").distinct(), "within")
+    members = stored(distinct.join(small(within, within.count(), MOST_BUCKETS), "h"), "members")
+    places = stored(distinct.select("h", "times", F.struct("d", "line").alias("at")), "places")
     discard(distinct, shared)
     texts = stored(_texts(docs, members.select("h", "d", "th", "line")), "texts")
-    links = comp = None
-    tried = []
+    spokes = None
     for turn in range(STARS):
-        mixed = _mixed(buckets, comp)
-        lead = mixed.groupBy("bucket").agg(F.min_by(F.struct("h", "root"), F.xxhash64("h", "bucket", F.lit(turn))).alias("lead"))
-        spokes = mixed.join(lead, "bucket").where(F.col("root") != F.col("lead.root")).select(F.least("h", "lead.h").alias("a"), F.greatest("h", "lead.h").alias("b")).distinct()
-        tried.append(stored(spokes, "spokes"))
-        more = stored(_verified(tried[-1], texts, least), "links")
-        if links is not None and more.isEmpty():
-            break
-        links = more if links is None else links.union(more)
-        comp = stored(components(links), "components")
+        lead = buckets.groupBy("bucket").agg(F.min_by("h", F.xxhash64("h", "bucket", F.lit(turn))).alias("lead"))
+        some = buckets.join(lead, "bucket").where(F.col("h") != F.col("lead")).select(F.least("h", "lead").alias("a"), F.greatest("h", "lead").alias("b"))
+        spokes = some if spokes is None else spokes.union(some)
+    spokes = stored(spokes.distinct(), "spokes")
+    links = stored(_verified(spokes, texts, least), "links")
+    comp = stored(components(links), "components")
     mixed = stored(_mixed(buckets, comp).join(members.select("h", "bands").join(texts.select("h", "n", "map"), "h"), "h"), "mixed")
     l, r = (mixed.select("bucket", "band", F.col("root").alias(f"r{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("h", "n", "map", "bands")]) for x in "ab")
     first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("l.band") + 1
     alike = _may_be_alike("n_a", "map_a", "n_b", "map_b", least)
     across = l.alias("l").join(r.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("h_a") < F.col("h_b")) & (F.col("ra") != F.col("rb")) & alike & first)
     across = across.select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
-    for pairs in tried:
-        across = across.join(pairs, ["a", "b"], "left_anti")
-    more = stored(_verified(across, texts, least), "links")
+    more = stored(_verified(across.join(spokes, ["a", "b"], "left_anti"), texts, least), "links")
     if not more.isEmpty():
         comp = stored(components(links.union(more)), "components")
-    placed = stored(places.join(comp.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")), "placed")
+    placed = places.join(small(comp.withColumnRenamed("node", "h"), comp.count(), MOST_BUCKETS), "h", "left")
+    # lines that occur once and resemble no other stay: nobody has to look them up
+    placed = stored(placed.where("times > 1 OR root IS NOT NULL").select("h", "at", F.coalesce("root", "h").alias("root")), "placed")
     first = placed.groupBy("root").agg(F.min("at").alias("first"))
     classes = stored(placed.join(first, "root").select("h", "first"), "classes")
-    discard(buckets, members, places, texts, mixed, placed, *tried)
+    discard(buckets, within, members, places, texts, mixed, placed, spokes)
     return lines, classes
 
 
-def _mixed(buckets: DataFrame, comp: DataFrame | None) -> DataFrame:
+def _mixed(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     """``buckets`` with each line's root, without the buckets whose lines are all in one component."""
-    rooted = buckets.withColumn("root", F.col("h")) if comp is None else buckets.join(comp.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    rooted = buckets.join(small(comp.withColumnRenamed("node", "h"), comp.count(), MOST_BUCKETS), "h", "left").withColumn("root", F.coalesce("root", "h"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     return rooted.join(mixed, "bucket")
 
@@ -219,7 +220,7 @@ def _mixed(buckets: DataFrame, comp: DataFrame | None) -> DataFrame:
 def _dropped(docs: DataFrame, least: float) -> tuple[DataFrame, int]:
     """``(d, th, gone)``: per document the numbers of its lines that aren't their component's first; and how many lines in all."""
     lines, classes = line_classes(docs, least)
-    gone = lines.join(classes, "h").where((F.col("d") != F.col("first.d")) | (F.col("line") != F.col("first.line")))
+    gone = lines.join(small(classes, classes.count(), MOST_BUCKETS), "h").where((F.col("d") != F.col("first.d")) | (F.col("line") != F.col("first.line")))
     gone = stored(gone.groupBy("d", "th").agg(F.collect_set("line").alias("gone")), "dropped")
     discard(lines, classes)
     return gone, gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
