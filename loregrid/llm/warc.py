@@ -48,7 +48,7 @@ def encode_record(page_id: int | None, uri: str | None, payload: bytes, refers_t
         *([] if refers_to is None else [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", PROFILE)]),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))),
     ]
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
 
 
 def member(record: bytes) -> bytes:
@@ -110,7 +110,10 @@ def _fields(head: bytes) -> dict[str, str]:
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             raise Damage("a header line without name")
-        found[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        try:
+            found[name.strip().decode().lower()] = value.strip().decode()
+        except UnicodeDecodeError as e:
+            raise Damage("a header line that isn't UTF-8") from e
     return found
 
 
