@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window as W, functions as F
 
 from ..functions import text as X
-from .registry import query
+from .catalog import query
 from .tables import NOW
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..operators import code as K, duplication as D, graph as G, relational as R
-from .registry import query
+from .catalog import query
 from .relational import _CONNECTED, _RESOLVED, _fps, connected_pairs
 
 

@@ -9,7 +9,7 @@ from ..operators import memory as M, priors as P, relational as R, telemetry as
 from ..sources import logs as L
 from ..streaming import streams as ST
 from .filters import visible, _VISIBLE
-from .registry import query
+from .catalog import query
 from .relational import _SIG
 from .tables import DAY, NOW
 

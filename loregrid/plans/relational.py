@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import text as X
 from ..operators import relational as R
 from .filters import _CURRENT, current, visible
-from .registry import query
+from .catalog import query
 from .tables import DAY, NOW
 
 _HITS = "SELECT doc_id, length(text) - length(replace(text, 'en', '')) AS score FROM documents WHERE contains(text, 'en')"

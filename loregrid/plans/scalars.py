@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import porter, text as X
 from ..operators import memory as M, vectors as V
 from .filters import glob_regex
-from .registry import query
+from .catalog import query
 from .relational import _SHINGLES, _SIG, _TOK
 from .tables import DAY, NOW
 

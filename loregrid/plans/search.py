@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import retrieval as S, vectors as V
 from .filters import _CURRENT, current, visible
-from .registry import query
+from .catalog import query
 from .relational import _SHINGLES, _TOK
 from .scalars import _CONF, _RECENCY
 from .tables import NOW
