@@ -40,7 +40,7 @@ def _(t):
     return G.neighbors(t.doc_links, 5, 2)
 
 
-@query("GRA05", f"""WITH RECURSIVE {_BOTH}, w AS (SELECT 5::BIGINT AS n, [5::BIGINT] AS path, 0 AS d UNION ALL SELECT t, list_append(path, t), d + 1 FROM w JOIN (SELECT DISTINCT f, t FROM b) AS e ON e.f = w.n WHERE d < 2 AND NOT list_contains(path, t))
+@query("GRA05", f"""WITH RECURSIVE {_BOTH}, w AS (SELECT 5::BIGINT AS n, [5::BIGINT] AS path, 0 AS d UNION ALL SELECT t, list_append(path, t), d + 1 FROM w JOIN (SELECT DISTINCT f, t FROM b) AS e ON e.f = w.n WHERE d < 4 AND NOT list_contains(path, t))
     SELECT array_to_string(path, '>') AS path FROM w WHERE n = (SELECT max(src) FROM doc_links) ORDER BY d, w.path LIMIT 1""")
 def _(t):
     far = t.doc_links.agg(F.max("src")).first()[0]
