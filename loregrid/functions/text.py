@@ -23,9 +23,8 @@ RARE_TERM_LEN, RARE_TERMS, PHRASE_LEN = 7, 2, 3
 
 def content_tokens(text: Column) -> Column:
     """Words in lower case, at least 3 bytes long, stop words dropped, in order, repeats kept."""
-    stop = F.array(*map(F.lit, STOPWORDS))
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda w: (F.octet_length(w) >= MIN_TOKEN_BYTES) & ~F.array_contains(stop, w))
+    return F.filter(parts, lambda w: (F.octet_length(w) >= MIN_TOKEN_BYTES) & ~w.isin(STOPWORDS))
 
 
 def recall_terms(text: Column) -> Column:
