@@ -21,9 +21,11 @@ BANDS, ROWS = 16, 5
 MOST_DROPPED, MOST_BUCKETS = 600_000, 1_000_000
 #: Lines of a bucket with which all of it is compared.
 STARS = 2
-#: 64-bit words of the parity map of a line's shingles.
+#: 64-bit words of the parity map of a line's shingles, a power of two.
 MAP_WORDS = 16
 _STEP = 150_000
+#: Band hashes of a part in which shared ones are looked for, and the least number of parts.
+_PART, _LEAST_PARTS = 1 << 22, 256
 _RNG = np.random.default_rng(7)
 _MULTIPLIERS = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -31,6 +33,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def normal(line: str) -> str:
     """Lower case, whitespace runs as one space, none at the ends."""
+    if line.isprintable() and "  " not in line:  # then single spaces are all its whitespace
+        return line.strip(" ").lower()
     return " ".join(line.lower().split())
 
 
@@ -43,8 +47,9 @@ def parity_map(line: str) -> tuple[int, list[int]]:
 
     Two maps differ in at most as many bits as there are shingles in only one of the lines, which bounds their similarity.
     """
-    h = np.unique(_rolled(line + "\0" * max(0, SHINGLE - len(line))))
-    bits = (np.bincount((h >> np.uint64(40)).astype(np.int64) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1).astype(np.uint8)
+    h = np.sort(_rolled(line + "\0" * max(0, SHINGLE - len(line))))
+    h = h[np.concatenate(([True], h[1:] != h[:-1]))]
+    bits = np.bincount(((h >> np.uint64(40)) & np.uint64(64 * MAP_WORDS - 1)).view(np.int64), minlength=64 * MAP_WORDS).astype(np.uint8) & 1
     return len(h), np.packbits(bits).view(np.int64).tolist()
 
 
@@ -53,9 +58,11 @@ def _rolled(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     h = np.zeros(len(codes) - SHINGLE + 1, dtype=np.uint64)
     for k in range(SHINGLE):
-        h = h * _BASE + codes[k : k + len(h)]
+        h *= _BASE
+        h += codes[k : k + len(h)]
     h ^= h >> np.uint64(31)
-    return h * _BASE
+    h *= _BASE
+    return h
 
 
 def _may_be_alike(na: str, ma: str, nb: str, mb: str, least: float) -> Column:
@@ -87,12 +94,13 @@ def band_hashes(lines: list[str]) -> np.ndarray:
         for k, m in enumerate(_MULTIPLIERS):
             np.multiply(h, m, out=turned)
             np.minimum.reduceat(turned, first, out=least[k])
-        for band in range(BANDS):
-            acc = np.full(len(some), band + 1, dtype=np.uint64)
-            for k in range(band * ROWS, (band + 1) * ROWS):
-                acc = (acc ^ least[k]) * _BASE
-                acc ^= acc >> np.uint64(29)
-            out[at:to, band] = acc
+        of = least.reshape(BANDS, ROWS, len(some))
+        acc = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(some), axis=1)
+        for k in range(ROWS):
+            acc ^= of[:, k]
+            acc *= _BASE
+            acc ^= acc >> np.uint64(29)
+        out[at:to] = acc.T
         at = to
     return out.view(np.int64)
 
@@ -123,6 +131,43 @@ def line_signatures(docs: DataFrame) -> DataFrame:
     return docs.select(*_key(), "text").mapInArrow(run, "d long, th long, line int, h binary, bands array<long>")
 
 
+def _shared_buckets(distinct: DataFrame) -> DataFrame:
+    """``(bucket)``: the band hashes that two or more rows of ``distinct(bands)`` have.
+
+    Hashes are counted as sorted blocks, not as a row each: a task cuts a block of them into parts by their
+    leading bits, keeps at most two of each, and a part's blocks meet in one group of about ``_PART`` hashes.
+    """
+    parts = max(_LEAST_PARTS, distinct.count() * BANDS // _PART)
+
+    def cut(v: np.ndarray) -> pa.RecordBatch:
+        v.sort()
+        v = v[np.concatenate((np.ones(min(2, len(v)), dtype=bool), v[2:] != v[:-2]))]
+        part = ((v >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        offsets = np.append(first, len(v)).astype(np.int32) * 8
+        blocks = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(v)])
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int64)), blocks], names=["part", "block"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            n += len(held[-1])
+            if n >= _PART // 2:
+                yield cut(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield cut(np.concatenate(held))
+
+    def repeated(table: pa.Table) -> pa.Table:
+        v = np.frombuffer(b"".join(table.column("block").to_pylist()), dtype=np.int64).copy()
+        v.sort()
+        twice = v[1:][v[1:] == v[:-1]]
+        return pa.table({"bucket": twice[np.concatenate((np.ones(min(1, len(twice)), dtype=bool), twice[1:] != twice[:-1]))]})
+
+    return distinct.select("bands").mapInArrow(blocks, "part long, block binary").groupBy("part").applyInArrow(repeated, "bucket long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs ``(a, b)`` whose lines' shingle sets are that similar."""
     maps = texts.select("h", "n", "map")
@@ -133,11 +178,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, known, last = [], set(), None
+            kept, known, other, last_x, last_y = [], set(), set(), None, None
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if x != last:
-                    known, last = shingles(x), x
-                other = shingles(y)
+                if x != last_x:
+                    known, last_x = shingles(x), x
+                if y != last_y:
+                    other, last_y = shingles(y), y
                 both = len(known & other)
                 if both >= least * (len(known) + len(other) - both):
                     kept.append((a, b))
@@ -177,7 +223,7 @@ def line_classes(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, Data
     lines = stored(signed.select("d", "th", "line", "h"), "lines")
     discard(signed)
     posted = distinct.select("h", F.posexplode("bands").alias("band", "bucket"))  # the hash of a band knows its number
-    shared = stored(posted.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
+    shared = stored(_shared_buckets(distinct), "shared")
     buckets = stored(posted.join(small(shared, shared.count(), MOST_BUCKETS), "bucket").select("bucket", "band", "h"), "buckets")
     within = stored(buckets.select("h").distinct(), "within")
     members = stored(distinct.join(small(within, within.count(), MOST_BUCKETS), "h"), "members")
