@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,11 @@ MOST_FITTED = 32_768
 LIST_SIZE, MOST_LISTS = 128, 2_048
 #: A vector is put in up to REPLICAS lists whose centroids are within this ratio of the nearest one's distance.
 REPLICAS, BOUNDARY = 4, 1.04
-#: A query searches the lists whose centroids are within this ratio of the nearest one's distance, LEAST_LISTS at least.
-PRUNE, LEAST_LISTS = 1.15, 24
-#: Neighbours of a centroid in the graph; centroids that a query's search and a vector's keep in view.
-DEGREE, BEAM, NARROW = 24, 96, 24
+#: A query searches all lists whose centroids are within this ratio of the nearest one's distance, and in any case the
+#: nearest LEAST_LISTS and the nearest SHARE of all lists: a fixed number of them would find less the more there are.
+PRUNE, LEAST_LISTS, SHARE = 1.15, 24, 0.25
+#: Neighbours of a centroid in the graph; centroids that a vector's search keeps in view.
+DEGREE, NARROW = 24, 24
 #: Vectors and queries of one unit of work.
 BLOCK, QUERIES = 2_048, 256
 
@@ -75,7 +77,7 @@ class Index:
         graph = np.array([sorted(x) + [i] * (width - len(x)) for i, x in enumerate(links)])
         return cls(c, graph, np.unique(rng.integers(0, len(c), 16)))
 
-    def nearest(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, x: np.ndarray, beam: int = NARROW) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids that a beam search over the graph finds, nearest first, and their distances; all rows at once."""
         n, k = len(x), len(self.centroids)
         beam = min(beam, k)
@@ -100,14 +102,21 @@ class Index:
         order = np.argsort(d, axis=1, kind="stable")[:, :beam]
         return order, np.take_along_axis(d, order, axis=1)
 
-    def lists(self, x: np.ndarray, ratio: float, least: int, most: int) -> list[list[int]]:
-        """For each row the lists whose centroids are within ``ratio`` of the nearest one's distance."""
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids, nearest first, and their distances: cheaper than the graph once a search sees much of it."""
+        d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] - 2 * x @ self.centroids.T + (self.centroids**2).sum(1)))
+        order = np.argsort(d, axis=1, kind="stable")
+        return order, np.take_along_axis(d, order, axis=1)
+
+    def lists(self, x: np.ndarray, ratio: float, least: int, most: int | None = None) -> list[list[int]]:
+        """For each row the lists whose centroids are within ``ratio`` of the nearest one's distance, ``least`` at least; without ``most`` any number."""
         out = []
         for at in range(0, len(x), 512):
-            near, d = self.nearest(x[at : at + 512], max(NARROW, most))
+            near, d = self.nearest(x[at : at + 512], max(NARROW, most)) if most else self.ranked(x[at : at + 512])
             fits = (d <= ratio * d[:, :1]) & np.isfinite(d)
             fits[:, :least] |= np.isfinite(d[:, :least])
-            fits[:, most:] = False
+            if most:
+                fits[:, most:] = False
             out += [near[i, fits[i]].tolist() for i in range(len(near))]
         return out
 
@@ -128,7 +137,7 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _listed(df: DataFrame, index: Index, ratio: float, least: int, most: int) -> DataFrame:
+def _listed(df: DataFrame, index: Index, ratio: float, least: int, most: int | None = None) -> DataFrame:
     """``df(key, v)`` with a row for each list: ``(key, v, list)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +176,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int |
     index = Index.fit(np.array(sample["v"].tolist()), lists or min(MOST_LISTS, max(1, total // LIST_SIZE)))
     posted = stored(_listed(entries.select("key", "v"), index, BOUNDARY, 1, REPLICAS), "posted")
     distinct = asked.groupBy("v").agg(F.min("vec_id").alias("key"))
-    sought = stored(_listed(distinct, index, PRUNE, LEAST_LISTS, BEAM), "sought")
+    sought = stored(_listed(distinct, index, PRUNE, max(LEAST_LISTS, ceil(SHARE * len(index.centroids)))), "sought")
     units = _blocks(sought, QUERIES, "q").join(_blocks(posted, BLOCK, "p"), "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -186,6 +186,21 @@ def test_neighbours_recall_and_ties(spark):
     assert neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_recall_with_many_lists(spark):
+    from loregrid.llm.ann import neighbours
+
+    x = np.random.default_rng(3).normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours(df, df.where("vec_id % 100 = 0"), lists=800).toPandas()
+    hit = 0
+    for q in range(0, 8000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
+    assert hit / 800 >= 0.8  # lists of ten vectors are far smaller than in use
+
+
 def test_warc_salvage(tmp_path):
     import pyarrow as pa
 
