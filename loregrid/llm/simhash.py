@@ -33,15 +33,19 @@ def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` for every row of ``docs``; fp is the fingerprint's bit pattern as a long."""
+    """``(doc_id, th, fp)`` for every row of ``docs``; th is a hash of the text, fp the fingerprint's bit pattern as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [simhash(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), _text_hash().alias("th")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def cover() -> list[tuple[int, int, int]]:
@@ -122,28 +126,34 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     is never a component_id unless its component has no other. Other columns are not looked at.
     """
     fp = stored(fingerprints(docs), "fingerprints")
-    classes = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    comp = components(links(classes.select("fp"), max_bits)).withColumnsRenamed({"node": "fp"})
-    joined = classes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    joined = stored(joined, "rooted")
+    joined = _rooted(fp, max_bits)
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     per_class = stored(joined.join(least, "root").select("fp", "component_id"), "members")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fp.join(per_class, "fp").select("doc_id", hexed, "component_id")
 
 
+def _rooted(fp: DataFrame, max_bits: int) -> DataFrame:
+    """Stored ``(fp, least, root)``: each distinct fingerprint with its smallest doc_id and its component's root."""
+    classes = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    comp = components(links(classes.select("fp"), max_bits)).withColumnsRenamed({"node": "fp"})
+    return stored(classes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
 def deduplicated(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id.
+    """``docs`` with one row of each component: the one with the smallest doc_id, nulls last, then with the smallest hash of its text.
 
-    Rows without doc_id stay only if their component has no doc_id at all; rows that repeat a kept doc_id go too.
+    Rows are told apart by doc_id and text, so neither a null nor a repeated doc_id takes along rows of other components.
     """
-    found = stored(near_duplicates(docs, max_bits), "near-duplicates")
-    gone = found.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    n, ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    if found.where("doc_id is null and component_id is not null").limit(1).count():
-        kept = kept.where("doc_id is not null")
-    return kept if n == ids else kept.dropDuplicates(["doc_id"])
+    fp = stored(fingerprints(docs), "fingerprints")
+    rows = stored(fp.join(_rooted(fp, max_bits).select("fp", "root"), "fp").select("root", "doc_id", "th"), "members")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
+    gone = stored(rows.join(first, "root").where(other).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct(), "gone")
+    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (_text_hash() == F.col("_th")), "left_anti")
+    if rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("_th", _text_hash()).dropDuplicates(["doc_id", "_th"]).select(docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,15 @@ def test_simhash_links_equal_brute_force(spark, hot):
     assert got == {(a, b) for a, b in itertools.combinations(sorted(signed), 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
 
 
+def test_deduplicated_without_or_with_repeated_doc_id(spark):
+    from loregrid.llm.simhash import deduplicated
+
+    a, b, c, d = (" ".join(hashlib.sha256(f"{x}{i}".encode()).hexdigest() for i in range(30)) for x in "abcd")
+    rows = [(None, a), (3, a), (2, a), (None, b), (None, c), (None, c), (2, d), (5, b + " "), (7, None), (7, "")]
+    got = [tuple(r) for r in deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(((x, y or "") for x, y in got), key=str) == sorted([(2, a), (5, b + " "), (None, c), (2, d), (7, "")], key=str)
+
+
 def test_components_equal_union_find(spark):
     from loregrid.llm.common import components
 
