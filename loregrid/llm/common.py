@@ -83,6 +83,23 @@ def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: Bytes of rows that are broadcast at most.
+MOST_BYTES = 64 << 20
+
+
+def bounded(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted ``rows`` of about ``width`` bytes are within ``MOST_BYTES``, else as it is."""
+    return F.broadcast(df) if rows * (width + 16) <= MOST_BYTES else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters: ``name`` with as many underscores before it as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components: ``(node, root)`` of every node in ``edges``, root the smallest node reachable.
 

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import components, discard, read, small, stored
+from .common import bounded, components, discard, fresh, read, stored
 
 #: Characters of a shingle; a shorter line is one shingle.
 SHINGLE = 7
@@ -17,15 +18,16 @@ SHINGLE = 7
 LEAST = 0.8
 #: Signature: lines at the least similarity share a band with probability 1 - (1 - 0.8**5)**16 = 0.998.
 BANDS, ROWS = 16, 5
-#: Line numbers (of dropped or wanted lines) and bucket hashes up to which their list is broadcast.
-MOST_DROPPED, MOST_BUCKETS = 600_000, 1_000_000
-#: Lines of a bucket with which all of it is compared.
-STARS = 2
 #: 64-bit words of the parity map of a line's shingles, a power of two.
 MAP_WORDS = 16
-_STEP = 150_000
-#: Band hashes of a part in which shared ones are looked for, and the least number of parts.
-_PART, _LEAST_PARTS = 1 << 22, 256
+#: Shingles that are hashed together, lines that a task looks up before it signs one again, lines of one Arrow batch.
+_STEP, _SEEN, _BATCH = 150_000, 500_000, 4_096
+#: Shingles of lines that a task keeps while it verifies pairs.
+_KNOWN = 400_000
+#: Band hashes of a part in which shared ones are looked for, the least number of parts, and rows of one block's bucket that meet others there.
+_PART, _LEAST_PARTS, _MET = 1 << 20, 256, 64
+#: Bits of a band hash that tell buckets of a part apart, and bits that tell lines of a bucket apart.
+_REST, _TAG = 40, 24
 _RNG = np.random.default_rng(7)
 _MULTIPLIERS = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -53,9 +55,13 @@ def parity_map(line: str) -> tuple[int, list[int]]:
     return len(h), np.packbits(bits).view(np.int64).tolist()
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 def _rolled(text: str) -> np.ndarray:
     """A 64-bit hash of each run of ``SHINGLE`` characters."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    codes = _codes(text).astype(np.uint64)
     h = np.zeros(len(codes) - SHINGLE + 1, dtype=np.uint64)
     for k in range(SHINGLE):
         h *= _BASE
@@ -109,201 +115,323 @@ def _key(text: str = "text") -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th")]
 
 
+_SIGNED = pa.schema([("sid", pa.int64()), ("d", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("t", pa.string()), ("bands", pa.binary())])
+
+
 def line_signatures(docs: DataFrame) -> DataFrame:
-    """``(d, th, line, h, bands)`` of every line with any character but whitespace; h: 128-bit hash of the normal line."""
+    """``(sid, d, th, line, h1, h2, t, bands)`` of every line with any character but whitespace.
+
+    sid: a number of its own; t: the normal line; h1, h2: its 128-bit hash; bands: its band hashes as 64-bit
+    words, null where the task has signed an equal line before. Store it before use: a task that runs again may number otherwise.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sid = TaskContext.get().partitionId() << 40
+        seen: set[bytes] = set()
+
+        def made(held: list[tuple], digests: list[bytes], lines: list[str]) -> pa.RecordBatch:
+            nonlocal sid
+            new = []
+            for i, x in enumerate(digests):
+                if x not in seen:
+                    new.append(i)
+                    seen.add(x)
+            bands: list[bytes | None] = [None] * len(lines)
+            raw = band_hashes([lines[i] for i in new]).tobytes()
+            for k, i in enumerate(new):
+                bands[i] = raw[8 * BANDS * k : 8 * BANDS * (k + 1)]
+            if len(seen) > _SEEN:
+                seen.clear()
+            d, th, n = zip(*held, strict=True)
+            h = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            sids = np.arange(sid, sid + len(lines))
+            sid += len(lines)
+            return pa.RecordBatch.from_arrays([pa.array(sids), pa.array(d, pa.int64()), pa.array(th, pa.int64()), pa.array(n, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(lines, pa.string()), pa.array(bands, pa.binary())], schema=_SIGNED)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                held, lines = [], []
-                for d, th, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            held, digests, lines = [], [], []
+            for at in range(0, batch.num_rows, 64):
+                for d, th, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
                     for n, line in enumerate((text or "").split("\n")):
                         if x := normal(line):
-                            held.append((d, th, n, xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass"))))
+                            held.append((d, th, n))
+                            digests.append(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")))
                             lines.append(x)
-                if held:
-                    d, th, n, h = zip(*held, strict=True)
-                    flat = pa.array(band_hashes(lines).ravel())
-                    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(lines) * BANDS + 1, BANDS, dtype=np.int32)), flat)
-                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(th, pa.int64()), pa.array(n, pa.int32()), pa.array(h, pa.binary()), bands], names=["d", "th", "line", "h", "bands"])
+                    if len(lines) >= _BATCH:
+                        yield made(held, digests, lines)
+                        held, digests, lines = [], [], []
+            if lines:
+                yield made(held, digests, lines)
 
-    return docs.select(*_key(), "text").mapInArrow(run, "d long, th long, line int, h binary, bands array<long>")
+    return docs.select(*_key(), "text").mapInArrow(run, "sid long, d long, th long, line int, h1 long, h2 long, t string, bands binary")
 
 
-def _shared_buckets(distinct: DataFrame) -> DataFrame:
-    """``(bucket)``: the band hashes that two or more rows of ``distinct(bands)`` have.
+def shared_buckets(signed: DataFrame) -> DataFrame:
+    """``(bucket, sid)``: the band hashes that two or more different lines of ``signed(sid, h1, bands)`` have, with these lines.
 
-    Hashes are counted as sorted blocks, not as a row each: a task cuts a block of them into parts by their
-    leading bits, keeps at most two of each, and a part's blocks meet in one group of about ``_PART`` hashes.
+    Hashes travel as sorted blocks, not as a row each: a task cuts a block of them into parts by their leading
+    bits, and a part's blocks meet in one group of about ``_PART`` hashes. Equal lines of several tasks count
+    once, by the smallest sid; 24 bits of their hash tell lines of a bucket apart. Of one block's bucket only
+    ``_MET`` lines meet others; the rest is known to share it and passes by, so that no bucket makes a large group.
     """
-    parts = max(_LEAST_PARTS, distinct.count() * BANDS // _PART)
+    parts = max(_LEAST_PARTS, signed.count() * BANDS // _PART)
+    low, tag = np.uint64((1 << _REST) - 1), np.uint64((1 << _TAG) - 1)
 
-    def cut(v: np.ndarray) -> pa.RecordBatch:
-        v.sort()
-        v = v[np.concatenate((np.ones(min(2, len(v)), dtype=bool), v[2:] != v[:-2]))]
-        part = ((v >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    def packed(part: np.ndarray, v: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
+        """Blocks of rows that are sorted by part: the words of v, then those of sid."""
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        offsets = np.append(first, len(v)).astype(np.int32) * 8
-        blocks = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(v)])
-        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int64)), blocks], names=["part", "block"])
+        ends = np.append(first, len(v))[1:]
+        blocks = [v[a:b].tobytes() + sid[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int64)), pa.array(blocks, pa.binary())], names=["part", "block"])
+
+    def cut(sid: np.ndarray, h: np.ndarray, bands: np.ndarray) -> Iterator[pa.RecordBatch]:
+        b = bands.ravel()
+        order = np.argsort(b)  # by part too, which is made of the leading bits
+        b, row = b[order], order // BANDS
+        part = ((b >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        v, sid = ((b & low) << np.uint64(_TAG)) | (h & tag)[row], sid[row]
+        start = np.concatenate(([True], b[1:] != b[:-1]))
+        place = np.arange(len(b)) - np.flatnonzero(start)[np.cumsum(start) - 1]
+        met = place < _MET
+        if met.all():
+            yield packed(part, v, sid)
+            return
+        yield packed(part[met], v[met], sid[met])
+        past = (part[~met] << np.uint64(_REST)) | (b[~met] & low)
+        to = np.sort(np.uint64(parts) + np.arange(len(past), dtype=np.uint64) % np.uint64(parts))
+        yield packed(to, past, sid[~met])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            n += len(held[-1])
-            if n >= _PART // 2:
-                yield cut(np.concatenate(held))
+            if not batch.num_rows:
+                continue
+            bands = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(-1, BANDS)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), bands))
+            n += len(bands)
+            if n * BANDS >= _PART:
+                yield from cut(*map(np.concatenate, zip(*held, strict=True)))
                 held, n = [], 0
         if n:
-            yield cut(np.concatenate(held))
+            yield from cut(*map(np.concatenate, zip(*held, strict=True)))
+
+    def met(table: pa.Table) -> pa.Table:
+        part, words = table.column("part")[0].as_py(), [np.frombuffer(x, dtype=np.uint64).reshape(2, -1) for x in table.column("block").to_pylist()]
+        v, sid = np.concatenate(words, axis=1)
+        if part < parts:
+            order = np.argsort(v)
+            v, sid = v[order], sid[order]
+            once = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            rest, sid = v[once] >> np.uint64(_TAG), np.minimum.reduceat(sid, once)
+            same = np.concatenate(([False], rest[1:] == rest[:-1], [False]))
+            two = same[1:] | same[:-1]
+            v, sid = (np.uint64(part) << np.uint64(_REST)) | rest[two], sid[two]
+        return pa.table({"bucket": v.view(np.int64), "sid": sid.view(np.int64)})
+
+    held = signed.where("bands is not null").select("sid", "h1", "bands").mapInArrow(blocks, "part long, block binary")
+    return held.groupBy("part").applyInArrow(met, "bucket long, sid long")
+
 
-    def repeated(table: pa.Table) -> pa.Table:
-        v = np.frombuffer(b"".join(table.column("block").to_pylist()), dtype=np.int64).copy()
-        v.sort()
-        twice = v[1:][v[1:] == v[:-1]]
-        return pa.table({"bucket": twice[np.concatenate((np.ones(min(1, len(twice)), dtype=bool), twice[1:] != twice[:-1]))]})
+def _ordered(x: Column, y: Column) -> list[Column]:
+    """The ends of a pair as ``a`` and ``b``, b the one whose number has the smaller hash."""
+    turned = F.xxhash64(x) < F.xxhash64(y)
+    return [F.when(turned, y).otherwise(x).alias("a"), F.when(turned, x).otherwise(y).alias("b")]
 
-    return distinct.select("bands").mapInArrow(blocks, "part long, block binary").groupBy("part").applyInArrow(repeated, "bucket long")
+
+def _spokes(buckets: DataFrame) -> DataFrame:
+    """Stored pairs ``(a, b)``: each line of a bucket with its two leads, the lines whose numbers have the smallest and the largest hash.
+
+    Lines that share several buckets mostly have the same leads in all of them.
+    """
+    rank = F.xxhash64("sid")
+    lead = buckets.groupBy("bucket").agg(F.min_by("sid", rank).alias("low"), F.max_by("sid", rank).alias("high"))
+    ends = buckets.join(lead, "bucket").select(F.explode(F.array(F.struct(F.col("sid").alias("a"), F.col("low").alias("b")), F.struct(F.col("high").alias("a"), F.col("sid").alias("b")))).alias("x"))
+    return stored(ends.select("x.*").where("a <> b").distinct(), "spokes")
+
+
+def _surely_alike(x: str, y: str, nx: int, ny: int, least: float) -> bool:
+    """Whether what two lines with ``nx`` and ``ny`` shingles share at their starts and ends is already enough."""
+    most = min(len(x), len(y))
+    if most < SHINGLE:
+        return x == y
+    low, high = 0, most
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if x.startswith(y[:mid]) else (low, mid - 1)
+    start, low, high = low, 0, most - low
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if x.endswith(y[len(y) - mid :]) else (low, mid - 1)
+    same = max(0, start - SHINGLE + 1) + max(0, low - SHINGLE + 1)
+    # of a line's different shingles at most as many are elsewhere as there are places elsewhere
+    both = max(nx - (len(x) - SHINGLE + 1 - same), ny - (len(y) - SHINGLE + 1 - same))
+    return both >= least * (nx + ny - both)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose lines' shingle sets are that similar."""
-    maps = texts.select("h", "n", "map")
-    near = pairs.join(maps.toDF("a", "na", "ma"), "a").join(maps.toDF("b", "nb", "mb"), "b").where(_may_be_alike("na", "ma", "nb", "mb", least)).select("a", "b")
-    near = stored(near, "near")  # few of the pairs are left before texts are joined
-    t = texts.select("h", "t")
-    both = near.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    """Stored: the pairs ``(a, b)`` whose lines' shingle sets are that similar."""
+    maps = texts.select("sid", "n", "map")
+    near = pairs.join(maps.toDF("a", "na", "ma"), "a").join(maps.toDF("b", "nb", "mb"), "b").where(_may_be_alike("na", "ma", "nb", "mb", least)).select("a", "b", "na", "nb")
+    near = stored(near, "near")  # fewer of the pairs are left before texts are joined
+    t = texts.select("sid", "t")
+    both = near.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").select("a", "b", "ta", "tb", "na", "nb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, set[str]] = {}
+        size = 0
+
+        def of(sid: int, line: str) -> set[str]:
+            nonlocal size
+            if (found := known.get(sid)) is None:
+                found = shingles(line)
+                if size + len(found) > _KNOWN:
+                    known.clear()
+                    size = 0
+                known[sid] = found
+                size += len(found)
+            return found
+
         for batch in batches:
-            kept, known, other, last_x, last_y = [], set(), set(), None, None
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if x != last_x:
-                    known, last_x = shingles(x), x
-                if y != last_y:
-                    other, last_y = shingles(y), y
-                both = len(known & other)
-                if both >= least * (len(known) + len(other) - both):
-                    kept.append((a, b))
-            a, b = zip(*kept, strict=True) if kept else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return both.mapInArrow(run, "a binary, b binary")
-
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(h, t, n, map)``: the normal line of each ``wanted(h, d, th, line)`` and its parity map."""
-    n = wanted.count()
-    per_doc = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("line", "h")).alias("at"))
-    held = docs.select(*_key(), "text").join(small(per_doc, n, MOST_DROPPED), ["d", "th"])
-    lines = held.select(F.split("text", "\n").alias("ls"), F.explode("at").alias("x"))
+            keep = []
+            for a, b, x, y, nx, ny in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if _surely_alike(x, y, nx, ny, least):
+                    keep.append(True)
+                    continue
+                p, q = of(a, x), of(b, y)
+                both = len(p & q)
+                keep.append(both >= least * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    out = stored(both.mapInArrow(run, "a long, b long"), "links")
+    discard(near)
+    return out
+
+
+def _texts(signed: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """``(sid, h1, h2, t, n, map)`` of the lines in ``nodes(sid)``, with their parity maps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, t = batch.column(0).to_pylist(), [normal(x) for x in batch.column(1).to_pylist()]
-            n, maps = zip(*map(parity_map, t), strict=True) if t else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(t, pa.string()), pa.array(n, pa.int32()), pa.array(maps, pa.list_(pa.int64()))], names=["h", "t", "n", "map"])
+            size, maps = zip(*map(parity_map, batch.column(3).to_pylist()), strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), pa.array(maps, pa.list_(pa.int64()))], names=["sid", "h1", "h2", "t", "n", "map"])
 
-    return lines.select("x.h", F.get("ls", F.col("x.line")).alias("t")).mapInArrow(run, "h binary, t string, n int, map array<long>").dropDuplicates(["h"])
+    held = signed.select("sid", "h1", "h2", "t").join(bounded(nodes, n, 8), "sid")
+    return held.mapInArrow(run, "sid long, h1 long, h2 long, t string, n int, map array<long>")
 
 
-def line_classes(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Stored ``lines (d, th, line, h)`` and ``classes (h, first)``: each line that isn't alone with its component's first place.
+def _across(buckets: DataFrame, comp: DataFrame, n_comp: int, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` of a bucket that are in different components and that counts and parity maps don't prove apart.
 
-    Places order by doc_id, then line. Equal lines are one class before any pair is made. A bucket's lines are
-    compared with a few of its lines, others in each bucket, which joins a large group with pairs in
-    proportion to its size. Then the pairs of a bucket that are still in different
-    components are compared too, each in the first band that it shares, but for those that their parity
-    maps prove to differ too much: no link of a bucket is lost.
+    Lines meet by bucket and by their number of shingles on a logarithmic scale, on which lines that may be
+    alike are at most one step apart: that splits a large bucket.
+    """
+    rooted = buckets.join(bounded(comp.toDF("sid", "root"), n_comp, 16), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rooted = stored(rooted, "rooted")
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    held = rooted.join(mixed, "bucket").join(texts.select("sid", "n", "map"), "sid")
+    held = stored(held.withColumn("step", F.floor(F.log("n") / float(-np.log(least))).cast("int")), "mixed")
+    l = held.select("bucket", "step", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("map").alias("ma"))
+    r = held.select("bucket", F.explode(F.array(F.col("step"), F.col("step") - 1)).alias("step"), F.col("step").alias("own"), F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("map").alias("mb"))
+    once = (F.col("own") != F.col("l.step")) | (F.col("a") < F.col("b"))
+    on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.step") == F.col("r.step")) & (F.col("ra") != F.col("rb")) & once & _may_be_alike("na", "ma", "nb", "mb", least)
+    out = stored(l.alias("l").join(r.alias("r"), on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    discard(rooted, held)
+    return out
+
+
+def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """Stored ``(d, th, line, class)``: every line that has an equal or a similar one, by component.
+
+    Equal lines are one before any pair is made. A bucket's lines are compared with a few of its lines, which
+    joins a large group with pairs in proportion to its size. Then the pairs of a bucket that are still in
+    different components are compared too, but for those that their parity maps prove to differ too much: no
+    link of a bucket is lost. The second run of components joins whole components of the first.
     """
     signed = stored(line_signatures(docs), "signed")
-    distinct = stored(signed.groupBy("h").agg(F.min(F.struct("d", "line", "th", "bands")).alias("m"), F.count("*").alias("times")).select("h", "times", "m.*"), "distinct-signed")
-    lines = stored(signed.select("d", "th", "line", "h"), "lines")
-    discard(signed)
-    posted = distinct.select("h", F.posexplode("bands").alias("band", "bucket"))  # the hash of a band knows its number
-    shared = stored(_shared_buckets(distinct), "shared")
-    buckets = stored(posted.join(small(shared, shared.count(), MOST_BUCKETS), "bucket").select("bucket", "band", "h"), "buckets")
-    within = stored(buckets.select("h").distinct(), "within")
-    members = stored(distinct.join(small(within, within.count(), MOST_BUCKETS), "h"), "members")
-    places = stored(distinct.select("h", "times", F.struct("d", "line").alias("at")), "places")
-    discard(distinct, shared)
-    texts = stored(_texts(docs, members.select("h", "d", "th", "line")), "texts")
-    spokes = None
-    for turn in range(STARS):
-        lead = buckets.groupBy("bucket").agg(F.min_by("h", F.xxhash64("h", "bucket", F.lit(turn))).alias("lead"))
-        some = buckets.join(lead, "bucket").where(F.col("h") != F.col("lead")).select(F.least("h", "lead").alias("a"), F.greatest("h", "lead").alias("b"))
-        spokes = some if spokes is None else spokes.union(some)
-    spokes = stored(spokes.distinct(), "spokes")
-    links = stored(_verified(spokes, texts, least), "links")
+    places = signed.select("sid", "d", "th", "line", "h1", "h2")
+    repeated = stored(places.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("sid").alias("sid")).where("times > 1").select("h1", "h2", "sid"), "repeated")
+    buckets = stored(shared_buckets(signed), "buckets")
+    nodes = stored(buckets.select("sid").distinct(), "nodes")
+    texts = stored(_texts(signed, nodes, nodes.count()), "texts")
+    spokes = _spokes(buckets)
+    links = _verified(spokes, texts, least)
     comp = stored(components(links), "components")
-    mixed = stored(_mixed(buckets, comp).join(members.select("h", "bands").join(texts.select("h", "n", "map"), "h"), "h"), "mixed")
-    l, r = (mixed.select("bucket", "band", F.col("root").alias(f"r{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("h", "n", "map", "bands")]) for x in "ab")
-    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("l.band") + 1
-    alike = _may_be_alike("n_a", "map_a", "n_b", "map_b", least)
-    across = l.alias("l").join(r.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("h_a") < F.col("h_b")) & (F.col("ra") != F.col("rb")) & alike & first)
-    across = across.select(F.col("h_a").alias("a"), F.col("h_b").alias("b"))
-    more = stored(_verified(across.join(spokes, ["a", "b"], "left_anti"), texts, least), "links")
+    n_comp = comp.count()
+    across = _across(buckets, comp, n_comp, texts, least)
+    more = _verified(across.join(spokes, ["a", "b"], "left_anti"), texts, least)
     if not more.isEmpty():
-        comp = stored(components(links.union(more)), "components")
-    placed = places.join(small(comp.withColumnRenamed("node", "h"), comp.count(), MOST_BUCKETS), "h", "left")
-    # lines that occur once and resemble no other stay: nobody has to look them up
-    placed = stored(placed.where("times > 1 OR root IS NOT NULL").select("h", "at", F.coalesce("root", "h").alias("root")), "placed")
-    first = placed.groupBy("root").agg(F.min("at").alias("first"))
-    classes = stored(placed.join(first, "root").select("h", "first"), "classes")
-    discard(buckets, within, members, places, texts, mixed, placed, spokes)
-    return lines, classes
-
-
-def _mixed(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """``buckets`` with each line's root, without the buckets whose lines are all in one component."""
-    rooted = buckets.join(small(comp.withColumnRenamed("node", "h"), comp.count(), MOST_BUCKETS), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    return rooted.join(mixed, "bucket")
+        comp = _joined(comp, n_comp, more)
+        n_comp = comp.count()
+    found = texts.select("sid", "h1", "h2").join(bounded(comp.toDF("sid", "root"), n_comp, 16), "sid").select("h1", "h2", "root").distinct()
+    keys = stored(repeated.join(found, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("root", "sid").alias("class")), "keys")
+    classes = stored(places.drop("sid").join(bounded(keys, keys.count(), 24), ["h1", "h2"]).select("d", "th", "line", "class"), "classes")
+    discard(signed, repeated, buckets, nodes, texts, spokes, links, across, more, comp, keys)
+    return classes
+
+
+def _joined(comp: DataFrame, n: int, more: DataFrame) -> DataFrame:
+    """Stored: ``comp(node, root)`` with the components that ``more(a, b)`` links made one; ends that are in none are their own."""
+    root = comp.toDF("sid", "root")
+    ends = more.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    alone = ends.join(root, "sid", "left_anti").select(F.col("sid").alias("node"), F.col("sid").alias("root"))
+    of = stored(ends.join(bounded(root, n, 16), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root")), "ends")
+    above = more.join(of.toDF("a", "ra"), "a").join(of.toDF("b", "rb"), "b").select("ra", "rb").distinct()
+    above = stored(components(above, "ra", "rb"), "components").toDF("root", "top")
+    out = stored(comp.union(alone).join(bounded(above, above.count(), 16), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "components")
+    discard(comp, of, above)
+    return out
 
 
 def _dropped(docs: DataFrame, least: float) -> tuple[DataFrame, int]:
-    """``(d, th, gone)``: per document the numbers of its lines that aren't their component's first; and how many lines in all."""
-    lines, classes = line_classes(docs, least)
-    gone = lines.join(small(classes, classes.count(), MOST_BUCKETS), "h").where((F.col("d") != F.col("first.d")) | (F.col("line") != F.col("first.line")))
+    """``(d, th, gone)``: per document the numbers of its lines that aren't their component's first; and about how many bytes these are."""
+    classes = line_classes(docs, least)
+    first = stored(classes.groupBy("class").agg(F.min(F.struct("d", "line", "th")).alias("first")).select("class", "first.*").toDF("class", "fd", "fline", "fth"), "first")
+    other = (F.col("d") != F.col("fd")) | (F.col("line") != F.col("fline")) | (F.col("th") != F.col("fth"))
+    gone = classes.join(bounded(first, first.count(), 32), "class").where(other)
     gone = stored(gone.groupBy("d", "th").agg(F.collect_set("line").alias("gone")), "dropped")
-    discard(lines, classes)
-    return gone, gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
+    discard(classes, first)
+    n, lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    return gone, 40 * n + 8 * lines
 
 
-def _cleaned(docs: DataFrame, least: float, *more: Column) -> DataFrame:
-    gone, n = _dropped(docs, least)
-    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_th"))
-    return docs.join(small(gone.withColumnsRenamed({"d": "_d", "th": "_th", "gone": "_gone"}), n, MOST_DROPPED), own, "left")
+def _cleaned(docs: DataFrame, least: float) -> tuple[DataFrame, str]:
+    """``docs`` with the numbers of its dropped lines, in the column that is named too."""
+    gone, size = _dropped(docs, least)
+    d, th, name = (fresh(docs, x) for x in ("d", "th", "gone"))
+    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col(d)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(th))
+    return docs.join(bounded(gone.toDF(d, th, name), 1, size), own, "left").drop(d, th), name
 
 
-_KEPT = "array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(_gone, i)), '\\n')"
+def _kept(gone: str) -> Column:
+    return F.expr(f"array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains({gone}, i)), '\\n')")
 
 
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """``docs`` with one line of each component of similar lines, the first by doc_id and line number; n_chars follows.
+    """``docs`` with one line of each component of similar lines, the first by doc_id, line number and hash of the text; n_chars follows.
 
     Blank lines stay. A document may lose all its lines; its row stays with an empty text. Null texts stay null.
-    Rows that repeat doc_id and text are treated alike. Other columns pass through.
+    A null doc_id comes before any other. Rows that repeat doc_id and text are treated alike. Other columns pass
+    through, whatever their names.
     """
     names = docs.columns
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr(_KEPT))
-    out = _cleaned(docs, least).withColumn("text", text)
+    held, gone = _cleaned(docs, least)
+    out = held.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(_kept(gone)))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(names)
 
 
 def line_report(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_lines, n_removed, and the SHA-256 of the text that is left (null: empty)."""
+    """One row per row of ``docs``: doc_id, n_lines, n_removed, and the SHA-256 of the text that is left (null: empty). Other columns are not looked at."""
     docs = docs.select("doc_id", "text")
-    kept = F.coalesce(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr(_KEPT)), F.lit(""))
-    return _cleaned(docs, least).select(
+    held, gone = _cleaned(docs, least)
+    kept = F.coalesce(F.when(F.col(gone).isNull(), F.col("text")).otherwise(_kept(gone)), F.lit(""))
+    return held.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"),
     )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``line_report`` of all documents; nulls, repeats and ties as there."""
     return line_report(read(spark, sf_dir, "documents"))

@@ -155,18 +155,6 @@ def test_parity_map_bounds_difference():
     assert (na, nb) == (len(lines.shingles(a)), len(lines.shingles(b))) and apart <= len(lines.shingles(a) ^ lines.shingles(b))
 
 
-def test_shared_buckets_are_all_found(spark):
-    from loregrid.llm import lines
-
-    base = "the quick brown fox jumps over the lazy dog near the old stone bridge at noon "
-    many = [(k, base + str(k if k % 3 == 0 else k * 7919) + "\n" + hashlib.sha256(str(k).encode()).hexdigest()) for k in range(600)]
-    for rows in ([], [(1, None), (2, ""), (3, "x"), (None, "y\ny")], many):
-        signed = lines.line_signatures(spark.createDataFrame(rows, "doc_id long, text string"))
-        got = [r.bucket for r in lines._shared_buckets(signed).collect()]
-        want = signed.select(F.explode("bands").alias("b")).groupBy("b").count().where("count > 1").collect()
-        assert sorted(got) == sorted(r.b for r in want)
-
-
 def test_normal_is_the_same_on_both_ways():
     from loregrid.llm import lines
 
