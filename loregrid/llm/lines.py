@@ -44,7 +44,7 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def parity_map(line: str) -> tuple[int, list[int]]:
+def parity_map(line: str) -> tuple[int, np.ndarray]:
     """Number of distinct shingles, and a bitmap in which each of them flips one bit.
 
     Two maps differ in at most as many bits as there are shingles in only one of the lines, which bounds their similarity.
@@ -52,7 +52,7 @@ def parity_map(line: str) -> tuple[int, list[int]]:
     h = np.sort(_rolled(line + "\0" * max(0, SHINGLE - len(line))))
     h = h[np.concatenate(([True], h[1:] != h[:-1]))]
     bits = np.bincount(((h >> np.uint64(40)) & np.uint64(64 * MAP_WORDS - 1)).view(np.int64), minlength=64 * MAP_WORDS).astype(np.uint8) & 1
-    return len(h), np.packbits(bits).view(np.int64).tolist()
+    return len(h), np.packbits(bits).view(np.int64)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -313,7 +313,9 @@ def _texts(signed: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, maps = zip(*map(parity_map, batch.column(3).to_pylist()), strict=True) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), pa.array(maps, pa.list_(pa.int64()))], names=["sid", "h1", "h2", "t", "n", "map"])
+            flat = np.concatenate(maps) if maps else np.zeros(0, dtype=np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * MAP_WORDS), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), listed], names=["sid", "h1", "h2", "t", "n", "map"])
 
     held = signed.select("sid", "h1", "h2", "t").join(bounded(nodes, n, 8), "sid")
     return held.mapInArrow(run, "sid long, h1 long, h2 long, t string, n int, map array<long>")
@@ -323,19 +325,22 @@ def _across(buckets: DataFrame, comp: DataFrame, n_comp: int, texts: DataFrame,
     """Pairs ``(a, b)`` of a bucket that are in different components and that counts and parity maps don't prove apart.
 
     Lines meet by bucket and by their number of shingles on a logarithmic scale, on which lines that may be
-    alike are at most one step apart: that splits a large bucket.
+    alike are at most one step apart: that splits a large bucket. Each pair comes from the first bucket that it shares.
     """
     rooted = buckets.join(bounded(comp.toDF("sid", "root"), n_comp, 16), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rooted = stored(rooted, "rooted")
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    held = rooted.join(mixed, "bucket").join(texts.select("sid", "n", "map"), "sid")
+    met = stored(rooted.join(mixed, "bucket"), "met")
+    own = met.groupBy("sid").agg(F.collect_list("bucket").alias("own_buckets"))  # as many as there are bands at most
+    held = met.join(own, "sid").join(texts.select("sid", "n", "map"), "sid")
     held = stored(held.withColumn("step", F.floor(F.log("n") / float(-np.log(least))).cast("int")), "mixed")
-    l = held.select("bucket", "step", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("map").alias("ma"))
-    r = held.select("bucket", F.explode(F.array(F.col("step"), F.col("step") - 1)).alias("step"), F.col("step").alias("own"), F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("map").alias("mb"))
+    l = held.select("bucket", "step", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("map").alias("ma"), F.col("own_buckets").alias("xa"))
+    r = held.select("bucket", F.explode(F.array(F.col("step"), F.col("step") - 1)).alias("step"), F.col("step").alias("own"), F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("map").alias("mb"), F.col("own_buckets").alias("xb"))
     once = (F.col("own") != F.col("l.step")) | (F.col("a") < F.col("b"))
-    on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.step") == F.col("r.step")) & (F.col("ra") != F.col("rb")) & once & _may_be_alike("na", "ma", "nb", "mb", least)
+    first = F.array_min(F.array_intersect("xa", "xb")) == F.col("l.bucket")
+    on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.step") == F.col("r.step")) & (F.col("ra") != F.col("rb")) & once & _may_be_alike("na", "ma", "nb", "mb", least) & first
     out = stored(l.alias("l").join(r.alias("r"), on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
-    discard(rooted, held)
+    discard(rooted, met, held)
     return out
 
 
@@ -425,9 +430,10 @@ def line_report(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, and the SHA-256 of the text that is left (null: empty). Other columns are not looked at."""
     docs = docs.select("doc_id", "text")
     held, gone = _cleaned(docs, least)
-    kept = F.coalesce(F.when(F.col(gone).isNull(), F.col("text")).otherwise(_kept(gone)), F.lit(""))
+    text = F.coalesce("text", F.lit(""))
+    kept = F.when(F.col(gone).isNull(), text).otherwise(_kept(gone))
     return held.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"),
     )
 
