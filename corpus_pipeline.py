@@ -33,7 +33,10 @@ def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: a sample by calibrated probabilities; adds the column weight."""
+    """Operator 3: a sample by calibrated probabilities that holds a set share of the tokens; adds the column weight (``_weight`` if taken).
+
+    Documents without words (null or empty texts) have probability 0; repeated rows share their fate; an empty table stays empty.
+    """
     return mixing.sample(docs)
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read, small, stored
+from .common import fresh, read, small, stored
 
 #: Margins in the order in which they are raked, and the power of a category's share of tokens that is its default target.
 MARGINS = {"source": 0.7, "lang": 0.5, "topic": 0.7}
-ROUNDS = 8
+#: Rounds of raking at least; more follow, up to a limit, while a margin is further from its target than the tolerance (relative).
+ROUNDS, MOST_ROUNDS, TOLERANCE = 8, 200, 0.01
+#: Token budget: the share of all tokens that the sample is to hold in expectation.
+TOKEN_SHARE = 0.25
 #: Categories of a margin up to which its factors are broadcast.
 MOST_CATEGORIES = 100_000
 #: Digits of the hash that is compared with a probability.
@@ -27,11 +30,16 @@ def topic_of(text: Column, tokens: Column) -> Column:
 
 
 def categorised(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_source``, ``_lang``, ``_topic`` and ``_tokens``; null categories are the category ''. A column ``topic`` is used if there is one."""
-    out = docs.withColumn("_tokens", n_tokens(F.col("text")))
-    topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.coalesce("text", F.lit("")), F.col("_tokens"))
-    name = lambda c: F.coalesce(F.col(c).cast("string") if c in docs.columns else F.lit(None), F.lit(""))
-    return out.select("*", name("source").alias("_source"), name("lang").alias("_lang"), F.coalesce(topic, F.lit("")).alias("_topic"))
+    """``(row, key, _source, _lang, _topic, _tokens)``: each row of ``docs`` as a struct, so that no column of its own clashes, its doc_id as text and its categories.
+
+    Null categories are the category ''. A column ``topic`` is used if there is one.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    of = lambda c: F.col(f"row.`{c}`").cast("string") if c in docs.columns else F.lit(None).cast("string")
+    out = docs.select(row).select("row", n_tokens(F.col("row.text")).alias("_tokens"))
+    topic = of("topic") if "topic" in docs.columns else topic_of(F.coalesce("row.text", F.lit("")), F.col("_tokens"))
+    name = lambda c: F.coalesce(c, F.lit(""))
+    return out.select("row", name(of("doc_id")).alias("key"), name(of("source")).alias("_source"), name(of("lang")).alias("_lang"), name(topic).alias("_topic"), "_tokens")
 
 
 def default_targets(cells: DataFrame) -> DataFrame:
@@ -44,19 +52,20 @@ def default_targets(cells: DataFrame) -> DataFrame:
     return each.join(total, "margin").select("margin", "category", (F.col("t") / F.col("total")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, most: int = MOST_ROUNDS) -> DataFrame:
     """Stored factors ``(margin, category, factor)`` that fit ``cells(_source, _lang, _topic, n)`` to ``targets``.
 
     A cell's fitted weight is n times the product of its three factors. Each step sets one margin's factors
-    to target / (sum of n times the other factors); the last margin is met exactly, the others as closely as
-    the rounds bring them. Categories without tokens or without target get no factor and no weight.
+    to target / (sum of n times the other factors), so the last margin is met exactly. After ``rounds`` rounds
+    the others are measured, and rounds go on until they are within ``TOLERANCE``; ``most`` rounds that don't
+    get there (targets that no weights can meet) raise. Categories without tokens or without target get no factor and no weight.
     """
     targets = stored(targets, "targets")
     factors = stored(targets.select("margin", "category", F.lit(1.0).alias("factor")), "factors")
     names = list(MARGINS)
     rows = targets.groupBy("margin").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(rounds):
-        f = {m: factors.where(F.col("margin") == m).select(F.col("category").alias(f"_{m}"), F.col("factor").alias(f"f_{m}")) for m in names}
+    for done in range(1, most + 1):
+        f = {m: _factors(factors, m) for m in names}
         for m in names:
             weighted, product = cells, F.col("n")
             for other in names:
@@ -69,47 +78,100 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS) -> DataFram
             part = f[m].select(F.lit(m).alias("margin"), F.col(f"_{m}").alias("category"), F.col(f"f_{m}").alias("factor"))
             union = part if union is None else union.union(part)
         factors = stored(union, "factors")
-    return factors
+        if done >= rounds and _distance(_weighted(cells, factors), targets) <= TOLERANCE:
+            return factors
+    raise ValueError(f"the margins can't all be met: {most} rounds of raking left one {_distance(_weighted(cells, factors), targets):.2g} from its target")
+
+
+def _factors(factors: DataFrame, margin: str) -> DataFrame:
+    return factors.where(F.col("margin") == margin).select(F.col("category").alias(f"_{margin}"), F.col("factor").alias(f"f_{margin}"))
+
+
+def _weighted(cells: DataFrame, factors: DataFrame) -> DataFrame:
+    """``cells`` with tokens and factors, and ``w``, the weight of one token."""
+    out, product = cells.where("n > 0"), F.lit(1.0)
+    for m in MARGINS:
+        out, product = out.join(_factors(factors, m), f"_{m}"), product * F.col(f"f_{m}")
+    return out.select("_source", "_lang", "_topic", "n", product.alias("w"))
+
 
+def _shares(weighted: DataFrame, tokens: Column, name: str) -> DataFrame:
+    """``(margin, category, name)``: each category's share of ``tokens``."""
+    at = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(f"_{m}").alias("category")) for m in MARGINS])).alias("x")
+    sums = weighted.select(at, tokens.alias("v")).groupBy("x.margin", "x.category").agg(F.sum("v").alias("v"))
+    total = sums.groupBy("margin").agg(F.sum("v").alias("t"))
+    return sums.join(total, "margin").select("margin", "category", F.when(F.col("t") > 0, F.col("v") / F.col("t")).otherwise(0.0).alias(name))
 
-def mixed(docs: DataFrame, targets: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with ``_source, _lang, _topic, _tokens``, ``weight``, ``probability`` and ``sampled``.
 
-    weight: the calibrated weight of one token, raked over all documents' tokens, divided by the largest cell's;
-    it is the probability with which the document is sampled, the same rows in every run (hash of doc_id).
-    Documents without tokens, or of a category without target, have weight 0. Repeated doc_ids share their fate.
+def _distance(weighted: DataFrame, targets: DataFrame) -> float:
+    """The largest relative distance of a fitted margin from its target, among categories that have tokens."""
+    met = _shares(weighted, F.col("n") * F.col("w"), "share").join(targets, ["margin", "category"]).where("target > 0")
+    return met.agg(F.max(F.abs(F.col("share") / F.col("target") - 1))).first()[0] or 0.0
+
+
+def _scale(weighted: DataFrame, share: float) -> float:
+    """The c for which the probabilities min(1, c * w) make the sample hold ``share`` of all tokens in expectation.
+
+    Cells that reach probability 1 are set aside and the rest is scaled anew, until no further cell does: a cell
+    of large weight and few tokens thus costs the others nothing, however much data comes in.
+    """
+    c, full = 0.0, -1
+    while True:
+        sure = F.col("w") * F.lit(c) >= 1
+        x = weighted.agg(F.sum("n").alias("n"), F.count_if(sure).alias("k"), F.sum(F.when(sure, F.col("n"))).alias("full"), F.sum(F.when(~sure, F.col("n") * F.col("w"))).alias("rest")).first()
+        if not x.n or not x.rest:
+            return float("inf")
+        if x.k == full:
+            return c
+        c, full = (share * x.n - (x.full or 0)) / x.rest, x.k
+
+
+def mixed(docs: DataFrame, targets: DataFrame | None = None, rounds: int = ROUNDS, share: float = TOKEN_SHARE) -> DataFrame:
+    """``categorised(docs)`` with ``probability`` and ``sampled``.
+
+    A document's probability is the calibrated weight of one of its tokens, raked over all documents' tokens, times a
+    factor for which the sample holds ``share`` of all tokens in expectation; 1 at most. The same rows are sampled
+    in every run (hash of doc_id). Documents without tokens, or of a category without target, have probability 0.
+    Repeated doc_ids of one category share their fate.
     """
     held = categorised(docs)
     cells = stored(held.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("n")), "cells")
-    factors = rake(cells, targets if targets is not None else default_targets(cells), rounds)
-    weighted, product = cells.where("n > 0"), F.lit(1.0)
-    for m in MARGINS:
-        f = factors.where(F.col("margin") == m).select(F.col("category").alias(f"_{m}"), F.col("factor").alias(f"f_{m}"))
-        weighted, product = weighted.join(f, f"_{m}"), product * F.col(f"f_{m}")
-    weighted = stored(weighted.select("_source", "_lang", "_topic", product.alias("w")), "weights")
-    n, top = weighted.agg(F.count("*"), F.max("w")).first()
-    weight = F.when(F.col("_tokens") > 0, F.coalesce(F.col("w") / F.lit(top or 1.0), F.lit(0.0))).otherwise(0.0)
-    u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, _HEX), 16, 10).cast("double") / F.lit(float(16**_HEX))
-    out = held.join(small(weighted, n, MOST_CATEGORIES), ["_source", "_lang", "_topic"], "left")
-    return out.withColumn("weight", F.round(weight, 9)).withColumn("probability", F.col("weight")).withColumn("sampled", u < F.col("probability")).drop("w")
+    weighted = stored(_weighted(cells, rake(cells, targets if targets is not None else default_targets(cells), rounds)), "weights")
+    c = _scale(weighted, share)
+    p = weighted.select("_source", "_lang", "_topic", F.when(F.col("w") > 0, F.least(F.lit(1.0), F.col("w") * F.lit(c))).otherwise(0.0).alias("p"))
+    u = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, _HEX), 16, 10).cast("double") / F.lit(float(16**_HEX))
+    out = held.join(small(p, weighted.count(), MOST_CATEGORIES), ["_source", "_lang", "_topic"], "left")
+    out = out.withColumn("probability", F.when(F.col("_tokens") > 0, F.round(F.coalesce("p", F.lit(0.0)), 9)).otherwise(0.0)).drop("p")
+    return out.withColumn("sampled", u < F.col("probability"))
+
+
+def sample(docs: DataFrame, targets: DataFrame | None = None, share: float = TOKEN_SHARE) -> DataFrame:
+    """The sampled documents with all their columns and ``weight``, the probability (``_weight`` if there is a weight already)."""
+    return mixed(docs, targets, share=share).where("sampled").select("row.*", F.col("probability").alias(fresh(docs, "weight")))
 
 
-def sample(docs: DataFrame) -> DataFrame:
-    """The sampled documents with their columns and ``weight``."""
-    clash = [c for c in ("weight", "probability", "sampled") if c in docs.columns]
-    return mixed(docs.drop(*clash)).where("sampled").select(*[c for c in docs.columns if c not in clash], "weight")
+def margins(docs: DataFrame, targets: DataFrame | None = None, share: float = TOKEN_SHARE) -> DataFrame:
+    """``(margin, category, target, expected, realised)``: shares of tokens that were aimed at, are expected by the probabilities, and that the sample holds."""
+    if targets is None:
+        cells = stored(categorised(docs).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("n")), "cells")
+        targets = stored(default_targets(cells), "targets")
+    m = mixed(docs, targets, share=share)
+    sums = stored(m.groupBy("_source", "_lang", "_topic").agg(F.sum(F.col("_tokens") * F.col("probability")).alias("e"), F.sum(F.when(F.col("sampled"), F.col("_tokens")).otherwise(0)).alias("s")), "realised")
+    out = targets.select("margin", "category", "target")
+    return out.join(_shares(sums, F.col("e"), "expected"), ["margin", "category"], "left").join(_shares(sums, F.col("s"), "realised"), ["margin", "category"], "left").fillna(0.0)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, lang, topic, n_tokens, probability, sampled."""
     keep = [c for c in ("doc_id", "text", "source", "lang", "topic") if c in docs.columns]
     return mixed(docs.select(keep)).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
+        F.col("row.doc_id").cast("long").alias("doc_id"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"),
         F.col("_tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), "sampled",
     )
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix_report`` of all documents; nulls, repeats and documents without words as in ``mixed``."""
     return mix_report(read(spark, sf_dir, "documents"))
 
 
@@ -132,8 +194,16 @@ def _sql(rounds: int = ROUNDS) -> str:
             at[m] = k
     joins = " ".join(f"JOIN f_{m}_{rounds} USING ({m})" for m in MARGINS)
     product = " * ".join(f"f_{m}_{rounds}.f" for m in MARGINS)
-    ctes.append(f"w AS MATERIALIZED (SELECT source, lang, topic, {product} AS w FROM cells {joins} WHERE n > 0)")
-    ctes.append("p AS (SELECT t.*, CASE WHEN n_tokens > 0 THEN round(coalesce(w / (SELECT max(w) FROM w), 0), 9) ELSE 0 END AS p FROM t LEFT JOIN w USING (source, lang, topic))")
+    ctes.append(f"w AS MATERIALIZED (SELECT source, lang, topic, n, {product} AS w FROM cells {joins} WHERE n > 0)")
+    # the first k cells by weight are sure; the first k that leaves the next one below 1 is the solution
+    budget = f"{TOKEN_SHARE} * (SELECT sum(n) FROM w)"
+    by_weight = "ORDER BY w DESC, source, lang, topic"
+    ctes.append(
+        f"k AS MATERIALIZED (SELECT 0 AS k, {budget} / sum(n * w) AS c, max(w) AS nxt FROM w UNION ALL SELECT row_number() OVER ({by_weight}), "
+        f"({budget} - sum(n) OVER ({by_weight} ROWS UNBOUNDED PRECEDING)) / sum(n * w) OVER ({by_weight} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), lead(w) OVER ({by_weight}) FROM w)"
+    )
+    ctes.append("s AS MATERIALIZED (SELECT coalesce(arg_min(c, k), 1e300) AS c FROM k WHERE c * nxt < 1)")
+    ctes.append("p AS (SELECT t.*, CASE WHEN n_tokens > 0 THEN round(coalesce(least(1, w * (SELECT c FROM s)), 0), 9) ELSE 0 END AS p FROM t LEFT JOIN w USING (source, lang, topic))")
     return f"WITH {', '.join(ctes)} SELECT doc_id, source, lang, topic, n_tokens, round(p, 6)::DOUBLE AS probability, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {_HEX}))::BIGINT / {float(16**_HEX)!r}::DOUBLE < p AS sampled FROM p"
 
 
