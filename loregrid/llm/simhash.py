@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import components, discard, read, stored
+from .common import components, discard, fresh, read, stored
 
 SHINGLE = 4
 SEED = 42
@@ -76,13 +76,16 @@ def _first(x: Column, lists: list[tuple[int, ...]]) -> Column:
     return out
 
 
-def _pairs(postings: DataFrame, lists: list[tuple[int, ...]], max_bits: int, once: bool) -> DataFrame:
-    left = postings.select("list", "key", F.col("fp").alias("a"))
-    right = postings.select("list", "key", F.col("fp").alias("b"))
+def _pairs(postings: DataFrame, lists: list[tuple[int, ...]], max_bits: int, once: bool, root: bool = False) -> DataFrame:
+    more = ["root"] if root else []
+    left = postings.select("list", "key", F.col("fp").alias("a"), *more)
+    right = postings.select("list", "key", F.col("fp").alias("b"), *more)
     x = F.col("a").bitwiseXOR(F.col("b"))
     shared = sum((F.when(_byte(x, i) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
     # conditions of the join itself: only links leave it; with ``once``, each from the first list that its ends share
     meets = (F.col("l.list") == F.col("r.list")) & (F.col("l.key") == F.col("r.key")) & (F.col("a") < F.col("b")) & (shared >= 8 - max_bits) & (F.bit_count(x) <= max_bits)
+    if root:
+        meets = meets & (F.col("l.root") != F.col("r.root"))
     if once:
         meets = meets & (_first(x, lists) == F.col("l.list"))
     return left.alias("l").join(right.alias("r"), meets).select("a", "b")
@@ -98,18 +101,59 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_LIST) -> Data
     the same lists, each split by a further shared byte, which any such pair has too.
     """
     triples = cover()
-    listed = F.explode(F.array(*[F.struct(F.lit(n).alias("list"), _key(F.col("fp"), at).alias("key")) for n, at in enumerate(triples)])).alias("p")
-    postings = stored(fps.select("fp", listed).select("fp", "p.list", "p.key"), "postings")
-    long_lists = stored(postings.groupBy("list", "key").count().where(F.col("count") > hot).select("list", "key"), "hot")
+    postings = _postings(fps, triples)
+    long_lists = _long(postings, hot)
     if long_lists.isEmpty():
         return _ending(_pairs(postings, triples, max_bits, once=True), postings)
     rest = postings.join(long_lists, ["list", "key"], "left_anti")
     quads = list(combinations(range(8), 4))
+    heated = _heated(postings.join(long_lists, ["list", "key"], "left_semi"), triples, quads)
+    return _ending(_pairs(rest, triples, max_bits, once=False).union(_pairs(heated, quads, max_bits, once=False)).distinct(), postings)
+
+
+def _postings(fps: DataFrame, lists: list[tuple[int, ...]]) -> DataFrame:
+    """Stored ``(fp, list, key)``: each fingerprint under its bytes at each list's positions."""
+    listed = F.explode(F.array(*[F.struct(F.lit(n).alias("list"), _key(F.col("fp"), at).alias("key")) for n, at in enumerate(lists)])).alias("p")
+    return stored(fps.select("fp", listed).select("fp", "p.list", "p.key"), "postings")
+
+
+def _long(postings: DataFrame, hot: int) -> DataFrame:
+    return stored(postings.groupBy("list", "key").count().where(F.col("count") > hot).select("list", "key"), "hot")
+
+
+def _heated(postings: DataFrame, triples: list[tuple[int, ...]], quads: list[tuple[int, ...]]) -> DataFrame:
+    """``(fp, list, key)`` under the 4-byte keys that hold one of the postings' triples."""
     of = {t: [n for n, q in enumerate(quads) if set(t) <= set(q)] for t in triples}
     longer = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("list"), _key(F.col("fp"), quads[q]).alias("key")) for t, n in enumerate(triples) for q in of[n]])).alias("p")
-    heated = postings.join(long_lists, ["list", "key"], "left_semi").select("fp", F.col("list").alias("t")).distinct()
-    heated = heated.select("fp", "t", longer).where("p.t = t").select("fp", "p.list", "p.key").distinct()
-    return _ending(_pairs(rest, triples, max_bits, once=False).union(_pairs(heated, quads, max_bits, once=False)).distinct(), postings)
+    return postings.select("fp", F.col("list").alias("t")).distinct().select("fp", "t", longer).where("p.t = t").select("fp", "p.list", "p.key").distinct()
+
+
+def connections(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_LIST) -> DataFrame:
+    """Stored links ``(a, b)`` that connect the same fingerprints as ``links`` does, without all pairs of a large group.
+
+    Lists up to ``hot`` give all their links. The members of a longer list are compared with two of them first,
+    chosen by a hash, so that a group of near fingerprints is joined by links in proportion to its size. Then only
+    4-byte keys whose members are still in different components are looked at, and only pairs across components.
+    """
+    triples = cover()
+    postings = _postings(fps, triples)
+    long_lists = _long(postings, hot)
+    if long_lists.isEmpty():
+        return _ending(_pairs(postings, triples, max_bits, once=True), postings)
+    rest = _pairs(postings.join(long_lists, ["list", "key"], "left_anti"), triples, max_bits, once=False)
+    heated = stored(postings.join(long_lists, ["list", "key"], "left_semi"), "heated")
+    rank = F.xxhash64("fp")
+    lead = heated.groupBy("list", "key").agg(F.min_by("fp", rank).alias("low"), F.max_by("fp", rank).alias("high"))
+    star = heated.join(lead, ["list", "key"]).select("fp", F.explode(F.array("low", "high")).alias("lead")).where((F.col("fp") != F.col("lead")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= max_bits))
+    found = stored(rest.union(star.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b"))).distinct(), "pairs")
+    comp = stored(components(found).withColumnRenamed("node", "fp"), "components")
+    quads = list(combinations(range(8), 4))
+    longer = stored(_heated(heated, triples, quads).join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "longer")
+    mixed = longer.groupBy("list", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list", "key")
+    across = _pairs(longer.join(mixed, ["list", "key"]), quads, max_bits, once=True, root=True)
+    out = _ending(found.union(across).distinct(), postings)
+    discard(heated, found, comp, longer)
+    return out
 
 
 def _ending(pairs: DataFrame, postings: DataFrame) -> DataFrame:
@@ -136,7 +180,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def _rooted(fp: DataFrame, max_bits: int) -> DataFrame:
     """Stored ``(fp, least, root)``: each distinct fingerprint with its smallest doc_id and its component's root."""
     classes = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    comp = components(links(classes.select("fp"), max_bits)).withColumnsRenamed({"node": "fp"})
+    comp = components(connections(classes.select("fp"), max_bits)).withColumnsRenamed({"node": "fp"})
     return stored(classes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
 
 
@@ -149,12 +193,14 @@ def deduplicated(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     rows = stored(fp.join(_rooted(fp, max_bits).select("fp", "root"), "fp").select("root", "doc_id", "th"), "members")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
-    gone = stored(rows.join(first, "root").where(other).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct(), "gone")
-    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (_text_hash() == F.col("_th")), "left_anti")
+    d, th = fresh(docs, "d"), fresh(docs, "th")
+    gone = stored(rows.join(first, "root").where(other).select(F.col("doc_id").alias(d), F.col("th").alias(th)).distinct(), "gone")
+    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (_text_hash() == F.col(th)), "left_anti")
     if rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
         return kept
-    return kept.withColumn("_th", _text_hash()).dropDuplicates(["doc_id", "_th"]).select(docs.columns)
+    return kept.withColumn(th, _text_hash()).dropDuplicates(["doc_id", th]).select(docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all documents; null and empty texts have fingerprint zero, repeated rows each a row."""
     return near_duplicates(read(spark, sf_dir, "documents"))
