@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from .common import discard, read, small, stored, words
+from .common import discard, fresh, read, small, stored, words
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
-#: A broadcast holds at most so many terms or anchors of test items.
-MOST_TERMS = 200_000
+#: A broadcast holds at most so many terms or anchors of test items; beyond it a term's postings are dealt to so many tasks.
+MOST_TERMS, SALTS = 200_000, 32
+#: Words within which an item's two rarest terms are near each other.
+SLOP = 13
 
 
 def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
@@ -18,6 +20,14 @@ def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), *more)
 
 
+def _named(tokens: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """``tokens(term, d, ...)`` joined with the ``n`` rows of ``keys(term, ...)``; a frequent term is never one task's."""
+    if n <= MOST_TERMS:
+        return tokens.join(F.broadcast(keys), "term")
+    dealt = tokens.withColumn("salt", F.pmod(F.xxhash64("d", "th"), F.lit(SALTS)))
+    return dealt.join(keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["term", "salt"]).drop("salt")
+
+
 def positional_index(docs: DataFrame, terms: DataFrame | None = None, n_terms: int = 0) -> DataFrame:
     """Stored postings ``(term, d, th, pos)`` of ``docs(doc_id, text)``, sorted by term within each segment.
 
@@ -26,7 +36,7 @@ def positional_index(docs: DataFrame, terms: DataFrame | None = None, n_terms: i
     """
     tokens = keyed(docs, F.posexplode(words(F.col("text"))).alias("pos", "term"))
     if terms is not None:
-        tokens = tokens.join(small(terms, n_terms, MOST_TERMS), "term")
+        tokens = _named(tokens, terms, n_terms)
     return stored(tokens.select("term", "d", "th", "pos").sortWithinPartitions("term"), "postings")
 
 
@@ -61,8 +71,8 @@ def _candidates(index: DataFrame, items: DataFrame) -> DataFrame:
     """``(d, th, item, diag)``: where offset-adjusted lists of a window's two rarest terms meet; diag is document minus item position."""
     anchors = stored(_anchors(items, index), "anchors")
     n = anchors.count()
-    first = index.join(small(anchors, n, MOST_TERMS).withColumnRenamed("t1", "term"), "term").select("d", "th", "item", (F.col("pos") - F.col("p1")).alias("diag"), "t2", "p2")
-    second = index.join(small(anchors.select(F.col("t2").alias("term")).where("term is not null").distinct(), n, MOST_TERMS), "term")
+    first = _named(index, anchors.withColumnRenamed("t1", "term"), n).select("d", "th", "item", (F.col("pos") - F.col("p1")).alias("diag"), "t2", "p2")
+    second = _named(index, anchors.select(F.col("t2").alias("term")).where("term is not null").distinct(), n)
     second = second.select("d", "th", F.col("term").alias("t2"), F.col("pos").alias("pos2")).distinct()
     first = first.withColumn("pos2", F.col("diag") + F.col("p2")).distinct()
     met = first.where("t2 is not null").join(second, ["d", "th", "t2", "pos2"], "left_semi").select("d", "th", "item", "diag")
@@ -90,14 +100,24 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, slop: int) -> DataFram
     The longer list meets the shorter by blocks of positions: an equi-join on document and block with the
     two neighbouring blocks, never a product of whole lists.
     """
-    width = max(1, slop)
-    block = F.floor(F.col("pos") / width)
-    a = pairs.join(index, pairs.a == index.term).select("pair_id", "d", "th", F.col("pos").alias("pos_a"), block.alias("block"))
-    b = pairs.join(index, pairs.b == index.term).select("pair_id", "d", "th", F.col("pos").alias("pos_b"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    n = pairs.count()
+    block = F.floor(F.col("pos") / max(1, slop))
+    a = _named(index, pairs.select("pair_id", F.col("a").alias("term")), n).select("pair_id", "d", "th", F.col("pos").alias("pos_a"), block.alias("block"))
+    b = _named(index, pairs.select("pair_id", F.col("b").alias("term")), n).select("pair_id", "d", "th", F.col("pos").alias("pos_b"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
     near = F.abs(F.col("pos_a") - F.col("pos_b")).between(1, slop)
     return a.join(b, ["pair_id", "d", "th", "block"]).where(near).select("pair_id", "d", "th", "pos_a", "pos_b").distinct()
 
 
+def near_items(items: DataFrame, index: DataFrame, slop: int = SLOP) -> DataFrame:
+    """``(d, th, n_near)``: how many items have their two rarest terms, of those that documents have, within ``slop`` words of each other in a document."""
+    counts = index.groupBy("term").agg(F.count("*").alias("cf"))
+    ranked = items.select("item", "item_id", F.explode(F.array_distinct("iw")).alias("term")).join(counts, "term").withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy("cf", "term")))
+    pairs = ranked.where("rank <= 2").groupBy("item", "item_id").agg(F.max(F.when(F.col("rank") == 1, F.col("term"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("term"))).alias("b"))
+    pairs = stored(pairs.where("b is not null").select(F.col("item").alias("pair_id"), "item_id", "a", "b"), "pairs")
+    met = proximity_matches(index, pairs.drop("item_id"), slop).select("pair_id", "d", "th").distinct().join(small(pairs.select("pair_id", "item_id"), pairs.count(), MOST_TERMS), "pair_id")
+    return met.groupBy("d", "th").agg(F.countDistinct("item_id").alias("n_near"))
+
+
 def _report(docs: DataFrame, matches: DataFrame) -> DataFrame:
     """``(d, th, n_hit, item_ids)``: words covered by any match, from the union of its spans, and the distinct items in order."""
     spans = matches.groupBy("d", "th", "start").agg(F.max("end").alias("end"))
@@ -109,7 +129,7 @@ def _report(docs: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and n_near, the items that are near (``near_items``).
 
     Null or empty texts have no words and aren't contaminated; an empty benchmark hits nothing. Items without
     item_id or words are ignored. Repeated documents each get their row. Other columns are not looked at.
@@ -118,13 +138,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     terms = stored(items.select(F.explode("iw").alias("term")).distinct(), "terms")
     index = positional_index(docs, terms, terms.count())
     report = stored(_report(docs, phrase_matches(docs, items, index)), "report")
+    near = stored(near_items(items, index), "near")
     discard(index)
     rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     ids = F.coalesce(F.col("item_ids"), F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return rows.join(report, ["d", "th"], "left").select(
+    return rows.join(report, ["d", "th"], "left").join(near, ["d", "th"], "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
@@ -136,12 +158,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
     report = stored(_report(docs, phrase_matches(docs, items, index)).select("d", "th", "n_hit"), "report")
     discard(index)
     held = keyed(docs, F.size(words(F.col("text"))).alias("n_words")).join(report, ["d", "th"])
-    gone = stored(held.where(F.col("n_hit") * share >= F.col("n_words")).select(F.col("d").alias("_d"), F.col("th").alias("_th")).distinct(), "contaminated")
-    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_th"))
+    d, th = fresh(docs, "d"), fresh(docs, "th")
+    gone = stored(held.where(F.col("n_hit") * share >= F.col("n_words")).select(F.col("d").alias(d), F.col("th").alias(th)).distinct(), "contaminated")
+    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col(d)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(th))
     return docs.join(gone, own, "left_anti")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``contamination`` of all documents by all benchmark items; nulls, short items and repeats as there."""
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
@@ -161,8 +185,18 @@ g AS (
   FROM d, sizes, unnest(range(0, greatest(len(w) - size, -1) + 1)) AS r(o)
 ), hit AS (SELECT g.rid, g.o, g.size, win.item_id FROM g JOIN win ON g.phrase = win.phrase AND g.size = win.size),
 cov AS (SELECT rid, count(DISTINCT o + k) AS n_hit FROM hit, unnest(range(0, size)) AS r(k) GROUP BY rid),
-its AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM hit) GROUP BY rid)
+its AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM hit) GROUP BY rid), tok AS MATERIALIZED (SELECT rid, pos, w[pos + 1] AS term FROM d, unnest(range(0, len(w))) AS r(pos)),
+cf AS MATERIALIZED (SELECT term, count(*) AS cf FROM tok GROUP BY term),
+two AS MATERIALIZED (
+  SELECT item, item_id, max(term) FILTER (rank = 1) AS a, max(term) FILTER (rank = 2) AS b FROM (
+    SELECT item, item_id, term, row_number() OVER (PARTITION BY item ORDER BY cf, encode(term)) AS rank
+    FROM (SELECT row_number() OVER () AS item, item_id, unnest(list_distinct(w)) AS term FROM (SELECT DISTINCT item_id, w FROM b)) AS t JOIN cf USING (term)
+  ) AS r WHERE rank <= 2 GROUP BY item, item_id
+), near AS (
+  SELECT x.rid, count(DISTINCT two.item_id) AS n_near FROM two JOIN tok x ON x.term = two.a JOIN tok y ON y.term = two.b AND y.rid = x.rid
+  WHERE abs(x.pos - y.pos) BETWEEN 1 AND 13 GROUP BY x.rid
+)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(cov.n_hit, 0)::BIGINT AS n_hit, coalesce(its.n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(cov.n_hit, 0) > 0 AND 20 * coalesce(cov.n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+  sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(cov.n_hit, 0) > 0 AND 20 * coalesce(cov.n_hit, 0) >= len(d.w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid) LEFT JOIN near USING (rid)
 """
