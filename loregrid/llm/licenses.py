@@ -28,6 +28,9 @@ TEMPLATES = [
 ]
 #: Share of a template's distinct words that a block has to hold.
 CONTAINMENT = 0.8
+#: A block is so many times as long as the template, in words, and starts at every multiple of the template's length:
+#: whole lines and paragraphs play no part, and a template of wrapped lines stands whole in one block.
+BLOCK = 2
 
 
 def _rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -35,18 +38,19 @@ def _rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(*[lit(v).alias(k) for k, v in r.items()]) for r in rows])))
 
 
-def template_words(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    """Label and distinct words of each template that has any."""
+def template_words(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[str, list[str], int]]:
+    """Label, distinct words and number of words of each template that has any."""
     got = _rows(spark, [{"n": n, "label": label, "text": text} for n, (label, text) in enumerate(templates)])
-    return [(r.label, sorted(r.w)) for r in got.select("n", "label", F.array_distinct(words(F.col("text"))).alias("w")).orderBy("n").collect() if r.w]
+    return [(r.label, sorted(set(r.w)), len(r.w)) for r in got.select("n", "label", words(F.col("text")).alias("w")).orderBy("n").collect() if r.w]
 
 
 def similar_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = CONTAINMENT) -> DataFrame:
-    """Stored ``(d, th, block, label, containment)``: every line that holds ``least`` of a template's distinct words.
+    """Stored ``(d, th, block, label, containment)``: every block that holds ``least`` of a template's distinct words.
 
-    Words are ordered by their count over all documents, rare first. A template of n words needs
-    a = ceil(least * n) of them in the block, so one of its n - a + 1 rarest is there, and one of the
-    block's |b| - a + 1 rarest is in the template: only those prefixes are joined. Pairs whose
+    A block of a template of m words is a run of ``BLOCK`` * m words of the text that starts at a multiple of m;
+    block is its number. Words are ordered by their count over all documents, rare first. A template of n
+    distinct words needs a = ceil(least * n) of them in the block, so one of its n - a + 1 rarest is there, and
+    one of the block's |b| - a + 1 rarest is in the template: only those prefixes are joined. Pairs whose
     positions leave fewer than a shared words go (positional filter), as do blocks with fewer than a
     template words (length filter). The rest is counted exactly. Words of no template can't be
     shared, so blocks are reduced to the templates' words, a bounded list.
@@ -55,24 +59,26 @@ def similar_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     known = template_words(spark, templates)
     if not known:
         raise ValueError("no template has words")
-    vocabulary = sorted({w for _, ws in known for w in ws})
+    vocabulary = sorted({w for _, ws, _ in known for w in ws})
     counts = docs.select(F.explode(words(F.col("text"))).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count()
     count = {r["w"]: r["count"] for r in counts.collect()}  # at most one row for each template word
     order = sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
     lists, full = [], []
-    for n, (label, ws) in enumerate(known):
+    for n, (label, ws, m) in enumerate(known):
         ws, need = sorted(ws, key=place.get), ceil(least * len(ws) - 1e-9)
         full.append({"n": n, "label": label, "need": need, "ws": ws})
-        lists += [{"w": w, "n": n, "i": i, "size": len(ws), "need": need} for i, w in enumerate(ws[: len(ws) - need + 1])]
-    fewest = min(f["need"] for f in full)
+        lists += [{"w": w, "m": m, "n": n, "i": i, "size": len(ws), "need": need} for i, w in enumerate(ws[: len(ws) - need + 1])]
+    fewest = {m: min(x["need"] for x in lists if x["m"] == m) for m in {x["m"] for x in lists}}
     prefix = sorted({x["w"] for x in lists})
-    held = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text", words(F.col("text")).alias("w"))
+    held = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), words(F.col("text")).alias("w"))
     held = held.where(F.arrays_overlap("w", F.array(*map(F.lit, prefix))))
-    blocks = held.select("d", "th", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    blocks = blocks.select("d", "th", "block", F.array_intersect(F.array(*map(F.lit, order)), words(F.col("line"))).alias("b")).where(F.size("b") >= fewest)
-    tokens = blocks.select("d", "th", "block", "b", F.posexplode(F.slice("b", F.lit(1), F.size("b") - fewest + 1)).alias("j", "w"))
-    near = tokens.join(F.broadcast(_rows(spark, lists)), "w")
+    sizes = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(few).alias("few")) for m, few in sorted(fewest.items())])).alias("x")
+    blocks = held.select("d", "th", "w", sizes).select("d", "th", "w", "x.m", "x.few", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / F.col("x.m")).cast("int"))).alias("block"))
+    run = F.slice("w", F.col("block") * F.col("m") + 1, F.col("m") * BLOCK)
+    blocks = blocks.select("d", "th", "m", "few", "block", F.array_intersect(F.array(*map(F.lit, order)), run).alias("b")).where("size(b) >= few")
+    tokens = blocks.select("d", "th", "m", "block", "b", F.posexplode(F.slice("b", F.lit(1), F.size("b") - F.col("few") + 1)).alias("j", "w"))
+    near = tokens.join(F.broadcast(_rows(spark, lists)), ["m", "w"])
     near = near.where("size(b) >= need AND 1 + least(size - i - 1, size(b) - j - 1) >= need").select("d", "th", "block", "n", "b").distinct()
     near = near.join(F.broadcast(_rows(spark, full)), "n").withColumn("shared", F.size(F.array_intersect("ws", "b"))).where("shared >= need")
     return stored(near.select("d", "th", "block", "label", (F.col("shared") / F.size("ws")).alias("containment")), "blocks")
@@ -82,7 +88,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null texts count as empty. The score is 1 where a base phrase stands, else the best containment of a
-    template in a line, or 0. Repeated rows each get their row. Other columns are not looked at.
+    template in a block, or 0. Repeated rows each get their row. Other columns are not looked at.
     """
     found = similar_blocks(docs, templates, least).groupBy("d", "th").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     found = stored(found, "labels")
@@ -107,6 +113,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scan`` of all documents; nulls, repeats and empty texts as there."""
     return scan(read(spark, sf_dir, "documents"))
 
 
@@ -119,9 +126,9 @@ def _sql() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {w.format("coalesce(text, '')")} AS w FROM documents),
 p AS ({phrases}),
-t AS (SELECT label, list_distinct({w.format("x")}) AS ws FROM (VALUES {templates}) AS v(label, x)),
-l AS (SELECT rid, list_distinct({w.format("line")}) AS b FROM d, unnest(string_split(text, chr(10))) AS u(line)),
-s AS (SELECT rid, label, len(list_intersect(ws, b)) / len(ws) AS c FROM l, t WHERE len(list_intersect(ws, b)) >= ceil({CONTAINMENT} * len(ws) - 1e-9)),
+t AS (SELECT label, list_distinct({w.format("x")}) AS ws, len({w.format("x")}) AS m FROM (VALUES {templates}) AS v(label, x)),
+l AS (SELECT rid, m, list_distinct(w[o + 1:o + {BLOCK} * m]) AS b FROM d, (SELECT DISTINCT m FROM t) AS ms, unnest(range(0, len(w), m)) AS u(o)),
+s AS (SELECT rid, label, len(list_intersect(ws, b)) / len(ws) AS c FROM l JOIN t USING (m) WHERE len(list_intersect(ws, b)) >= ceil({CONTAINMENT} * len(ws) - 1e-9)),
 g AS (SELECT rid, count(*) AS n, min(pos) AS a, max(pos) AS z FROM p GROUP BY rid),
 bl AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS x FROM (SELECT DISTINCT rid, label FROM p) GROUP BY rid),
 al AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS x FROM (SELECT rid, label FROM p UNION SELECT rid, label FROM s) GROUP BY rid),
