@@ -8,7 +8,7 @@ from .common import LOWER, UPPER, read, stored
 
 #: Start of a quoted line, its levels being the marks; and a line that names the author of the quote that follows it.
 QUOTE = r"^[ \t]*((?:>[ \t]*)+)"
-ATTRIBUTION = r"^On .{1,200} wrote:[ \t\r]*$"
+ATTRIBUTION = r"^On .+ wrote:[ \t\r]*$"
 _BLANK = r"[ \t\r\x0B\f]+"
 #: Steps of pointer doubling: enough for reply chains of 2**40 messages.
 _STEPS = 40
@@ -45,7 +45,8 @@ def linked(messages: DataFrame) -> DataFrame:
     asked = keyed.where("size(quoted) > 0").select("conv_id", "turn", F.posexplode("quoted").alias("i", "q")).select("conv_id", "turn", "i", "q.level", _normal(F.col("q.content")).alias("n"))
     asked = stored(asked.where("n <> ''").select("conv_id", "turn", "i", "level", F.md5(F.col("n").cast("binary")).alias("h")), "asked")
     wanted = asked.select("h").distinct()
-    said = stored(said.join(wanted, "h", "left_semi").groupBy("conv_id", "h").agg(F.min("turn").alias("origin")), "said")
+    # one row for each line of a conversation goes into the join, however often it is said there
+    said = stored(said.groupBy("conv_id", "h").agg(F.min("turn").alias("origin")).join(wanted, "h", "left_semi"), "said")
     inside = asked.join(said, ["conv_id", "h"]).where("origin < turn")
     votes = inside.groupBy("conv_id", "turn").agg(F.count_if(F.col("level") == 1).alias("first"), F.countDistinct("i").alias("n_linked"))
     chosen = inside.where("level = 1").groupBy("conv_id", "turn", "origin").agg(F.countDistinct("i").alias("v")).groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct("v", "origin")).alias("reply_to"))
@@ -74,6 +75,7 @@ def formatted(messages: DataFrame, start: str = "<|im_start|>", end: str = "<|im
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``formatted`` of all conversations; nulls, repeats and ties as in ``linked``."""
     return formatted(read(spark, sf_dir, "conversations"))
 
 

@@ -164,14 +164,27 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 
 def redacted(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """``docs`` with every match in ``text`` replaced by ``<kind>``, rules in their order."""
+    """``docs`` with every span that ``scan`` would report replaced by ``<kind>``, rules in their order; a later rule sees what earlier ones left.
+
+    Matches that a rule's length drops stay. Null texts stay null; other columns pass through.
+    """
+    def told(r: Rule, text: Column) -> Column:
+        marked = F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(OTHER)), r.pattern, f"{MARK}$0{MARK}"), MARK)
+
+        def part(x: Column, i: Column) -> Column:
+            size = F.length(F.regexp_extract(x, r.pattern, r.group)) if r.group else F.length(x)
+            return F.when((i % 2 == 1) & (size >= r.least), F.lit(f"<{r.kind}>")).otherwise(x)
+
+        return F.when(text.rlike(r.pattern), F.array_join(F.transform(marked, part), "")).otherwise(text)
+
     text = F.col("text")
     for r in rules:
-        text = F.regexp_replace(text, r.pattern, f"<{r.kind}>")
+        text = told(r, text)
     return docs.withColumn("text", text)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scan`` of all documents; nulls, repeats and empty texts as there."""
     return scan(read(spark, sf_dir, "documents"))
 
 

@@ -18,8 +18,8 @@ from .common import read, scratch, small, stored
 
 #: Compressed bytes after which a new archive file is begun.
 FILE_BYTES = 64 << 20
-#: Largest member or record that the reader unpacks; a larger one counts as damage.
-MOST_BYTES = 1 << 30
+#: Largest member or record that the reader unpacks: no row of Spark holds more. A larger one is a gap.
+MOST_BYTES = (1 << 31) - 1
 #: Distinct repeated payloads up to which their list is broadcast.
 MOST_REPEATED = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -215,6 +215,11 @@ def deduplicated(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")).alias("refers_to"))
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's filesystem and path for a URI of Spark's; Arrow knows S3 by its plain name only."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes ``pages(page_id, url, payload, refers_to)`` as .warc.gz files, a gzip member for each record; returns ``(path, records)``, stored.
 
@@ -223,7 +228,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
         n = records = size = 0
@@ -282,7 +287,7 @@ def read_archives(files: DataFrame, payloads: bool = False) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 held, size = [], 0
                 try:
-                    fs, name = pafs.FileSystem.from_uri(path)
+                    fs, name = filesystem(path)
                     for x in salvage(fs.open_input_file(name)):
                         held.append(row(path, x))
                         size += len(held[-1].get("payload") or b"") + 256
@@ -297,6 +302,11 @@ def read_archives(files: DataFrame, payloads: bool = False) -> DataFrame:
     return files.select("path").mapInArrow(run, schema)
 
 
+def quarantine(archives: DataFrame) -> DataFrame:
+    """The log of byte gaps of ``read_archives``: ``(path, offset, end, reason)``; what stands between is in no record."""
+    return archives.where("reason is not null").select("path", "offset", "end", "reason")
+
+
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes an archive of ``pages`` to the shared folder and reads it back: a row for every page.
 
@@ -311,6 +321,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``round_trip`` of all pages; nulls, repeats and ties as there and in ``deduplicated``."""
     return round_trip(read(spark, sf_dir, "pages"))
 
 
