@@ -11,16 +11,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read, small, stored
+from .common import bounded, fresh, read, stored
 
 #: Labelled documents that the classifiers are fitted on, at most: those with the smallest hashes of doc_id.
 MOST_LABELLED = 20_000
-#: Terms of the learned lexicon, at most, and the toxic documents and odds that a term needs.
-MOST_TERMS, LEAST_TOXIC, LEAST_ODDS = 2_000, 3, 8.0
+#: Toxic documents, the share of all toxic ones, and the odds that a term of the learned lexicon needs.
+LEAST_TOXIC, LEAST_TOXIC_SHARE, LEAST_ODDS = 3, 0.005, 8.0
 #: Bounds of the prior's strength, in documents.
 STRENGTH = (5.0, 5_000.0)
-#: Sites (hosts, paths) up to which their posteriors are broadcast.
-MOST_SITES = 100_000
 #: Documents that score less are rejected.
 THRESHOLD = 0.5
 
@@ -143,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
         counts = seen.groupBy("term").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("fine"))
         bad, fine = float(sizes[True]), float(sizes[False])
         odds = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("fine") + 0.5) / (fine + 1))
-        strong = counts.where(F.col("bad") >= max(LEAST_TOXIC, 0.005 * bad)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-        model.lexicon = {bytes(r.term): float(np.log(r.odds)) for r in strong.orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()}
+        strong = counts.where(F.col("bad") >= max(LEAST_TOXIC, LEAST_TOXIC_SHARE * bad)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+        model.lexicon = {bytes(r.term): float(np.log(r.odds)) for r in strong.collect()}  # terms of a bounded sample
         if model.lexicon:
             both = _per_text(held.select("toxic", "text"), lambda ts: pa.array([model.odds(t) for t in ts], pa.list_(pa.float64())), "array<double>").toPandas()
             model.toxic = Logistic.fit(np.array(both["x"].tolist()), (both["toxic"] > 0).to_numpy(float))
@@ -156,24 +154,39 @@ def _logit(p):
     return F.log(p / (1 - p))
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """Stored ``(host, path, host_post, path_post)`` and the global mean, from ``scored(host, path, doc_score)``.
+def strength(within: float, between: float) -> float:
+    """How many documents a prior is worth, from the variance within and between groups."""
+    return float(np.clip(within / max(between, 1e-9), *STRENGTH))
 
-    A path's mean is shrunk toward its host's, a host's toward the global one, by a prior worth as many
-    documents as the spread between hosts tells (method of moments). Partial sums go over the network, not rows.
+
+def _between(ss: float, n: float, mean_ss: float, n_effective: float, within: float, groups: float) -> float:
+    """Variance between groups by the method of moments: the spread of their means less what chance makes of it."""
+    return max(0.0, (ss - mean_ss - within * groups) / n_effective) if n > 0 and n_effective > 0 else 0.0
+
+
+def site_sums(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """Stored ``(host, path, s, n, hs, hn)``: sums and counts of ``doc_score`` by path and host; the global mean, and the strengths of the priors.
+
+    A host's mean is shrunk toward the global one and a path's toward its host's, each by a prior worth as many
+    documents as the spread at its own level tells (method of moments): between hosts, and between the paths
+    of a host. Partial sums go over the network, not rows.
     """
-    paths = stored(scored.groupBy("host", "path").agg(F.sum("doc_score").alias("s"), F.count("*").alias("n")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
-    total = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("ss"), F.count("*").alias("k")).first()
-    if not total.n:
-        return paths.select("host", "path", F.lit(0.5).alias("host_post"), F.lit(0.5).alias("path_post")), 0.5
-    mean = total.s / total.n
-    within = mean * (1 - mean)
-    between = max(1e-9, (total.ss / total.n - mean * mean) - within * total.k / total.n)
-    strength = float(np.clip(within / between - 1, *STRENGTH))
-    hosts = hosts.select("host", ((F.col("hs") + strength * mean) / (F.col("hn") + strength)).alias("host_post"))
-    joined = paths.join(hosts, "host")
-    return stored(joined.select("host", "path", "host_post", ((F.col("s") + strength * F.col("host_post")) / (F.col("n") + strength)).alias("path_post")), "sites"), mean
+    x = F.col("doc_score")
+    paths = stored(scored.groupBy("host", "path").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count("*").alias("n")), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("pss"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("k"))
+    t = hosts.agg(
+        F.sum("hs").alias("s"), F.sum("hn").alias("n"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("hss"), F.sum("pss").alias("pss"),
+        F.sum(F.col("hn") * F.col("hn")).alias("hh"), F.sum(F.col("nn") / F.col("hn")).alias("pp"), F.sum("k").alias("paths"), F.count("*").alias("hosts"),
+    ).first()
+    q = paths.agg(F.sum("q")).first()[0]
+    if not t.n:
+        return paths.select("host", "path", "s", "n", F.lit(0.0).alias("hs"), F.lit(0).cast("long").alias("hn")), 0.5, STRENGTH[0], STRENGTH[0]
+    mean = t.s / t.n
+    within = max(1e-9, (q - t.pss) / max(1, t.n - t.paths))
+    of_hosts = strength(within, _between(t.hss, t.n, t.s * mean, t.n - t.hh / t.n, within, t.hosts - 1))
+    of_paths = strength(within, _between(t.pss, t.n, t.hss, t.n - t.pp, within, t.paths - t.hosts))
+    sums = stored(paths.join(hosts.select("host", "hs", "hn"), "host").select("host", "path", "s", "n", "hs", "hn"), "sites")
+    return sums, mean, of_hosts, of_paths
 
 
 def _sited(docs: DataFrame, host: str, path: list[str]) -> DataFrame:
@@ -184,24 +197,32 @@ def _sited(docs: DataFrame, host: str, path: list[str]) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: tuple[str, ...] = ("lang",), threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, doc_score, host_post, path_post, score, keep (and th, a hash of the text).
 
-    The score is the document's odds with the global prior replaced by its path's posterior. Null hosts and
-    paths are sites of their own. Null or empty texts are scored like any text. Without labels every score is 0.5.
+    host_post and path_post are the posteriors of the document's sites without the document itself, so that no
+    score stands for its own evidence; those of a site of one document are its prior's. The score is the
+    document's odds with the global prior replaced by its path's posterior. Null hosts and paths are sites of
+    their own. Null or empty texts are scored like any text. Without labels every score is 0.5. Repeated rows
+    each count and each get their row; other columns are not looked at.
     """
     model = fit(docs, labels)
     scored = stored(_per_text(_sited(docs, host, list(path)), lambda ts: pa.array(model.score(ts)), "double").withColumnRenamed("x", "doc_score"), "scored")
-    sites, mean = site_posteriors(scored)
-    joined = scored.join(small(sites, sites.count(), MOST_SITES), ["host", "path"])
-    score = 1 / (1 + F.exp(-(_logit(F.col("doc_score")) - _logit(F.lit(mean)) + _logit(F.col("path_post")))))
+    sums, mean, a, b = site_sums(scored)
+    joined = scored.join(bounded(sums, sums.count(), 150), ["host", "path"])
+    own = F.col("doc_score")
+    joined = joined.withColumn("hp", (F.col("hs") - own + a * mean) / (F.col("hn") - 1 + a))
+    joined = joined.withColumn("pp", (F.col("s") - own + F.lit(b) * F.col("hp")) / (F.col("n") - 1 + b))
+    score = 1 / (1 + F.exp(-(_logit(own) - _logit(F.lit(mean)) + _logit(F.col("pp")))))
     r = lambda c: F.round(c, 6)
-    return joined.select("doc_id", "th", r("doc_score").alias("doc_score"), r("host_post").alias("host_post"), r("path_post").alias("path_post"), r(score).alias("score"), (r(score) >= threshold).alias("keep"))
+    return joined.select("doc_id", "th", r(own).alias("doc_score"), r(F.col("hp")).alias("host_post"), r(F.col("pp")).alias("path_post"), r(score).alias("score"), (r(score) >= threshold).alias("keep"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that ``classify`` rejects; rows that repeat doc_id and text share their fate."""
-    out = stored(classify(docs, labels).where("NOT keep").select(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("th").alias("_th")).distinct(), "rejected")
-    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_th"))
-    return docs.join(small(out, out.count(), MOST_SITES), own, "left_anti")
+    """``docs`` without those that ``classify`` rejects; rows that repeat doc_id and text share their fate. Columns pass through, whatever their names."""
+    d, th = fresh(docs, "d"), fresh(docs, "th")
+    out = stored(classify(docs, labels).groupBy(F.coalesce("doc_id", F.lit(-1)).alias(d), F.col("th").alias(th)).agg(F.bool_or("keep").alias("kept")).where("NOT kept").drop("kept"), "rejected")
+    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col(d)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(th))
+    return docs.join(bounded(out, out.count(), 16), own, "left_anti")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``classify`` of all documents by all labels; nulls, ties and repeats as there."""
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("th")
