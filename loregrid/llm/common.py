@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -78,6 +79,12 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what the plans of a loop held on the driver: Spark drops broadcasts and compiled plans only as the JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` are within the bound, else as it is."""
     return F.broadcast(df) if rows <= most else df

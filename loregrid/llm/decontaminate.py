@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from .common import discard, fresh, read, small, stored, words
+from .common import discard, fresh, read, release, small, stored, words
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -140,6 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     report = stored(_report(docs, phrase_matches(docs, items, index)), "report")
     near = stored(near_items(items, index), "near")
     discard(index)
+    release(docs.sparkSession)
     rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     ids = F.coalesce(F.col("item_ids"), F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
@@ -157,6 +158,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
     index = positional_index(docs, terms, terms.count())
     report = stored(_report(docs, phrase_matches(docs, items, index)).select("d", "th", "n_hit"), "report")
     discard(index)
+    release(docs.sparkSession)
     held = keyed(docs, F.size(words(F.col("text"))).alias("n_words")).join(report, ["d", "th"])
     d, th = fresh(docs, "d"), fresh(docs, "th")
     gone = stored(held.where(F.col("n_hit") * share >= F.col("n_words")).select(F.col("d").alias(d), F.col("th").alias(th)).distinct(), "contaminated")

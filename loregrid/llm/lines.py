@@ -10,7 +10,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import bounded, components, discard, fresh, read, stored
+from .common import bounded, components, discard, fresh, read, release, stored
 
 #: Characters of a shingle; a shorter line is one shingle.
 SHINGLE = 7
@@ -371,6 +371,7 @@ def line_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     keys = stored(repeated.join(found, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("root", "sid").alias("class")), "keys")
     classes = stored(places.drop("sid").join(bounded(keys, keys.count(), 24), ["h1", "h2"]).select("d", "th", "line", "class"), "classes")
     discard(signed, repeated, buckets, nodes, texts, spokes, links, across, more, comp, keys)
+    release(docs.sparkSession)
     return classes
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import fresh, read, small, stored
+from .common import discard, fresh, read, release, small, stored
 
 #: Margins in the order in which they are raked, and the power of a category's share of tokens that is its default target.
 MARGINS = {"source": 0.7, "lang": 0.5, "topic": 0.7}
 #: Rounds of raking at least; more follow, up to a limit, while a margin is further from its target than the tolerance (relative).
-ROUNDS, MOST_ROUNDS, TOLERANCE = 8, 200, 0.01
+ROUNDS, MOST_ROUNDS, TOLERANCE = 8, 24, 0.01
 #: Token budget: the share of all tokens that the sample is to hold in expectation.
 TOKEN_SHARE = 0.25
 #: Categories of a margin up to which its factors are broadcast.
@@ -57,14 +59,15 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, most: int =
 
     A cell's fitted weight is n times the product of its three factors. Each step sets one margin's factors
     to target / (sum of n times the other factors), so the last margin is met exactly. After ``rounds`` rounds
-    the others are measured, and rounds go on until they are within ``TOLERANCE``; ``most`` rounds that don't
-    get there (targets that no weights can meet) raise. Categories without tokens or without target get no factor and no weight.
+    the others are measured, and rounds go on until they are within ``TOLERANCE``; if ``most`` rounds don't get
+    there (no weights may meet all targets, as where each source has one language), the last factors stand and a
+    warning tells the distance. Categories without tokens or without target get no factor and no weight.
     """
     targets = stored(targets, "targets")
     factors = stored(targets.select("margin", "category", F.lit(1.0).alias("factor")), "factors")
     names = list(MARGINS)
     rows = targets.groupBy("margin").count().agg(F.max("count")).first()[0] or 0
-    for done in range(1, most + 1):
+    for done in range(1, max(most, rounds) + 1):
         f = {m: _factors(factors, m) for m in names}
         for m in names:
             weighted, product = cells, F.col("n")
@@ -77,10 +80,14 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, most: int =
         for m in names:
             part = f[m].select(F.lit(m).alias("margin"), F.col(f"_{m}").alias("category"), F.col(f"f_{m}").alias("factor"))
             union = part if union is None else union.union(part)
-        factors = stored(union, "factors")
-        if done >= rounds and _distance(_weighted(cells, factors), targets) <= TOLERANCE:
-            return factors
-    raise ValueError(f"the margins can't all be met: {most} rounds of raking left one {_distance(_weighted(cells, factors), targets):.2g} from its target")
+        before, factors = factors, stored(union, "factors")
+        discard(before)
+        if done >= rounds and (far := _distance(_weighted(cells, factors), targets)) <= TOLERANCE:
+            break
+    else:
+        warnings.warn(f"the margins can't all be met: {most} rounds of raking left one {far:.2g} from its target", stacklevel=2)
+    release(cells.sparkSession)
+    return factors
 
 
 def _factors(factors: DataFrame, margin: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bounded, fresh, read, stored
+from .common import bounded, fresh, read, release, stored
 
 #: Labelled documents that the classifiers are fitted on, at most: those with the smallest hashes of doc_id.
 MOST_LABELLED = 20_000
@@ -146,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
         if model.lexicon:
             both = _per_text(held.select("toxic", "text"), lambda ts: pa.array([model.odds(t) for t in ts], pa.list_(pa.float64())), "array<double>").toPandas()
             model.toxic = Logistic.fit(np.array(both["x"].tolist()), (both["toxic"] > 0).to_numpy(float))
+    release(docs.sparkSession)
     return model
 
 

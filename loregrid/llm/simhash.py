@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import components, discard, fresh, read, stored
+from .common import components, discard, fresh, read, release, stored
 
 SHINGLE = 4
 SEED = 42
@@ -159,6 +159,7 @@ def connections(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_LIST) -
 def _ending(pairs: DataFrame, postings: DataFrame) -> DataFrame:
     out = stored(pairs, "pairs")
     discard(postings)
+    release(out.sparkSession)
     return out
 
 
