@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import discard, fresh, read, release, small, stored
+from .common import fresh, read, release, small, stored
 
 #: Margins in the order in which they are raked, and the power of a category's share of tokens that is its default target.
 MARGINS = {"source": 0.7, "lang": 0.5, "topic": 0.7}
-#: Rounds of raking at least; more follow, up to a limit, while a margin is further from its target than the tolerance (relative).
+#: Rounds of raking at least; as many again follow, up to a limit, while a margin is further from its target than the tolerance (relative).
 ROUNDS, MOST_ROUNDS, TOLERANCE = 8, 24, 0.01
 #: Token budget: the share of all tokens that the sample is to hold in expectation.
 TOKEN_SHARE = 0.25
-#: Categories of a margin up to which its factors are broadcast.
+#: Cells up to which they are raked in one task and their probabilities broadcast.
 MOST_CATEGORIES = 100_000
 #: Digits of the hash that is compared with a probability.
 _HEX = 13
@@ -63,43 +63,43 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, most: int =
     there (no weights may meet all targets, as where each source has one language), the last factors stand and a
     warning tells the distance. Categories without tokens or without target get no factor and no weight.
     """
-    targets = stored(targets, "targets")
-    factors = stored(targets.select("margin", "category", F.lit(1.0).alias("factor")), "factors")
-    names = list(MARGINS)
-    rows = targets.groupBy("margin").count().agg(F.max("count")).first()[0] or 0
-    for done in range(1, max(most, rounds) + 1):
-        f = {m: _factors(factors, m) for m in names}
-        for m in names:
-            weighted, product = cells, F.col("n")
-            for other in names:
-                if other != m:
-                    weighted, product = weighted.join(small(f[other], rows, MOST_CATEGORIES), f"_{other}"), product * F.col(f"f_{other}")
-            sums = weighted.groupBy(f"_{m}").agg(F.sum(product).alias("s")).withColumnRenamed(f"_{m}", "category")
-            f[m] = targets.where(F.col("margin") == m).join(sums, "category").select(F.col("category").alias(f"_{m}"), F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0).alias(f"f_{m}"))
-        union = None
-        for m in names:
-            part = f[m].select(F.lit(m).alias("margin"), F.col(f"_{m}").alias("category"), F.col(f"f_{m}").alias("factor"))
-            union = part if union is None else union.union(part)
-        before, factors = factors, stored(union, "factors")
-        discard(before)
-        if done >= rounds and (far := _distance(_weighted(cells, factors), targets)) <= TOLERANCE:
-            break
-    else:
-        warnings.warn(f"the margins can't all be met: {most} rounds of raking left one {far:.2g} from its target", stacklevel=2)
-    release(cells.sparkSession)
-    return factors
+    held = _raked(cells, targets, rounds, most)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(f"_{m}").alias("category"), F.col(f"f_{m}").alias("factor")) for m in MARGINS])).alias("x")
+    return held.select(each).select("x.*").distinct()
 
 
-def _factors(factors: DataFrame, margin: str) -> DataFrame:
-    return factors.where(F.col("margin") == margin).select(F.col("category").alias(f"_{margin}"), F.col("factor").alias(f"f_{margin}"))
+def _raked(cells: DataFrame, targets: DataFrame, rounds: int, most: int) -> DataFrame:
+    """Stored ``(_source, _lang, _topic, n, f_source, f_lang, f_topic, w)``: cells with the factors of ``rake`` and w, the weight of one token.
 
-
-def _weighted(cells: DataFrame, factors: DataFrame) -> DataFrame:
-    """``cells`` with tokens and factors, and ``w``, the weight of one token."""
-    out, product = cells.where("n > 0"), F.lit(1.0)
+    Each step is a sum by category over the cells themselves, which a bounded number of cells does within one task.
+    """
+    held = cells
     for m in MARGINS:
-        out, product = out.join(_factors(factors, m), f"_{m}"), product * F.col(f"f_{m}")
-    return out.select("_source", "_lang", "_topic", "n", product.alias("w"))
+        t = targets.where(F.col("margin") == m).select(F.col("category").alias(f"_{m}"), F.col("target").alias(f"t_{m}"))
+        held = held.join(t, f"_{m}").withColumn(f"f_{m}", F.lit(1.0))
+    held = stored(held, "raked")
+    if held.count() <= MOST_CATEGORIES:
+        held = held.coalesce(1)
+    names, done = list(MARGINS), 0
+    while True:
+        for _ in range(rounds):
+            for m in names:
+                product = F.col("n")
+                for other in names:
+                    if other != m:
+                        product = product * F.col(f"f_{other}")
+                total = F.sum(product).over(W.partitionBy(f"_{m}"))
+                held = held.withColumn("s", total).withColumn(f"f_{m}", F.when(F.col("s") > 0, F.col(f"t_{m}") / F.col("s")).otherwise(0.0)).drop("s")
+        held, done = stored(held, "raked"), done + rounds
+        weighted = held.where("n > 0").withColumn("w", F.lit(1.0) * F.col("f_source") * F.col("f_lang") * F.col("f_topic"))
+        far = _distance(weighted, targets)
+        if far <= TOLERANCE or done >= most:
+            break
+        held = held.coalesce(1) if held.count() <= MOST_CATEGORIES else held
+    if far > TOLERANCE:
+        warnings.warn(f"the margins can't all be met: {done} rounds of raking left one {far:.2g} from its target", stacklevel=3)
+    release(cells.sparkSession)
+    return weighted
 
 
 def _shares(weighted: DataFrame, tokens: Column, name: str) -> DataFrame:
@@ -143,7 +143,8 @@ def mixed(docs: DataFrame, targets: DataFrame | None = None, rounds: int = ROUND
     """
     held = categorised(docs)
     cells = stored(held.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("n")), "cells")
-    weighted = stored(_weighted(cells, rake(cells, targets if targets is not None else default_targets(cells), rounds)), "weights")
+    targets = targets if targets is not None else stored(default_targets(cells), "targets")
+    weighted = stored(_raked(cells, targets, rounds, MOST_ROUNDS).select("_source", "_lang", "_topic", "n", "w"), "weights")
     c = _scale(weighted, share)
     p = weighted.select("_source", "_lang", "_topic", F.when(F.col("w") > 0, F.least(F.lit(1.0), F.col("w") * F.lit(c))).otherwise(0.0).alias("p"))
     u = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, _HEX), 16, 10).cast("double") / F.lit(float(16**_HEX))
