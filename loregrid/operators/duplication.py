@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,15 +31,37 @@ def hamming_join(df: DataFrame, most: int) -> DataFrame:
     return l.join(r, on).select("a", "b", F.bit_count(x).alias("distance"))
 
 
-def simhash(tokens: Column) -> Column:
-    """64-bit fingerprint of a token array: majority bits over the xxhash64 of its 3-token shingles; 0 without any."""
-    n = F.size(tokens)
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2)), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, 3), " ")))
-    out = F.lit(0).cast("long")
-    ones = lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1)))
-    for k in range(64):
-        out = out.bitwiseOR(F.when(ones(k) * 2 > F.size(hashes), F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return F.when(n > 0, out).otherwise(F.lit(0).cast("long"))
+def fingerprinted(df: DataFrame, text: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with ``fp``: a 64-bit fingerprint of the tokens, the majority of bits over the xxhash64 of their 3-token shingles; 0 without any.
+
+    Tokens and hashes are columns of their own before the bits are counted, so each shingle is hashed once.
+    """
+    n = F.size("_tokens")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2)), lambda i: F.xxhash64(F.array_join(F.slice("_tokens", i, 3), " ")))
+    hashed = df.withColumn("_tokens", tokens(F.col(text))).withColumn("_hashes", F.when(n > 0, grams).otherwise(F.array().cast("array<long>")))
+    return hashed.withColumn("fp", majority_bits(F.col("_hashes"))).drop("_tokens", "_hashes")
+
+
+def majority_bits(hashes: Column) -> Column:
+    """The long whose bits are set where more than half of the array's longs have them; 0 for none.
+
+    Counts of four bits ride in one long, 16 bits each; longer arrays are counted in chunks, so that none runs over.
+    """
+    chunk = 32_767
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(hashes), F.lit(1)) - 1) / chunk).cast("int")), lambda i: F.slice(hashes, i * chunk + 1, chunk))
+    zero = F.lit(0).cast("long")
+
+    def sums(k: int) -> Column:
+        """Per chunk the counts of bits k, k + 16, k + 32 and k + 48."""
+        return F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(0x0001_0001_0001_0001))))
+
+    def count(bit: int) -> Column:
+        return F.aggregate(sums(bit % 16), zero, lambda a, s: a + F.shiftrightunsigned(s, bit // 16 * 16).bitwiseAND(F.lit(0xFFFF)))
+
+    out = zero
+    for bit in range(64):
+        out = out.bitwiseOR(F.when(count(bit) * 2 > F.size(hashes), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(zero))
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -53,8 +75,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         nxt = _cut(nxt)
         label = nxt.select("node", "root")
         if nxt.where("was <> root").isEmpty():
-            break
-    return label
+            return label
+    raise RuntimeError("components did not settle")
 
 
 def _cut(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..operators import code as K, duplication as D, graph as G, relational as R
 from .catalog import query
-from .relational import _CONNECTED, _RESOLVED, _fps, connected_pairs
+from .relational import _CONNECTED, _RESOLVED, connected_pairs
 
 
 @query("GRA01", "SELECT id, source_doc_id, target_ref, relation, source_kind FROM edges WHERE source_kind = 'frontmatter' UNION ALL SELECT DISTINCT d.id, d.id, 'Note 7.md', 'mentions', 'wikilink' FROM docs d")
@@ -124,7 +124,7 @@ def _(t):
     from ..sources.code import parse_sources
 
     src = F.concat(F.lit("import os\n\ndef f"), F.col("id").cast("string"), F.lit("(x):\n    return os.path.join('a', g(x))\n\nclass C:\n    def m(self):\n        self.n()\n"))
-    return parse_sources(t.symbols.where("id < 50").select(F.concat("file_path", F.lit(".py")).alias("path"), src.alias("source")))
+    return parse_sources(t.symbols.select(F.concat("file_path", F.lit(".py")).alias("path"), src.alias("source")))
 
 
 @query("COD02", "SELECT file_id, language FROM code_files")
@@ -140,7 +140,7 @@ def _(t):
     from ..sources.code import parse_sources
 
     src = F.concat(F.lit("fn f"), F.col("id").cast("string"), F.lit("(x: i32) -> i32 {\n    g(x)\n}\n"))
-    return parse_sources(t.symbols.where("id < 30").select("file_path", src.alias("source")).toDF("path", "source"))
+    return parse_sources(t.symbols.select("file_path", src.alias("source")).toDF("path", "source"))
 
 
 @query("COD04", "SELECT file_id, concat('crate::m', CAST(file_id % 19 AS STRING), '::f', CAST(file_id AS STRING)) AS module FROM code_files WHERE language = 'rust'")
@@ -197,18 +197,34 @@ def _(t):
     return c.select(F.least("from_id", "sym_id").alias("a"), F.greatest("from_id", "sym_id").alias("b")).distinct()
 
 
-_PAIRS = "SELECT src AS a, dst AS b FROM doc_links WHERE relation = 'mentions' AND src % 4 = 0 AND dst % 5 = 0"
+_PAIRS = "SELECT src AS a, dst AS b FROM doc_links WHERE relation = 'mentions'"
 
 
 @query("COD13", f"WITH RECURSIVE e AS (SELECT a, b FROM ({_PAIRS}) AS p UNION SELECT b, a FROM ({_PAIRS}) AS q), w AS (SELECT a AS node, a AS r FROM e UNION SELECT w.node, e.b FROM w JOIN e ON e.a = w.r) SELECT node, min(r) AS root FROM w GROUP BY node")
 def _(t):
-    p = t.doc_links.where("relation = 'mentions' AND src % 4 = 0 AND dst % 5 = 0").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    p = t.doc_links.where("relation = 'mentions'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     return D.components(p)
 
 
+#: Bits in which fingerprints of near texts differ at most.
+_NEAR = 6
+
+
+def _text_fingerprints(t):
+    """``(doc_id, fp)`` of every document's text."""
+    from ..functions.text import content_tokens
+
+    return D.fingerprinted(t.documents, "text", content_tokens).select("doc_id", "fp")
+
+
+def _near_pairs(fps):
+    """Pairs between the first documents of different fingerprints: copies need no pair to be known as such."""
+    return D._cut(D.hamming_join(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), _NEAR))
+
+
 @query("COD14")
 def _(t):
-    pairs = D.hamming_join(_fps(t).where("id < 400"), 2).select("a", "b")
+    pairs = _near_pairs(_text_fingerprints(t)).select("a", "b")
     return D.dense_groups(pairs, D.components(pairs))
 
 
@@ -216,7 +232,7 @@ def _(t):
 def _(t):
     from ..operators.vectors import cosine_pairs
 
-    pairs = cosine_pairs(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.9)
+    pairs = cosine_pairs(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.45)
     groups = D.dense_groups(pairs.select("a", "b"), D.components(pairs.select("a", "b")))
     both = pairs.join(groups.select(F.col("node").alias("a"), "grp"), "a").join(groups.select(F.col("node").alias("b"), F.col("grp").alias("g2")), "b").where("grp = g2")
     return both.groupBy("grp").agg(F.round(F.min("score"), 6).alias("weakest"), F.count("*").alias("pairs"))
@@ -224,11 +240,14 @@ def _(t):
 
 @query("COD16")
 def _(t):
-    pairs = D.hamming_join(_fps(t).where("id < 400"), 2)
+    fps = D._cut(_text_fingerprints(t))
+    pairs = _near_pairs(fps)
     comps = D.components(pairs.select("a", "b"))
     worst = pairs.join(comps.toDF("a", "root"), "a").groupBy("root").agg(F.max("distance").alias("hamming"))
-    m = comps.join(worst, "root").join(t.docs.select(F.col("id").alias("node"), F.col("path").alias("file_path"), F.col("collection").alias("module_path"), F.col("n_chars").alias("lines")), "node")
-    return D.cluster_report(m.select(F.col("root").alias("cluster"), "hamming", "file_path", "module_path", F.lit("private").alias("visibility"), "lines"), 2)
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).join(comps.join(worst, "root"), "node", "left")
+    clusters = classes.where("root is not null OR copies > 1").select("fp", F.coalesce("root", "node").alias("cluster"), F.coalesce("hamming", F.lit(0)).alias("hamming"))
+    m = fps.join(clusters, "fp").join(t.docs.select(F.col("id").alias("doc_id"), F.col("path").alias("file_path"), F.col("collection").alias("module_path"), F.col("n_chars").alias("lines")), "doc_id")
+    return D.cluster_report(m.select("cluster", "hamming", "file_path", "module_path", F.lit("private").alias("visibility"), "lines"), _NEAR)
 
 
 @query("COD17", f"WITH cc AS (SELECT a.path AS file_a, b.path AS file_b, count(*) AS n FROM (SELECT DISTINCT commit_id, path FROM commits) AS a JOIN (SELECT DISTINCT commit_id, path FROM commits) AS b ON a.commit_id = b.commit_id AND a.path < b.path GROUP BY ALL), k AS ({_CONNECTED}) SELECT file_a, file_b, n FROM cc WHERE n >= 5 AND NOT EXISTS (SELECT 1 FROM k WHERE k.file_a = cc.file_a AND k.file_b = cc.file_b) ORDER BY n DESC, file_a, file_b")

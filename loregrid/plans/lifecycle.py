@@ -36,7 +36,7 @@ def _(t):
 def _(t):
     from ..functions.diffs import unified_diff
 
-    return t.docs.where("id < 100").select("id", unified_diff(F.col("title"), F.concat("title", F.lit("\nmore"))).alias("diff"))
+    return t.docs.select("id", unified_diff(F.col("title"), F.concat("title", F.lit("\nmore"))).alias("diff"))
 
 
 @query("MEM05", f"SELECT id, CASE WHEN expires_at <= {NOW} THEN 'expire' WHEN status = 'archived' AND updated_at < {NOW} - 30 * 86400 THEN 'prune' ELSE 'keep' END AS action FROM memory")
@@ -287,10 +287,10 @@ def _(t):
     return t.memory.where(visible()).groupBy("entry_type", "status").agg(F.count("*").alias("n"))
 
 
-@query("CAT16", "SELECT a.id, CASE WHEN EXISTS (SELECT 1 FROM memory b WHERE b.rowid < 700 AND b.title = a.title) THEN 'duplicate' ELSE 'new' END AS decision FROM memory a WHERE a.rowid >= 600")
+@query("CAT16", "SELECT a.id, CASE WHEN EXISTS (SELECT 1 FROM memory b WHERE b.title = a.title AND b.rowid < a.rowid) THEN 'duplicate' ELSE 'new' END AS decision FROM memory a")
 def _(t):
-    have = t.memory.where("rowid < 700").select("title").distinct().withColumn("have", F.lit(True))
-    return t.memory.where("rowid >= 600").join(have, "title", "left").select("id", F.when(F.col("have"), "duplicate").otherwise("new").alias("decision"))
+    first = t.memory.groupBy("title").agg(F.min("rowid").alias("first"))
+    return t.memory.join(first, "title").select("id", F.when(F.col("first") < F.col("rowid"), "duplicate").otherwise("new").alias("decision"))
 
 
 @query("CAT17", "SELECT count(*) FILTER (f IS NULL) AS unprojected, count(*) FILTER (r IS NULL) AS orphaned FROM (SELECT rowid AS r FROM memory) AS a FULL JOIN (SELECT vec_id * 2 AS f FROM embeddings) AS b ON r = f")
@@ -492,10 +492,10 @@ def _(t):
     return t.code_files.where(~F.col("path").rlike("/m1[0-9]?/")).select("path")
 
 
-@query("SRC05", "SELECT doc_id, sha256(text) AS hash, octet_length(encode(text)) AS bytes, ceil(octet_length(encode(text)) / 4)::BIGINT AS tokens FROM documents WHERE octet_length(encode(text)) <= 8192")
+@query("SRC05", "SELECT doc_id, sha256(text) AS hash, octet_length(encode(text)) AS bytes, ceil(octet_length(encode(text)) / 4)::BIGINT AS tokens FROM documents WHERE octet_length(encode(text)) <= 1048576")
 def _(t):
     n = F.octet_length("text")
-    return t.documents.where(n <= 8192).select("doc_id", F.sha2("text", 256).alias("hash"), n.cast("long").alias("bytes"), F.ceil(n / 4).alias("tokens"))
+    return t.documents.where(n <= 1 << 20).select("doc_id", F.sha2("text", 256).alias("hash"), n.cast("long").alias("bytes"), F.ceil(n / 4).alias("tokens"))
 
 
 @query("SRC06", "SELECT conv_id, turn, text FROM turns WHERE role IN ('user', 'assistant') AND turn % 5 < 4")
@@ -511,9 +511,9 @@ def _(t):
     return t.hook_events.where(F.col("at_s") >= 1704067200 + 22 * DAY).groupBy("event").agg(F.count("*").alias("n"), F.min("at_s").alias("oldest"))
 
 
-@query("SRC08", "SELECT CAST(commit_id AS STRING) AS commit, path FROM commits WHERE commit_id < 500")
+@query("SRC08", "SELECT CAST(commit_id AS STRING) AS commit, path FROM commits")
 def _(t):
-    c = t.commits.where("commit_id < 500")
+    c = t.commits
     lines = c.select((F.col("commit_id") % 8).alias("log"), F.struct("commit_id", F.lit(0), F.lit("")).alias("o"), F.concat(F.lit("commit "), F.col("commit_id").cast("string")).alias("value")).distinct().union(c.select((F.col("commit_id") % 8).alias("log"), F.struct("commit_id", F.lit(1), "path").alias("o"), F.col("path").alias("value")))
     numbered = lines.withColumn("n", F.row_number().over(W.partitionBy("log").orderBy("o", "value")))
     return L.parse_commit_log(numbered.select("log", "n", "value")).select("commit", "path")

@@ -156,11 +156,11 @@ def _(t):
     return t.clusters.where("state = 'promoted'").join(live, "n").join(last, "id", "left").select("id", "entry", "last_injected")
 
 
-@query("JOI19", "SELECT DISTINCT m.id, e.session_id FROM memory m JOIN calls e ON contains(m.title, concat(' ', CAST(e.tokens AS STRING))) AND m.entry_type = 'reminder' WHERE e.tool = 'signup' AND m.rowid < 400 AND NOT EXISTS (SELECT 1 FROM injections i WHERE i.session = e.session_id AND i.cluster_id = concat('c-', CAST(m.rowid AS STRING)))")
+@query("JOI19", "SELECT DISTINCT m.id, e.session_id FROM memory m JOIN calls e ON contains(m.title, concat(' ', CAST(e.tokens AS STRING))) AND m.entry_type = 'reminder' WHERE e.tool = 'signup' AND NOT EXISTS (SELECT 1 FROM injections i WHERE i.session = e.session_id AND i.cluster_id = concat('c-', CAST(m.rowid AS STRING)))")
 def _(t):
     # the contexts are narrowed and made distinct first; what is left is compared with few triggers
     ctx = t.calls.where("tool = 'signup'").select("session_id", F.concat(F.lit(" "), F.col("tokens").cast("string")).alias("said")).distinct()
-    m = t.memory.where("entry_type = 'reminder' AND rowid < 400").select("id", "title", F.concat(F.lit("c-"), F.col("rowid").cast("string")).alias("cluster_id"))
+    m = t.memory.where("entry_type = 'reminder'").select("id", "title", F.concat(F.lit("c-"), F.col("rowid").cast("string")).alias("cluster_id"))
     hit = ctx.join(F.broadcast(m), F.contains("title", F.col("said"))).select("id", "session_id", "cluster_id").distinct()
     done = t.injections.select(F.col("session").alias("session_id"), "cluster_id").distinct()
     return hit.join(done, ["session_id", "cluster_id"], "left_anti").select("id", "session_id").distinct()
@@ -215,7 +215,7 @@ def _(t):
     return hamming_join(_fps(t), 6)
 
 
-_COS = 0.97
+_COS = 0.45
 
 
 @query("JOI25", f"SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {_COS}")
@@ -225,12 +225,12 @@ def _(t):
     return cosine_pairs(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), _COS).select("a", "b")
 
 
-@query("JOI26", f"SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9 JOIN memory x ON x.rowid = a.vec_id JOIN memory y ON y.rowid = b.vec_id WHERE x.status = 'active' AND y.status = 'active'")
+@query("JOI26", f"SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45 JOIN memory x ON x.rowid = a.vec_id JOIN memory y ON y.rowid = b.vec_id WHERE x.status = 'active' AND y.status = 'active'")
 def _(t):
     from ..operators.vectors import cosine_pairs
 
     live = t.memory.where("status = 'active'").select(F.col("rowid").alias("id"))
-    return cosine_pairs(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).join(live, "id", "left_semi"), 0.9).select("a", "b")
+    return cosine_pairs(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).join(live, "id", "left_semi"), 0.45).select("a", "b")
 
 
 @query("JOI27", "SELECT e.id, coalesce(d.path, concat('#', CAST(e.source_doc_id AS STRING))) AS source, e.target_ref FROM edges e LEFT JOIN docs d ON d.id = e.source_doc_id AND d.status IS NULL")
@@ -470,14 +470,14 @@ def _(t):
     return t.calls.groupBy("session_id", "tool").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.max("at_s").alias("last"))
 
 
-_RANKED = "SELECT user_id AS query, event_id % 50 AS id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE user_id < 60"
+_RANKED = "SELECT user_id AS query, event_id % 50 AS id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events"
 
 
 @query("AGG28", f"WITH h AS (SELECT query, min(r) AS r FROM ({_RANKED}) AS x WHERE id = query % 50 GROUP BY query), q AS (SELECT DISTINCT query FROM ({_RANKED}) AS y) SELECT count(*) AS n, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall_at_5, round(avg(CASE WHEN r <= 5 THEN 1.0 / r ELSE 0.0 END), 6)::DOUBLE AS mrr FROM q LEFT JOIN h USING (query)")
 def _(t):
     from ..operators.evals import recall_report
 
-    ranked = t.events.where("user_id < 60").select(F.col("user_id").alias("query"), (F.col("event_id") % 50).alias("id"), F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).alias("rank"))
+    ranked = t.events.select(F.col("user_id").alias("query"), (F.col("event_id") % 50).alias("id"), F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).alias("rank"))
     expected = ranked.select("query", (F.col("query") % 50).alias("id")).distinct()
     return recall_report(ranked, expected, 5)
 
@@ -496,9 +496,9 @@ def _(t):
     return t.recall_candidates.agg(F.round(hi - lo, 6).alias("gap"))
 
 
-@query("AGG31", "SELECT tool, count(*) AS calls, max(tokens) AS most, sum(truncated)::BIGINT AS truncated FROM calls WHERE session_id < 40 GROUP BY tool")
+@query("AGG31", "SELECT tool, count(*) AS calls, max(tokens) AS most, sum(truncated)::BIGINT AS truncated FROM calls GROUP BY tool")
 def _(t):
-    return t.calls.where("session_id < 40").groupBy("tool").agg(F.count("*").alias("calls"), F.max("tokens").alias("most"), F.sum("truncated").cast("long").alias("truncated"))
+    return t.calls.groupBy("tool").agg(F.count("*").alias("calls"), F.max("tokens").alias("most"), F.sum("truncated").cast("long").alias("truncated"))
 
 
 # --- windows ----------------------------------------------------------------------------------------------------
@@ -575,11 +575,11 @@ _TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), la
 _SHINGLES = "list_transform(range(1, len({0}) - 1), lambda i: {0}[i] || ' ' || {0}[i + 1] || ' ' || {0}[i + 2])"
 
 
-@query("WIN10", f"WITH q AS (SELECT item_id, {_TOK.format('text')} AS q FROM benchmark), e AS (SELECT doc_id, {_TOK.format('text')} AS e FROM documents WHERE doc_id % 5 = 0) SELECT item_id, doc_id FROM q, e WHERE list_has_any({_SHINGLES.format('q')}, {_SHINGLES.format('e')})")
+@query("WIN10", f"WITH q AS (SELECT item_id, {_TOK.format('text')} AS q FROM benchmark), e AS (SELECT doc_id, {_TOK.format('text')} AS e FROM documents) SELECT item_id, doc_id FROM q, e WHERE list_has_any({_SHINGLES.format('q')}, {_SHINGLES.format('e')})")
 def _(t):
     # the runs of three words are the join key: no query meets a document with which it shares none
-    q = t.benchmark.select("item_id", F.explode(F.array_distinct(X.shingles(X.content_tokens(F.col("text")), 3))).alias("s"))
-    e = t.documents.where("doc_id % 5 = 0").select("doc_id", F.explode(F.array_distinct(X.shingles(X.content_tokens(F.col("text")), 3))).alias("s"))
+    runs = lambda df, key: df.select(key, X.content_tokens(F.col("text")).alias("w")).select(key, F.explode(F.array_distinct(X.shingles(F.col("w"), 3))).alias("s"))
+    q, e = runs(t.benchmark, "item_id"), runs(t.documents, "doc_id")
     return q.join(e, "s").select("item_id", "doc_id").distinct()
 
 

@@ -38,11 +38,11 @@ _COS = """cosines AS (SELECT qv.id AS query, dv.id AS id, round(sum(dv.v * qv.v)
     JOIN (SELECT id, sqrt(sum(v * v)) AS nd FROM dv GROUP BY id) AS a ON a.id = dv.id JOIN (SELECT id, sqrt(sum(v * v)) AS nq FROM qv GROUP BY id) AS b ON b.id = qv.id GROUP BY qv.id, dv.id)"""
 
 
-@query("RET01", f"WITH {_bm25('docs', {'title': 10.0, 'body': 1.0}, _terms('item_id < 10'), _CURRENT)} SELECT query, id, lex AS score FROM lex QUALIFY row_number() OVER (PARTITION BY query ORDER BY lex DESC, id) <= 10")
+@query("RET01", f"WITH {_bm25('docs', {'title': 10.0, 'body': 1.0}, _terms('true'), _CURRENT)} SELECT query, id, lex AS score FROM lex QUALIFY row_number() OVER (PARTITION BY query ORDER BY lex DESC, id) <= 10")
 def _(t):
     from ..operators.lexical import bm25
 
-    q = t.benchmark.where("item_id < 10").select(F.col("item_id").alias("query"), F.array_distinct(X.content_tokens(F.col("text"))).alias("terms"))
+    q = t.benchmark.select(F.col("item_id").alias("query"), F.array_distinct(X.content_tokens(F.col("text"))).alias("terms"))
     s = bm25(t.docs.where(current()), q, {"title": (F.col("title"), 10.0), "body": (F.col("body"), 1.0)}).withColumn("score", F.round("score", 6))
     return S.top(s, 10, F.desc("score"), F.col("id")).drop("rank")
 
@@ -59,11 +59,11 @@ def _(t):
     return S.top(s, 10, F.desc("score"), F.col("id")).drop("rank")
 
 
-@query("RET02", f"WITH {_bm25('memory', {'id': 1.0, 'title': 1.0, 'content': 1.0, 'tags': 1.0}, _terms('item_id < 6'))} SELECT query, id, lex AS score FROM lex QUALIFY row_number() OVER (PARTITION BY query ORDER BY lex DESC, id) <= 10")
+@query("RET02", f"WITH {_bm25('memory', {'id': 1.0, 'title': 1.0, 'content': 1.0, 'tags': 1.0}, _terms('true'))} SELECT query, id, lex AS score FROM lex QUALIFY row_number() OVER (PARTITION BY query ORDER BY lex DESC, id) <= 10")
 def _(t):
     from ..operators.lexical import bm25
 
-    q = t.benchmark.where("item_id < 6").select(F.col("item_id").alias("query"), F.array_distinct(X.content_tokens(F.col("text"))).alias("terms"))
+    q = t.benchmark.select(F.col("item_id").alias("query"), F.array_distinct(X.content_tokens(F.col("text"))).alias("terms"))
     s = bm25(t.memory, q, {c: (F.col(c), 1.0) for c in ("id", "title", "content", "tags")}).withColumn("score", F.round("score", 6))
     return S.top(s, 10, F.desc("score"), F.col("id")).drop("rank")
 
@@ -81,18 +81,18 @@ def _(t):
     return d.groupBy("doc_id").agg(F.min("d").alias("distance")).orderBy("distance", "doc_id").limit(10)
 
 
-@query("RET05", f"""WITH {_bm25('docs', {'title': 10.0, 'body': 1.0}, _terms('item_id < 5'), _CURRENT)}, {_hashed(f"SELECT id, concat_ws(' ', title, body) AS text FROM docs WHERE {_CURRENT}", 'dv')}, {_hashed("SELECT item_id AS id, text FROM benchmark WHERE item_id < 5", 'qv')}, {_COS},
+@query("RET05", f"""WITH {_bm25('docs', {'title': 10.0, 'body': 1.0}, _terms('true'), _CURRENT)}, {_hashed(f"SELECT id, concat_ws(' ', title, body) AS text FROM docs WHERE {_CURRENT}", 'dv')}, {_hashed("SELECT item_id AS id, text FROM benchmark", 'qv')}, {_COS},
     l AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY lex DESC, id) AS r FROM lex QUALIFY r <= 20), v AS (SELECT query, id, cosine, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS r FROM cosines QUALIFY r <= 20),
     s AS (SELECT query, id, sum(s) AS s FROM (SELECT query, id, 1.0::DOUBLE / (60 + r) AS s FROM l UNION ALL SELECT query, id, 0.7::DOUBLE / (60 + r) FROM v) AS u GROUP BY query, id), z AS (SELECT query, id, round(s / max(s) OVER (PARTITION BY query), 6) AS score FROM s)
     SELECT z.query, z.id, score, cosine, row_number() OVER (PARTITION BY z.query ORDER BY score DESC, z.id) AS rank FROM z LEFT JOIN v ON v.query = z.query AND v.id = z.id QUALIFY rank <= 10""")
 def _(t):
-    q = t.benchmark.where("item_id < 5").select(F.col("item_id").alias("query"), "text")
+    q = t.benchmark.select(F.col("item_id").alias("query"), "text")
     return S.hybrid_documents(t.docs, q, 10, current()).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("RET06")
 def _(t):
-    q = t.benchmark.where("item_id < 5").select(F.col("item_id").alias("query"), "text")
+    q = t.benchmark.select(F.col("item_id").alias("query"), "text")
     return S.recall(t.memory.where((F.col("status") == "active") & visible()), q, 5, NOW, 0.40)
 
 

@@ -41,16 +41,16 @@ DERIVED: dict[str, str] = {
     "edges": """
         SELECT CAST(doc_id AS BIGINT) AS id, CAST(doc_id AS BIGINT) AS source_doc_id,
           CASE doc_id % 4 WHEN 0 THEN concat(source, '/', lang, '/d', CAST((doc_id * 7 + 3) % 1200 AS STRING))
-            WHEN 1 THEN concat('alias-', CAST(doc_id % 40 AS STRING)) WHEN 2 THEN concat('./', source, '/', lang, '/d', CAST((doc_id * 3 + 50) % 1100 AS STRING), '.md')
+            WHEN 1 THEN concat('alias-', CAST(doc_id % 40 AS STRING)) WHEN 2 THEN concat('./', source, '/', lang, '/d', CAST(CASE WHEN doc_id % 8 = 2 THEN doc_id ELSE (doc_id * 3 + 50) % 1100 END AS STRING), '.md')
             ELSE concat('missing-', CAST(doc_id AS STRING)) END AS target_ref,
           CASE doc_id % 3 WHEN 0 THEN 'relates_to' WHEN 1 THEN 'depends_on' ELSE 'mentions' END AS relation,
           CASE WHEN doc_id % 2 = 0 THEN 'frontmatter' ELSE 'wikilink' END AS source_kind, CAST(1700000000 + doc_id AS BIGINT) AS created_at
         FROM documents""",
-    "aliases": "SELECT CAST(doc_id AS BIGINT) AS doc_id, concat('alias-', CAST(doc_id % 37 AS STRING)) AS alias FROM documents WHERE doc_id % 9 = 2",
+    "aliases": "SELECT CAST(doc_id AS BIGINT) AS doc_id, concat('alias-', CAST(doc_id % 37 AS STRING)) AS alias FROM documents",
     "doc_links": """
-        SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS src, CAST(l_partkey % 400 + 100 AS BIGINT) AS dst,
-          CASE l_linenumber % 3 WHEN 0 THEN 'relates_to' WHEN 1 THEN 'depends_on' ELSE 'mentions' END AS relation
-        FROM lineitem WHERE l_orderkey % 40 = 0""",
+        SELECT DISTINCT CAST(c_custkey % 211 AS BIGINT) AS src, CAST((c_custkey * 7 + c_nationkey * 31) % 400 + 100 AS BIGINT) AS dst,
+          CASE (c_custkey + c_nationkey) % 3 WHEN 0 THEN 'relates_to' WHEN 1 THEN 'depends_on' ELSE 'mentions' END AS relation
+        FROM customer""",
     "evolution": """
         SELECT CAST(doc_id AS BIGINT) AS id, CAST(doc_id AS BIGINT) AS source_doc_id, CAST(doc_id - 1 - doc_id % 3 AS BIGINT) AS target_doc_id,
           CASE doc_id % 5 WHEN 0 THEN 'supersedes' WHEN 1 THEN 'updates' WHEN 2 THEN 'corrects' WHEN 3 THEN 'retracts' ELSE 'extends' END AS relationship,
@@ -60,7 +60,7 @@ DERIVED: dict[str, str] = {
         SELECT concat('m-', CAST(doc_id AS STRING)) AS source_id, concat('m-', CAST((doc_id * 13 + 7) % 1000 AS STRING)) AS target_ref, 'memory' AS target_kind,
           CASE doc_id % 5 WHEN 0 THEN 'depends_on' WHEN 1 THEN 'relates_to' WHEN 2 THEN 'contradicts' WHEN 3 THEN 'supersedes' ELSE 'supports' END AS relation,
           CAST(1700000000 + doc_id * 11 AS BIGINT) AS created_at
-        FROM documents WHERE doc_id % 2 = 0""",
+        FROM documents""",
     "commits": "SELECT CAST(l_orderkey AS BIGINT) AS commit_id, concat('src/f', CAST(l_partkey % 500 AS STRING), '.rs') AS path FROM lineitem",
     "code_files": """
         SELECT DISTINCT CAST(p_partkey % 97 AS BIGINT) AS file_id, concat('src/m', CAST(p_partkey % 97 % 19 AS STRING), '/f', CAST(p_partkey % 97 AS STRING), '.rs') AS path,
@@ -68,24 +68,24 @@ DERIVED: dict[str, str] = {
           CAST(1700000000 + p_partkey % 97 * 1000 AS BIGINT) AS mtime, CAST(100 + p_partkey % 97 * 3 AS BIGINT) AS token_estimate
         FROM part""",
     "symbols": """
-        SELECT CAST(p_partkey AS BIGINT) AS id, concat('fn', CAST(p_partkey % 311 AS STRING)) AS name,
+        SELECT CAST(p_partkey AS BIGINT) AS id, concat('fn', CAST(p_partkey % 1555 AS STRING)) AS name,
           CASE p_partkey % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 2 THEN 'struct' ELSE 'function' END AS kind,
           CAST(p_partkey % 97 AS BIGINT) AS file_id, concat('src/m', CAST(p_partkey % 97 % 19 AS STRING), '/f', CAST(p_partkey % 97 AS STRING), '.rs') AS file_path,
           CAST(p_partkey % 50 * 20 + 1 AS BIGINT) AS line_start, CAST(p_partkey % 50 * 20 + 1 + p_size AS BIGINT) AS line_end, CAST(p_partkey % 8 AS BIGINT) AS col_start,
-          CASE WHEN p_partkey % 3 = 0 THEN concat('app::Own', CAST(p_partkey % 23 AS STRING)) END AS owner_name,
+          CASE WHEN p_partkey % 1555 % 3 = 0 THEN concat('app::Own', CAST(CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 1555 % 23 ELSE p_partkey % 23 END AS STRING)) END AS owner_name,
           CASE WHEN p_partkey % 5 <> 0 THEN concat('app::m', CAST(p_partkey % 97 % 19 AS STRING)) END AS module_path,
           CASE p_partkey % 6 WHEN 0 THEN 'public' WHEN 1 THEN 'package' WHEN 2 THEN 'crate' WHEN 3 THEN 'module' WHEN 4 THEN 'restricted' ELSE 'private' END AS visibility,
           concat('fn ', p_name, '(', p_brand, ')') AS signature, p_type AS doc_comment, CAST(p_size AS BIGINT) AS nodes
         FROM part""",
     "relationships": """
         SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id, CAST(l_partkey AS BIGINT) AS from_symbol_id, CAST(l_partkey % 97 AS BIGINT) AS file_id, 'Calls' AS kind,
-          concat('fn', CAST((l_suppkey * 7 + l_linenumber) % 330 AS STRING)) AS to_name,
+          concat('fn', CAST((l_suppkey * 7 + l_linenumber) % 1650 AS STRING)) AS to_name,
           CASE WHEN l_orderkey % 5 = 0 THEN concat('Own', CAST(l_suppkey % 23 AS STRING)) WHEN l_orderkey % 5 = 1 THEN concat('m', CAST(l_suppkey % 19 AS STRING)) END AS to_qualifier,
           CASE WHEN l_orderkey % 5 = 2 THEN concat('Own', CAST(l_suppkey % 23 AS STRING)) END AS to_receiver_type,
-          CASE WHEN l_orderkey % 5 = 3 AND l_linenumber % 2 = 0 THEN concat('fn', CAST(l_suppkey % 400 AS STRING)) END AS to_receiver_call
-        FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey FROM lineitem WHERE l_orderkey % 8 < 2 GROUP BY l_orderkey, l_linenumber) AS u""",
-    "imports": "SELECT DISTINCT CAST(l_partkey % 97 AS BIGINT) AS file_id, concat('app::m', CAST(l_suppkey % 19 AS STRING)) AS path FROM lineitem WHERE l_orderkey % 50 = 1",
-    "literals": "SELECT CAST(doc_id AS BIGINT) AS id, concat('src/m', CAST(doc_id % 19 AS STRING), '/f', CAST(doc_id % 97 AS STRING), '.rs') AS path, CAST(doc_id % 300 + 1 AS BIGINT) AS line, substr(text, 1, 60) AS value FROM documents",
+          CASE WHEN l_orderkey % 5 = 3 AND l_linenumber % 2 = 0 THEN concat('fn', CAST(l_suppkey * 17 % 2000 AS STRING)) END AS to_receiver_call
+        FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber) AS u""",
+    "imports": "SELECT DISTINCT CAST(p_partkey % 97 AS BIGINT) AS file_id, concat('app::m', CAST((p_partkey % 97 * 5 + p_partkey % 3) % 19 AS STRING)) AS path FROM part",
+    "literals": "SELECT CAST(doc_id AS BIGINT) AS id, concat('src/m', CAST(doc_id % 19 AS STRING), '/f', CAST(doc_id % 97 AS STRING), '.rs') AS path, CAST(doc_id % 300 + 1 AS BIGINT) AS line, text AS value FROM documents",
     "query_events": """
         SELECT event_id AS id, event_type AS search_type, concat('q', CAST(CAST(regexp_extract(props, '[0-9]+', 0) AS INT) % 25 * 150 + user_id AS STRING)) AS query_hash, user_id AS session_id,
           CAST(floor(value) AS BIGINT) AS latency_ms, CAST(CAST(regexp_extract(props, '[0-9]+', 0) AS INT) % 10 AS BIGINT) AS result_count,

@@ -107,3 +107,14 @@ def test_stream_equals_batch(spark, tmp_path):
         df.where(F.col("tokens") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = running_counts(events_stream(spark, str(tmp_path / "in"), df.schema, 1))
     assert {tuple(r) for r in run_once(stream, "counts").collect()} == {tuple(r) for r in running_counts(df).collect()}
+
+
+def test_majority_bits_equal_brute_force(spark):
+    from loregrid.operators.duplication import fingerprinted, majority_bits
+
+    rnd = random.Random(8)
+    rows = [(n, [rnd.getrandbits(64) - (1 << 63) for _ in range(n)]) for n in (0, 1, 2, 3, 40, 70_000)]
+    got = {r.n: r.fp & (2**64 - 1) for r in spark.createDataFrame(rows, "n int, h array<long>").select("n", majority_bits(F.col("h")).alias("fp")).collect()}
+    assert got == {n: sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in hs) > n) for n, hs in rows}
+    same = fingerprinted(spark.createDataFrame([("a b c d",), ("a  b c d",), ("",), (None,)], "t string"), "t", lambda c: F.array_remove(F.split(F.coalesce(c, F.lit("")), " "), "")).collect()
+    assert same[0].fp == same[1].fp != 0 and same[2].fp == same[3].fp == 0
