@@ -24,8 +24,8 @@ REPLICAS, BOUNDARY = 4, 1.04
 #: A query searches all lists whose centroids are within this ratio of the nearest one's distance, and in any case the
 #: nearest LEAST_LISTS and the nearest SHARE of all lists: a fixed number of them would find less the more there are.
 PRUNE, LEAST_LISTS, SHARE = 1.15, 24, 0.25
-#: Neighbours of a centroid in the graph; centroids that a vector's search keeps in view.
-DEGREE, NARROW = 24, 24
+#: Neighbours of a centroid in the graph; links back to it, those of its SURE nearest apart; centroids that a search keeps in view.
+DEGREE, BACK, SURE, NARROW = 24, 24, 2, 48
 #: Vectors and queries of one unit of work.
 BLOCK, QUERIES = 2_048, 256
 
@@ -75,9 +75,12 @@ class Index:
         norm = (c**2).sum(1)
         near = np.concatenate([np.argsort(norm[at : at + step, None] - 2 * c[at : at + step] @ c.T + norm, axis=1, kind="stable")[:, 1 : DEGREE + 1] for at in range(0, len(c), step)])
         links: list[set[int]] = [set(map(int, row)) for row in near]
-        for i, row in enumerate(near):
-            for j in row:
-                links[int(j)].add(i)
+        room = np.full(len(c), BACK)
+        for j in range(near.shape[1]):  # links back, nearest first; a centroid near to many others has room for BACK of them
+            for i in range(len(c)):
+                if i not in links[t := int(near[i, j])] and (j < SURE or room[t] > 0):
+                    links[t].add(i)
+                    room[t] -= 1
         for i in range(len(c)):  # a few far links keep the graph in one piece
             links[i] |= set(map(int, rng.integers(0, len(c), 4))) | {(i + 1) % len(c)}
         width = max(map(len, links))
@@ -87,35 +90,44 @@ class Index:
     def nearest(self, x: np.ndarray, beam: int = NARROW) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids that a beam search over the graph finds, nearest first, and their distances; all rows at once.
 
-        A step looks at the neighbours of each row's best centroid that isn't done and keeps the ``beam`` nearest: what
-        it costs doesn't depend on the number of centroids.
+        A step looks at the neighbours of each row's best centroid that isn't done and keeps the ``beam`` nearest. A
+        row measures a centroid once, and leaves the loop when all that it keeps are done: apart from the map of the
+        centroids seen, what it costs doesn't depend on their number.
         """
         n, beam = len(x), min(beam, len(self.centroids))
-        at = np.broadcast_to(self.entries, (n, len(self.entries)))
-        held, d, done = at, self._measure(x, at), np.zeros(at.shape, dtype=bool)
-        rows = np.arange(n)
-        while True:
+        start = self.entries[:beam]
+        seen = np.zeros((n, len(self.centroids)), dtype=bool)
+        seen[:, start] = True
+        rows, held = np.arange(n), np.tile(start, (n, 1))
+        d = self._measure(x, np.repeat(rows, len(start)), held.ravel()).reshape(held.shape)
+        done = np.zeros(held.shape, dtype=bool)
+        found, far = np.zeros((n, beam), dtype=held.dtype), np.full((n, beam), np.inf)
+        while len(rows):
             open_ = np.where(done, np.inf, d)
             best = open_.argmin(1)
-            live = np.isfinite(open_[rows, best])
-            if not live.any():
-                break
-            done[rows, best] = True
-            more = self.graph[held[rows, best]]
-            far = self._measure(x, more)
-            # neighbours in view already, those that the graph names twice, and those of rows that are through
-            far[(more[:, :, None] == held[:, None, :]).any(2) | ~live[:, None]] = np.inf
-            far[:, 1:][more[:, 1:] == more[:, :-1]] = np.inf
-            held, d, done = np.concatenate((held, more), 1), np.concatenate((d, far), 1), np.concatenate((done, np.isinf(far)), 1)
+            live = np.isfinite(open_[np.arange(len(rows)), best])
+            if not live.all():
+                found[rows[~live], : held.shape[1]], far[rows[~live], : held.shape[1]] = held[~live], d[~live]
+                rows, held, d, done, best = rows[live], held[live], d[live], done[live], best[live]
+            each = np.arange(len(rows))
+            done[each, best] = True
+            more = self.graph[held[each, best]]
+            i, j = np.nonzero(~seen[rows[:, None], more])
+            to = more[i, j]
+            seen[rows[i], to] = True
+            new = np.full(more.shape, np.inf)
+            new[i, j] = self._measure(x, rows[i], to)
+            held, d, done = np.concatenate((held, more), 1), np.concatenate((d, new), 1), np.concatenate((done, np.isinf(new)), 1)
             if d.shape[1] > beam:
                 keep = np.argpartition(d, beam - 1, axis=1)[:, :beam]
                 held, d, done = (np.take_along_axis(z, keep, axis=1) for z in (held, d, done))
-        order = np.argsort(d, axis=1, kind="stable")
-        return np.take_along_axis(held, order, axis=1), np.take_along_axis(d, order, axis=1)
+        order = np.argsort(far, axis=1, kind="stable")
+        return np.take_along_axis(found, order, axis=1), np.take_along_axis(far, order, axis=1)
 
-    def _measure(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        diff = x[:, None, :] - self.centroids[at]
-        return np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    def _measure(self, x: np.ndarray, rows: np.ndarray, to: np.ndarray) -> np.ndarray:
+        diff = x[rows]
+        diff -= self.centroids[to]
+        return np.sqrt(np.einsum("ij,ij->i", diff, diff))
 
     def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All centroids, nearest first, and their distances: cheaper than the graph once a search sees much of it."""
