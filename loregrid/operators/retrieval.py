@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..functions.text import content_tokens, identifiers, recall_terms, strong_tokens
 from . import hybrid, lexical, memory
+from .bounds import small
 
 #: Buckets of the offline embedder; a model's vectors take its place where one is at hand.
 DIMENSIONS = 64
@@ -21,11 +22,11 @@ def hashed(texts: DataFrame, text: str) -> DataFrame:
 
 
 def sparse_cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query, id, cosine)`` of sparse vectors ``(id, bucket, v)`` and a small set of queries ``(query, bucket, v)``."""
+    """``(query, id, cosine)`` of sparse vectors ``(id, bucket, v)`` and queries ``(query, bucket, v)``, broadcast if counted as small."""
     norm = vectors.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nd"))
     qn = queries.groupBy("query").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nq"))
-    dots = vectors.join(F.broadcast(queries.withColumnRenamed("v", "qv")), "bucket").groupBy("query", "id").agg(F.sum(F.col("v") * F.col("qv")).alias("dot"))
-    return dots.join(norm, "id").join(F.broadcast(qn), "query").select("query", "id", (F.col("dot") / (F.col("nd") * F.col("nq"))).alias("cosine"))
+    dots = vectors.join(small(queries.withColumnRenamed("v", "qv")), "bucket").groupBy("query", "id").agg(F.sum(F.col("v") * F.col("qv")).alias("dot"))
+    return dots.join(norm, "id").join(qn, "query").select("query", "id", (F.col("dot") / (F.col("nd") * F.col("nq"))).alias("cosine"))
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -69,7 +70,7 @@ def recall(entries: DataFrame, queries: DataFrame, limit: int, now: int, floor:
     whole = F.concat_ws(" ", "title", "content")
     tokens = entries.join(pool.select("id").distinct(), "id", "left_semi").withColumns({"whole": whole, "_e": content_tokens(whole)})
     asked = queries.select("query", content_tokens(F.col("text")).alias("_q"), identifiers(F.col("text")).alias("_i"))
-    pool = pool.join(tokens, "id").join(F.broadcast(asked), "query").join(cos, ["query", "id"], "left")
+    pool = pool.join(tokens, "id").join(small(asked, 1_000), "query").join(cos, ["query", "id"], "left")
     admitted = pool.where(hybrid.admits(strong_tokens(F.col("_q"), F.col("_e"), F.col("_i"), F.col("whole")), F.sqrt(2 * (1 - F.least("cosine", F.lit(1.0)))), (2 * (1 - floor)) ** 0.5 + 1e-9))
     keys = admitted.select("query", "id", "cosine", F.round(memory.access_recency(F.lit(now), half_life), 9).alias("recency"), memory.confidence(F.lit(now)).alias("confidence"))
     inside = lambda leg: leg.join(keys.select("query", "id"), ["query", "id"], "left_semi")

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .bounds import small
+
 #: Rows of one side of a block of pairs.
 BLOCK = 2_048
 
@@ -41,8 +43,8 @@ def cosine_of_distance(d: Column) -> Column:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """``(query, id, distance, rank)``: exact k nearest by L2 distance, ties by id. ``queries(query, q)`` is a small stated set and is broadcast."""
-    d = vectors.crossJoin(F.broadcast(queries)).select("query", "id", F.round(l2("v", "q"), digits).alias("distance"))
+    """``(query, id, distance, rank)``: exact k nearest by L2 distance, ties by id. ``queries(query, q)`` is a stated set, broadcast up to 10,000 of them."""
+    d = vectors.crossJoin(small(queries, 10_000)).select("query", "id", F.round(l2("v", "q"), digits).alias("distance"))
     w = W.partitionBy("query").orderBy("distance", "id")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
