@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+#: Spans into which distinct values are dealt for running sums.
+SPANS = 64
+
+
 def band_semi_join(df: DataFrame, key: str, at: str, width: int, tie: str) -> DataFrame:
     """Rows with another row of the same ``key`` within ``width`` of ``at`` (rows differ in ``tie``).
 
@@ -39,10 +43,19 @@ def offset_percentile(values: Column, p: int) -> Column:
 def offset_percentiles(df: DataFrame, value: str, ps: tuple[int, ...]) -> DataFrame:
     """One row ``p50, p95, ...`` of offset percentiles without gathering the values: counts by value, then running sums.
 
-    The counts are one row for each distinct value; only those pass through the single ordered partition.
+    Distinct values are dealt into ``SPANS`` spans by approximate quantiles and summed within each; only the
+    spans' totals pass through a single ordered partition. Where the cuts lie doesn't change the result.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    run = counts.withColumn("hi", F.sum("c").over(W.orderBy(value))).crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))
+    cuts = counts.agg(F.percentile_approx(value, [k / SPANS for k in range(1, SPANS)])).first()[0] or []
+    span = F.lit(0)
+    for cut in sorted(set(cuts)):
+        span = span + F.when(F.col(value) >= cut, 1).otherwise(0)
+    dealt = counts.withColumn("span", span)
+    totals = dealt.groupBy("span").agg(F.sum("c").alias("t"))  # SPANS rows at most
+    before = totals.select("span", (F.sum("t").over(W.orderBy("span")) - F.col("t")).alias("low"))
+    run = dealt.withColumn("hi", F.sum("c").over(W.partitionBy("span").orderBy(value))).join(F.broadcast(before), "span")
+    run = run.withColumn("hi", F.col("hi") + F.col("low")).crossJoin(F.broadcast(totals.agg(F.sum("t").alias("n"))))
     hit = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
     return run.agg(*[F.min(F.when(F.col("hi") > hit(p), F.col(value))).alias(f"p{p}") for p in ps])
 
