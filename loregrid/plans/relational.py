@@ -158,10 +158,12 @@ def _(t):
 
 @query("JOI19", "SELECT DISTINCT m.id, e.session_id FROM memory m JOIN calls e ON contains(m.title, concat(' ', CAST(e.tokens AS STRING))) AND m.entry_type = 'reminder' WHERE e.tool = 'signup' AND NOT EXISTS (SELECT 1 FROM injections i WHERE i.session = e.session_id AND i.cluster_id = concat('c-', CAST(m.rowid AS STRING)))")
 def _(t):
-    # the contexts are narrowed and made distinct first; what is left is compared with few triggers
+    # a title holds " n" if n's digits begin one of its numbers that follow a space: equal strings meet, nothing is compared with all
     ctx = t.calls.where("tool = 'signup'").select("session_id", F.concat(F.lit(" "), F.col("tokens").cast("string")).alias("said")).distinct()
     m = t.memory.where("entry_type = 'reminder'").select("id", "title", F.concat(F.lit("c-"), F.col("rowid").cast("string")).alias("cluster_id"))
-    hit = ctx.join(F.broadcast(m), F.contains("title", F.col("said"))).select("id", "session_id", "cluster_id").distinct()
+    runs = m.select("id", "cluster_id", F.explode(F.regexp_extract_all("title", F.lit(r" -?\d+"), F.lit(0))).alias("run"))
+    said = runs.select("id", "cluster_id", F.explode(F.transform(F.sequence(F.lit(2), F.length("run")), lambda k: F.substring("run", F.lit(1), k))).alias("said")).distinct()
+    hit = ctx.join(said, "said").select("id", "session_id", "cluster_id").distinct()
     done = t.injections.select(F.col("session").alias("session_id"), "cluster_id").distinct()
     return hit.join(done, ["session_id", "cluster_id"], "left_anti").select("id", "session_id").distinct()
 

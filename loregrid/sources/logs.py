@@ -36,8 +36,13 @@ def parse_commit_log(lines: DataFrame, mark: str = "commit ") -> DataFrame:
 
 
 def owned(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """``files(path)`` with the ``collection`` of the most specific of ``roots(collection, root)``, a small catalogue; files outside all go."""
-    hit = files.join(F.broadcast(roots), F.col("path").startswith(F.concat("root", F.lit("/"))))
+    """``files(path)`` with the ``collection`` of the most specific of ``roots(collection, root)``; files outside all go.
+
+    A file meets the roots by an equi-join on the folders above it.
+    """
+    parts = F.split("path", "/")
+    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
+    hit = files.select("path", F.explode(above).alias("root")).join(roots, "root")
     return hit.groupBy("path").agg(F.max_by("collection", F.struct(F.length("root"), "root")).alias("collection"))
 
 

@@ -118,3 +118,37 @@ def test_majority_bits_equal_brute_force(spark):
     assert got == {n: sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in hs) > n) for n, hs in rows}
     same = fingerprinted(spark.createDataFrame([("a b c d",), ("a  b c d",), ("",), (None,)], "t string"), "t", lambda c: F.array_remove(F.split(F.coalesce(c, F.lit("")), " "), "")).collect()
     assert same[0].fp == same[1].fp != 0 and same[2].fp == same[3].fp == 0
+
+
+def test_offset_percentiles_of_skewed_values(spark):
+    from loregrid.operators.relational import offset_percentiles
+
+    rng = random.Random(3)
+    values = [7.0] * 500 + [rng.paretovariate(0.6) for _ in range(900)] + [-rng.random() for _ in range(77)]
+    rng.shuffle(values)
+    ps = (0, 1, 37, 50, 75, 99, 100)
+    got = offset_percentiles(spark.createDataFrame([(v,) for v in [*values, None]], "x double"), "x", ps).first()
+    values.sort()
+    assert tuple(got) == tuple(values[min(len(values) * p // 100, len(values) - 1)] for p in ps)
+    assert tuple(offset_percentiles(spark.createDataFrame([(None,)], "x long"), "x", (50,)).first()) == (None,)
+
+
+def test_owner_is_the_most_specific_root(spark):
+    from loregrid.sources.logs import owned
+
+    paths = ["/a/b/c.md", "/a/b", "/a/bc/d", "a/b/c", "x", "/", "a/", "/a/b/c.md", None]
+    roots = [("top", ""), ("a", "/a"), ("ab", "/a/b"), ("rel", "a"), ("deep", "/a/b/c.md")]
+    got = owned(spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame(roots, "collection string, root string"))
+    best = {p: max(((len(r), r, c) for c, r in roots if p.startswith(r + "/")), default=None) for p in paths if p is not None}
+    assert {r.path: r.collection for r in got.collect()} == {p: b[2] for p, b in best.items() if b}
+
+
+def test_bm25_beyond_the_broadcast_bound(spark, monkeypatch):
+    from loregrid.operators import lexical
+
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma"), (3, None), (4, "")], "id long, body string")
+    asked = spark.createDataFrame([(0, ["beta", "alpha"]), (1, ["gamma"]), (2, [])], "query long, terms array<string>")
+    run = lambda: sorted(map(tuple, lexical.bm25(docs, asked, {"body": (F.col("body"), 1.0)}).collect()))
+    near = run()
+    monkeypatch.setattr(lexical, "MOST_ROWS", 0)
+    assert [r[:2] for r in near] == [(0, 1), (0, 2), (1, 2)] and run() == near
