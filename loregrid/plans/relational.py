@@ -135,9 +135,9 @@ def _(t):
     return t.memory_edges.where("relation = 'depends_on'").join(stale, "target_ref", "left_semi").select("source_id").distinct()
 
 
-@query("JOI16", "SELECT c.prompt_id, c.entry_id, p.session, coalesce(m.title, '') AS title FROM recall_candidates c JOIN recall_prompts p ON p.id = c.prompt_id LEFT JOIN memory m ON m.id = c.entry_id WHERE c.outcome IS NULL AND p.session < 20")
+@query("JOI16", "SELECT c.prompt_id, c.entry_id, p.session, coalesce(m.title, '') AS title FROM recall_candidates c JOIN recall_prompts p ON p.id = c.prompt_id LEFT JOIN memory m ON m.id = c.entry_id WHERE c.outcome IS NULL")
 def _(t):
-    p = t.recall_prompts.where("session < 20").select(F.col("id").alias("prompt_id"), "session")
+    p = t.recall_prompts.select(F.col("id").alias("prompt_id"), "session")
     return t.recall_candidates.where("outcome is null").join(p, "prompt_id").join(t.memory.select(F.col("id").alias("entry_id"), "title"), "entry_id", "left").select("prompt_id", "entry_id", "session", F.coalesce("title", F.lit("")).alias("title"))
 
 

@@ -130,11 +130,15 @@ def _(t):
     return t.documents.select("doc_id", F.md5(X.redact(F.col("text")).cast("binary")).alias("redacted"))
 
 
-@query("STR16", f"WITH k AS (SELECT id, {_SIG.format('error_signature')} AS k FROM clusters WHERE n < 60), e AS (SELECT id AS eid, {_SIG.format('signature')} AS e FROM errors WHERE id % 10 = 0) SELECT id, eid, len(list_intersect(k, e)) / len(k) >= 0.6 AS same FROM k, e")
-def _(t):
-    k = t.clusters.where("n < 60").select("id", "error_signature")
-    e = t.errors.where("id % 10 = 0").select(F.col("id").alias("eid"), "signature")
-    return e.crossJoin(F.broadcast(k)).select("id", "eid", X.signatures_match(F.col("error_signature"), F.col("signature")).alias("same"))
+@query("STR16", f"WITH k AS (SELECT id, {_SIG.format('error_signature')} AS k FROM clusters), e AS (SELECT list_sort({_SIG.format('signature')}) AS e, count(*) AS n FROM errors GROUP BY 1) SELECT id, coalesce(sum(n), 0)::BIGINT AS same FROM k LEFT JOIN e ON len(k) > 0 AND len(list_intersect(k, e)) / len(k) >= 0.6 GROUP BY id")
+def _(t):
+    # signatures of equal words are one; those that share a word are told apart, the others can't match
+    words = lambda df, c, *n: df.groupBy(F.sort_array(X.signature_tokens(F.col(c))).alias(f"{c}_words")).agg(F.min(c).alias(c), *n)
+    k, e = words(t.clusters, "error_signature"), words(t.errors, "signature", F.count("*").alias("n"))
+    met = k.select("error_signature", F.explode("error_signature_words").alias("w")).join(e.select("signature", "n", F.explode("signature_words").alias("w")), "w").select("error_signature", "signature", "n").distinct()
+    same = met.where(X.signatures_match(F.col("error_signature"), F.col("signature"))).groupBy("error_signature").agg(F.sum("n").alias("same")).join(k, "error_signature").select("error_signature_words", "same")
+    known = t.clusters.select("id", F.sort_array(X.signature_tokens(F.col("error_signature"))).alias("error_signature_words"))
+    return known.join(same, "error_signature_words", "left").groupBy("id").agg(F.coalesce(F.max("same"), F.lit(0)).alias("same"))
 
 
 @query("STR17", f"SELECT conv_id, turn, list_has_any(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}'']+'), [{', '.join(repr(w) if chr(39) not in w else chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in X.CORRECTION_WORDS)}]) OR {' OR '.join(f'contains(lower(text), {p!r})' for p in X.CORRECTION_PHRASES)} AS correction FROM conversations")
