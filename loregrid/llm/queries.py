@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontaminate, infill, licenses, lines, mixing, quality, rules, secrets, simhash, warc
+from . import ann, chat, decontaminate, infill, licenses, lines, mixing, quality, rules, secrets, simhash, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_warc": warc.op9_warc,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_quality_rules": rules.op12_quality_rules,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
@@ -30,6 +31,7 @@ SQL: dict[str, str] = {
     "op6_chat_formatting": chat.SQL,
     "op9_warc": warc.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
+    "op11_prefix_trie": trie.SQL,
     "op12_quality_rules": rules.SQL,
     "op13_fill_in_middle": infill.SQL,
 }
