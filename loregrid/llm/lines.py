@@ -26,7 +26,7 @@ _STEP, _SEEN, _BATCH = 150_000, 500_000, 4_096
 _KNOWN = 400_000
 #: Band hashes of a part in which shared ones are looked for, the least number of parts, and rows of one block's bucket that meet others there.
 _PART, _LEAST_PARTS, _MET = 1 << 20, 256, 64
-#: Bits of a band hash that tell buckets of a part apart, and bits that tell lines of a bucket apart.
+#: Bits of a band hash that tell buckets of a part apart, and bits of a line's 64-bit hash that stand beside them in one word.
 _REST, _TAG = 40, 24
 _RNG = np.random.default_rng(7)
 _MULTIPLIERS = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -171,17 +171,17 @@ def shared_buckets(signed: DataFrame) -> DataFrame:
 
     Hashes travel as sorted blocks, not as a row each: a task cuts a block of them into parts by their leading
     bits, and a part's blocks meet in one group of about ``_PART`` hashes. Equal lines of several tasks count
-    once, by the smallest sid; 24 bits of their hash tell lines of a bucket apart. Of one block's bucket only
+    once, by the smallest sid; 64 bits of their hash tell lines of a bucket apart. Of one block's bucket only
     ``_MET`` lines meet others; the rest is known to share it and passes by, so that no bucket makes a large group.
     """
     parts = max(_LEAST_PARTS, signed.count() * BANDS // _PART)
-    low, tag = np.uint64((1 << _REST) - 1), np.uint64((1 << _TAG) - 1)
+    low, rest_of_hash = np.uint64((1 << _REST) - 1), np.uint64(64 - _TAG)
 
-    def packed(part: np.ndarray, v: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
-        """Blocks of rows that are sorted by part: the words of v, then those of sid."""
+    def packed(part: np.ndarray, v: np.ndarray, h: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
+        """Blocks of rows that are sorted by part: the words of v, then those of h and of sid."""
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         ends = np.append(first, len(v))[1:]
-        blocks = [v[a:b].tobytes() + sid[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
+        blocks = [v[a:b].tobytes() + h[a:b].tobytes() + sid[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int64)), pa.array(blocks, pa.binary())], names=["part", "block"])
 
     def cut(sid: np.ndarray, h: np.ndarray, bands: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -189,17 +189,18 @@ def shared_buckets(signed: DataFrame) -> DataFrame:
         order = np.argsort(b)  # by part too, which is made of the leading bits
         b, row = b[order], order // BANDS
         part = ((b >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        v, sid = ((b & low) << np.uint64(_TAG)) | (h & tag)[row], sid[row]
+        h, sid = h[row], sid[row]
+        v = ((b & low) << np.uint64(_TAG)) | (h >> rest_of_hash)
         start = np.concatenate(([True], b[1:] != b[:-1]))
         place = np.arange(len(b)) - np.flatnonzero(start)[np.cumsum(start) - 1]
         met = place < _MET
         if met.all():
-            yield packed(part, v, sid)
+            yield packed(part, v, h, sid)
             return
-        yield packed(part[met], v[met], sid[met])
+        yield packed(part[met], v[met], h[met], sid[met])
         past = (part[~met] << np.uint64(_REST)) | (b[~met] & low)
         to = np.sort(np.uint64(parts) + np.arange(len(past), dtype=np.uint64) % np.uint64(parts))
-        yield packed(to, past, sid[~met])
+        yield packed(to, past, past, sid[~met])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -216,12 +217,12 @@ def shared_buckets(signed: DataFrame) -> DataFrame:
             yield from cut(*map(np.concatenate, zip(*held, strict=True)))
 
     def met(table: pa.Table) -> pa.Table:
-        part, words = table.column("part")[0].as_py(), [np.frombuffer(x, dtype=np.uint64).reshape(2, -1) for x in table.column("block").to_pylist()]
-        v, sid = np.concatenate(words, axis=1)
+        part, words = table.column("part")[0].as_py(), [np.frombuffer(x, dtype=np.uint64).reshape(3, -1) for x in table.column("block").to_pylist()]
+        v, h, sid = np.concatenate(words, axis=1)
         if part < parts:
-            order = np.argsort(v)
-            v, sid = v[order], sid[order]
-            once = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            order = np.lexsort((h, v))
+            v, h, sid = v[order], h[order], sid[order]
+            once = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (h[1:] != h[:-1]))))
             rest, sid = v[once] >> np.uint64(_TAG), np.minimum.reduceat(sid, once)
             same = np.concatenate(([False], rest[1:] == rest[:-1], [False]))
             two = same[1:] | same[:-1]

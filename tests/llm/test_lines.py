@@ -109,3 +109,19 @@ def test_second_run_joins_whole_components(spark):
     for r in lines._joined(comp, 6, more).collect():
         got.setdefault(r.root, set()).add(r.node)
     assert sorted(map(sorted, got.values())) == [[1, 2, 5, 6], [8, 9, 30], [20, 21]]
+
+
+def test_lines_whose_hashes_agree_in_24_bits_are_told_apart(spark):
+    """Two similar lines that agree in the leading bits of their hash stay two lines of every bucket that they share."""
+    base = "a sentence of some length that is repeated with another number at its very end, again and again: "
+    seen: dict = {}
+    for k in range(200_000):
+        line = base + str(k)
+        h = np.frombuffer(lines.xxhash.xxh3_128_digest(line.encode()), dtype=np.uint64)[0]
+        if (other := seen.setdefault(int(h >> np.uint64(40)), line)) is not line and h != np.frombuffer(lines.xxhash.xxh3_128_digest(other.encode()), dtype=np.uint64)[0]:
+            break
+    else:
+        raise AssertionError("no collision found")
+    rows = [(1, other), (2, line), (3, "something else entirely")]
+    got = [tuple(r) for r in lines.line_report(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got) == sorted(brute_force(rows)) and sum(r[2] for r in got) == 1
