@@ -11,20 +11,21 @@ from .common import read, stored, words
 #: Label and words of the base phrases.
 PHRASES = [("cc-by", ["cc", "by"]), ("gpl", ["general", "public", "license"]), ("reserved", ["all", "rights", "reserved"])]
 
-#: Label and text of the templates: sentences by which the usual licenses are granted.
+#: Label and text of the templates, sentences by which the usual licenses are granted, and words that a block must hold
+#: besides: where a sentence is short, the share of its words alone doesn't tell which license it names.
 TEMPLATES = [
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("public-domain", "This work has been released into the public domain"),
-    ("warranty", "The software is provided as is, without warranty of any kind, express or implied"),
+    ("apache", "Licensed under the Apache License, Version 2.0", "apache"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS", ""),
+    ("mit", "Released under the MIT License", "mit"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ""),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3", "gnu general public 3"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gnu general public"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla public 2 0"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", "cc by nc"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "creative commons attribution sharealike"),
+    ("public-domain", "This work has been released into the public domain", "public domain"),
+    ("warranty", "The software is provided as is, without warranty of any kind, express or implied", "warranty"),
 ]
 #: Share of a template's distinct words that a block has to hold.
 CONTAINMENT = 0.8
@@ -34,17 +35,18 @@ BLOCK = 2
 
 
 def _rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    lit = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    lit = lambda v: F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)
     return spark.range(1).select(F.inline(F.array(*[F.struct(*[lit(v).alias(k) for k, v in r.items()]) for r in rows])))
 
 
-def template_words(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[str, list[str], int]]:
-    """Label, distinct words and number of words of each template that has any."""
-    got = _rows(spark, [{"n": n, "label": label, "text": text} for n, (label, text) in enumerate(templates)])
-    return [(r.label, sorted(set(r.w)), len(r.w)) for r in got.select("n", "label", words(F.col("text")).alias("w")).orderBy("n").collect() if r.w]
+def template_words(spark: SparkSession, templates: list[tuple[str, ...]]) -> list[tuple[str, list[str], int, list[str]]]:
+    """Label, distinct words, number of words and mandatory words of each template that has any."""
+    got = _rows(spark, [{"n": n, "label": label, "text": text, "must": " ".join(must)} for n, (label, text, *must) in enumerate(templates)])
+    got = got.select("n", "label", words(F.col("text")).alias("w"), words(F.col("must")).alias("must")).orderBy("n").collect()
+    return [(r.label, sorted(set(r.w)), len(r.w), sorted(set(r.must))) for r in got if r.w]
 
 
-def similar_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = CONTAINMENT) -> DataFrame:
+def similar_blocks(docs: DataFrame, templates: list[tuple[str, ...]] = TEMPLATES, least: float = CONTAINMENT) -> DataFrame:
     """Stored ``(d, th, block, label, containment)``: every block that holds ``least`` of a template's distinct words.
 
     A block of a template of m words is a run of ``BLOCK`` * m words of the text that starts at a multiple of m;
@@ -52,22 +54,23 @@ def similar_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     distinct words needs a = ceil(least * n) of them in the block, so one of its n - a + 1 rarest is there, and
     one of the block's |b| - a + 1 rarest is in the template: only those prefixes are joined. Pairs whose
     positions leave fewer than a shared words go (positional filter), as do blocks with fewer than a
-    template words (length filter). The rest is counted exactly. Words of no template can't be
+    template words (length filter). The rest is counted exactly, and a block without one of the template's
+    mandatory words (a third element, none by default) isn't that license. Words of no template can't be
     shared, so blocks are reduced to the templates' words, a bounded list.
     """
     spark = docs.sparkSession
     known = template_words(spark, templates)
     if not known:
         raise ValueError("no template has words")
-    vocabulary = sorted({w for _, ws, _ in known for w in ws})
+    vocabulary = sorted({w for _, ws, _, must in known for w in (*ws, *must)})
     counts = docs.select(F.explode(words(F.col("text"))).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").count()
     count = {r["w"]: r["count"] for r in counts.collect()}  # at most one row for each template word
     order = sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
     lists, full = [], []
-    for n, (label, ws, m) in enumerate(known):
+    for n, (label, ws, m, must) in enumerate(known):
         ws, need = sorted(ws, key=place.get), ceil(least * len(ws) - 1e-9)
-        full.append({"n": n, "label": label, "need": need, "ws": ws})
+        full.append({"n": n, "label": label, "need": need, "ws": ws, "must": must})
         lists += [{"w": w, "m": m, "n": n, "i": i, "size": len(ws), "need": need} for i, w in enumerate(ws[: len(ws) - need + 1])]
     fewest = {m: min(x["need"] for x in lists if x["m"] == m) for m in {x["m"] for x in lists}}
     prefix = sorted({x["w"] for x in lists})
@@ -80,11 +83,11 @@ def similar_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     tokens = blocks.select("d", "th", "m", "block", "b", F.posexplode(F.slice("b", F.lit(1), F.size("b") - F.col("few") + 1)).alias("j", "w"))
     near = tokens.join(F.broadcast(_rows(spark, lists)), ["m", "w"])
     near = near.where("size(b) >= need AND 1 + least(size - i - 1, size(b) - j - 1) >= need").select("d", "th", "block", "n", "b").distinct()
-    near = near.join(F.broadcast(_rows(spark, full)), "n").withColumn("shared", F.size(F.array_intersect("ws", "b"))).where("shared >= need")
+    near = near.join(F.broadcast(_rows(spark, full)), "n").withColumn("shared", F.size(F.array_intersect("ws", "b"))).where("shared >= need AND size(array_except(must, b)) = 0")
     return stored(near.select("d", "th", "block", "label", (F.col("shared") / F.size("ws")).alias("containment")), "blocks")
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, ...]] = TEMPLATES, least: float = CONTAINMENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null texts count as empty. The score is 1 where a base phrase stands, else the best containment of a
@@ -122,13 +125,13 @@ def _sql() -> str:
     phrases = " UNION ALL ".join(
         f"SELECT rid, i - 1 AS pos, '{label}' AS label FROM d, unnest(range(1, len(w) + 1)) AS u(i) WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(ws)) for label, ws in PHRASES
     )
-    templates = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
+    templates = ", ".join(f"('{label}', '{text}', '{must}')" for label, text, must in TEMPLATES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {w.format("coalesce(text, '')")} AS w FROM documents),
 p AS ({phrases}),
-t AS (SELECT label, list_distinct({w.format("x")}) AS ws, len({w.format("x")}) AS m FROM (VALUES {templates}) AS v(label, x)),
+t AS (SELECT label, list_distinct({w.format("x")}) AS ws, len({w.format("x")}) AS m, {w.format("y")} AS must FROM (VALUES {templates}) AS v(label, x, y)),
 l AS (SELECT rid, m, list_distinct(w[o + 1:o + {BLOCK} * m]) AS b FROM d, (SELECT DISTINCT m FROM t) AS ms, unnest(range(0, len(w), m)) AS u(o)),
-s AS (SELECT rid, label, len(list_intersect(ws, b)) / len(ws) AS c FROM l JOIN t USING (m) WHERE len(list_intersect(ws, b)) >= ceil({CONTAINMENT} * len(ws) - 1e-9)),
+s AS (SELECT rid, label, len(list_intersect(ws, b)) / len(ws) AS c FROM l JOIN t USING (m) WHERE len(list_intersect(ws, b)) >= ceil({CONTAINMENT} * len(ws) - 1e-9) AND list_has_all(b, must)),
 g AS (SELECT rid, count(*) AS n, min(pos) AS a, max(pos) AS z FROM p GROUP BY rid),
 bl AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS x FROM (SELECT DISTINCT rid, label FROM p) GROUP BY rid),
 al AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS x FROM (SELECT rid, label FROM p UNION SELECT rid, label FROM s) GROUP BY rid),
