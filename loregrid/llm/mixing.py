@@ -32,7 +32,7 @@ def topic_of(text: Column, tokens: Column) -> Column:
 
 
 def categorised(docs: DataFrame) -> DataFrame:
-    """``(row, key, _source, _lang, _topic, _tokens)``: each row of ``docs`` as a struct, so that no column of its own clashes, its doc_id as text and its categories.
+    """``(row, key, _source, _lang, _topic, _tokens)``: each row of ``docs`` as a struct, so that no column of its own clashes, what it is drawn by (its doc_id, or its text if that is null) and its categories.
 
     Null categories are the category ''. A column ``topic`` is used if there is one.
     """
@@ -41,7 +41,7 @@ def categorised(docs: DataFrame) -> DataFrame:
     out = docs.select(row).select("row", n_tokens(F.col("row.text")).alias("_tokens"))
     topic = of("topic") if "topic" in docs.columns else topic_of(F.coalesce("row.text", F.lit("")), F.col("_tokens"))
     name = lambda c: F.coalesce(c, F.lit(""))
-    return out.select("row", name(of("doc_id")).alias("key"), name(of("source")).alias("_source"), name(of("lang")).alias("_lang"), name(topic).alias("_topic"), "_tokens")
+    return out.select("row", F.coalesce(of("doc_id"), F.col("row.text"), F.lit("")).alias("key"), name(of("source")).alias("_source"), name(of("lang")).alias("_lang"), name(topic).alias("_topic"), "_tokens")
 
 
 def default_targets(cells: DataFrame) -> DataFrame:
@@ -138,8 +138,8 @@ def mixed(docs: DataFrame, targets: DataFrame | None = None, rounds: int = ROUND
 
     A document's probability is the calibrated weight of one of its tokens, raked over all documents' tokens, times a
     factor for which the sample holds ``share`` of all tokens in expectation; 1 at most. The same rows are sampled
-    in every run (hash of doc_id). Documents without tokens, or of a category without target, have probability 0.
-    Repeated doc_ids of one category share their fate.
+    in every run (hash of doc_id, of the text where doc_id is null). Documents without tokens, or of a category without target, have probability 0.
+    Repeated doc_ids of one category share their fate, as do equal texts without doc_id.
     """
     held = categorised(docs)
     cells = stored(held.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("n")), "cells")
@@ -186,7 +186,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql(rounds: int = ROUNDS) -> str:
     ctes = [
         "d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents)",
-        "t AS (SELECT doc_id, source, lang, CASE WHEN (length(text) - length(replace(text, '|', ''))) * 10 >= greatest(n_tokens, 1) THEN 'table' WHEN n_tokens < 100 THEN 'brief' WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic, n_tokens FROM d)",
+        "t AS (SELECT doc_id, source, lang, CASE WHEN (length(text) - length(replace(text, '|', ''))) * 10 >= greatest(n_tokens, 1) THEN 'table' WHEN n_tokens < 100 THEN 'brief' WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic, n_tokens, CASE WHEN doc_id IS NULL THEN text END AS own FROM d)",
         "cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM t GROUP BY ALL)",
     ]
     for m, power in MARGINS.items():
@@ -212,7 +212,7 @@ def _sql(rounds: int = ROUNDS) -> str:
     )
     ctes.append("s AS MATERIALIZED (SELECT coalesce(arg_min(c, k), 1e300) AS c FROM k WHERE c * nxt < 1)")
     ctes.append("p AS (SELECT t.*, CASE WHEN n_tokens > 0 THEN round(coalesce(least(1, w * (SELECT c FROM s)), 0), 9) ELSE 0 END AS p FROM t LEFT JOIN w USING (source, lang, topic))")
-    return f"WITH {', '.join(ctes)} SELECT doc_id, source, lang, topic, n_tokens, round(p, 6)::DOUBLE AS probability, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {_HEX}))::BIGINT / {float(16**_HEX)!r}::DOUBLE < p AS sampled FROM p"
+    return f"WITH {', '.join(ctes)} SELECT doc_id, source, lang, topic, n_tokens, round(p, 6)::DOUBLE AS probability, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, own)), 1, {_HEX}))::BIGINT / {float(16**_HEX)!r}::DOUBLE < p AS sampled FROM p"
 
 
 SQL = _sql()

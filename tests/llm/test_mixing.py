@@ -58,3 +58,11 @@ def test_odd_rows_and_clashing_columns(spark):
     assert out.columns == [*df.columns, "_weight"] and 0 < out.count() < 60
     assert out.where("text is null or text = '' or weight <> 'own'").count() == 0
     assert mixing.sample(df.limit(0)).count() == 0
+
+
+def test_documents_without_id_are_drawn_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"text number {k} of some words", "en", "a", 10) for k in range(300)] + [(None, "the same text", "en", "a", 3)] * 2, DOCS)
+    for share in (0.25, 0.9):
+        kept = mixing.sample(docs, share=share).groupBy("text").count().collect()
+        assert abs(len(kept) / 301 - share) < 0.1
+        assert {r["count"] for r in kept if r.text == "the same text"} <= {2}
