@@ -148,16 +148,18 @@ class Index:
         return out
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, v)`` of the vectors that take part: not null, not zero, all components finite, and of the table's usual length.
+def usable(vectors: DataFrame, length: int | None = None) -> DataFrame:
+    """``(vec_id, v)`` of the vectors that take part: not null, not zero, all components finite, and of ``length``, by default the table's usual one.
 
     Rows that repeat a vec_id with other vectors all take part; whole rows that repeat count once. A row without
     vec_id has no identity that an answer could name, a vector of another length no distance: both are left out.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     sound = rows.where("vec_id is not null AND v is not null AND NOT exists(v, x -> x is null OR isnan(x) OR abs(x) = double('infinity')) AND exists(v, x -> x <> 0)")
-    usual = sound.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return sound.where(F.size("v") == (usual["n"] if usual else 0)).distinct()
+    if length is None:
+        usual = sound.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        length = usual["n"] if usual else 0
+    return sound.where(F.size("v") == length).distinct()
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -189,7 +191,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int |
     Candidates are all rows of ``vectors`` but those with the query's own vec_id; score is the Euclidean
     distance in double precision, ties go to the smaller vec_id. Equal vectors are one entry of the index
     with their k + 1 smallest ids, more than which no answer can hold, and equal queries are searched once.
-    Unusable vectors (see ``usable``) take no part; an empty table has no neighbours. An id that several
+    Unusable vectors (see ``usable``) take no part, nor do queries whose length isn't the candidates'; an empty table has no neighbours. An id that several
     vectors have is a candidate at its nearest one, and as a query it asks with its least one.
     """
     spark = vectors.sparkSession
@@ -199,7 +201,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int |
     entries = stored(ranked.groupBy("v").agg(F.collect_list("vec_id").alias("ids")).select(F.monotonically_increasing_id().alias("key"), "v", F.array_min("ids").alias("least"), "ids"), "entries")
     # so many of the nearest entries hold k + 1 ids, the query's own among them
     enough = (k + 1) * (rows.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1)
-    asked = stored(usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    usual = rows.select(F.size("v")).first()
+    asked = stored(usable(queries, usual[0] if usual else 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     total = entries.count()
     if not total or asked.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

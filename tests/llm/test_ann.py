@@ -47,3 +47,11 @@ def test_repeated_ids_and_clashing_columns(spark):
     assert got[0] == [(2, 0.5), (1, 1.0), (3, 1.0)]
     assert got[100][:2] == [(102, 1.0), (101, 2.0)]
     assert ann.neighbours(df.limit(0), df).count() == 0
+
+
+def test_queries_of_another_length_ask_nothing(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), *[(k, [float(k), 1.0]) for k in range(1, 9)], (200, [4.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.neighbours(df, df.where("vec_id % 100 = 0"), k=2).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(200, 4, 0.0), (200, 3, 1.0)]
+    assert ann.neighbours(df, df.where("vec_id = 0")).count() == 0
