@@ -220,8 +220,11 @@ def shared_buckets(signed: DataFrame) -> DataFrame:
         part, words = table.column("part")[0].as_py(), [np.frombuffer(x, dtype=np.uint64).reshape(3, -1) for x in table.column("block").to_pylist()]
         v, h, sid = np.concatenate(words, axis=1)
         if part < parts:
-            order = np.lexsort((h, v))
+            order = np.argsort(v)
             v, h, sid = v[order], h[order], sid[order]
+            if ((v[1:] == v[:-1]) & (h[1:] != h[:-1])).any():  # different lines of a bucket agree in the bits that v has
+                order = np.lexsort((h, v))
+                v, h, sid = v[order], h[order], sid[order]
             once = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (h[1:] != h[:-1]))))
             rest, sid = v[once] >> np.uint64(_TAG), np.minimum.reduceat(sid, once)
             same = np.concatenate(([False], rest[1:] == rest[:-1], [False]))
