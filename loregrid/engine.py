@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import code, graph, memory, retrieval, telemetry
 from .plans.filters import current, visible
+from .storage import commits
 
 
 class Engine:
@@ -13,16 +14,24 @@ class Engine:
 
     def __init__(self, spark: SparkSession, catalog: dict[str, DataFrame]) -> None:
         self.spark, self.catalog = spark, catalog
+        self._corpora: dict[str, retrieval.Corpus] = {}
 
     def _queries(self, text: str) -> DataFrame:
         return self.spark.range(1).select(F.lit(0).alias("query"), F.lit(text).alias("text"))
 
+    def _corpus(self, name: str, rows: DataFrame, fields: list[str]) -> retrieval.Corpus:
+        """The index and vectors of ``rows``, written at the first search and kept for the next ones."""
+        if name not in self._corpora:
+            self._corpora[name] = retrieval.Corpus(self.spark, commits.fresh_dir(self.spark, name), fields, fields).add(rows, "all")
+        return self._corpora[name]
+
     def search(self, text: str, limit: int = 10, include_superseded: bool = False) -> DataFrame:
-        return retrieval.hybrid_documents(self.catalog["docs"], self._queries(text), limit, current(include_superseded))
+        corpus = self._corpus(f"docs-{include_superseded}", self.catalog["docs"].where(current(include_superseded)), ["title", "body"])
+        return retrieval.hybrid_documents(corpus, self._queries(text), limit)
 
     def recall(self, text: str, now: int, limit: int = 5, floor: float = 0.40) -> DataFrame:
         live = self.catalog["memory"].where((F.col("status") == "active") & visible(now))
-        return retrieval.recall(live, self._queries(text), limit, now, floor)
+        return retrieval.recall(self._corpus(f"memory-{now}", live, ["title", "content"]), live, self._queries(text), limit, now, floor)
 
     def get(self, path: str) -> DataFrame:
         return self.catalog["docs"].where(F.col("path") == path)

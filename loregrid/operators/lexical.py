@@ -1,4 +1,4 @@
-"""BM25 over a postings table."""
+"""BM25 in one pass over texts that have no stored index (``storage.postings`` keeps one)."""
 
 from __future__ import annotations
 
@@ -11,13 +11,6 @@ from .bounds import MOST_ROWS
 K1, B, SUPERSEDED_PENALTY = 1.2, 0.75, 0.5
 
 
-def postings(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """``(id, field, term, tf, len)`` of the content words of each field."""
-    each = F.explode(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[content_tokens(c) for c in fields.values()])))
-    listed = docs.select("id", each.alias("field", "ws")).select("id", "field", F.size("ws").alias("len"), F.explode("ws").alias("term"))
-    return listed.groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-
-
 def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, tuple[Column, float]], require_all: bool = False) -> DataFrame:
     """``(query, id, score)`` for ``queries(query, terms)``, terms distinct.
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions.text import content_tokens, identifiers, recall_terms, strong_tokens
-from . import hybrid, lexical, memory
+from ..storage import commits
+from ..storage.postings import LexicalIndex
+from . import hybrid, memory, vectors
 from .bounds import small
 
 #: Buckets of the offline embedder; a model's vectors take its place where one is at hand.
@@ -21,58 +26,80 @@ def hashed(texts: DataFrame, text: str) -> DataFrame:
     return summed.where("v <> 0")
 
 
-def sparse_cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query, id, cosine)`` of sparse vectors ``(id, bucket, v)`` and queries ``(query, bucket, v)``, broadcast if counted as small."""
-    norm = vectors.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nd"))
-    qn = queries.groupBy("query").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nq"))
-    dots = vectors.join(small(queries.withColumnRenamed("v", "qv")), "bucket").groupBy("query", "id").agg(F.sum(F.col("v") * F.col("qv")).alias("dot"))
-    return dots.join(norm, "id").join(qn, "query").select("query", "id", (F.col("dot") / (F.col("nd") * F.col("nq"))).alias("cosine"))
+def dense(sparse: DataFrame) -> DataFrame:
+    """``(id, v)``: sparse vectors ``(id, bucket, v)`` as arrays of ``DIMENSIONS``."""
+    at = sparse.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("int"), "v"))).alias("m"))  # a bucket each, so DIMENSIONS at most
+    return at.select("id", F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0.0))).alias("v"))
+
+
+class Corpus:
+    """A searchable table under ``root``: its lexical index and its vectors, written once and read by every search after.
+
+    ``fields`` are indexed for words, ``embedded`` are joined and embedded. ``add`` appends a batch of rows with new ids;
+    a batch that is there already changes nothing, one that died on the way is written again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fields: Sequence[str], embedded: Sequence[str]) -> None:
+        self.spark, self.root, self.embedded = spark, root, list(embedded)
+        self.index = LexicalIndex(spark, f"{root}/lexical", fields)
+
+    def add(self, rows: DataFrame, batch: str) -> Corpus:
+        self.index.add(rows, batch)
+        version, content = commits.latest(self.spark, f"{self.root}/vectors")
+        if batch not in content:
+            folder = uuid.uuid4().hex
+            dense(hashed(rows.select("id", F.concat_ws(" ", *self.embedded).alias("text")), "text")).write.parquet(f"{self.root}/vectors/{folder}")
+            commits.publish(self.spark, f"{self.root}/vectors", version + 1, content | {batch: folder})
+        return self
+
+    def vectors(self) -> DataFrame:
+        """``(id, v)`` of all batches; rows without content words have none."""
+        return self.spark.read.parquet(*[f"{self.root}/vectors/{f}" for f in commits.latest(self.spark, f"{self.root}/vectors")[1].values()])
+
+    def near(self, queries: DataFrame, k: int) -> DataFrame:
+        """``(query, id, cosine, rank)``: the k nearest vectors of the texts of ``queries(query, text)``."""
+        q = dense(hashed(queries.select(F.col("query").alias("id"), "text"), "text")).toDF("query", "q")
+        found = vectors.nearest(self.vectors(), q, k, "cosine").select("query", "id", F.round("value", 6).alias("cosine"))
+        return top(found, k, F.desc("cosine"), F.col("id"))
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def hybrid_documents(docs: DataFrame, queries: DataFrame, limit: int, shown: Column) -> DataFrame:
-    """``(query, id, score, cosine, rank)``: lexical and vector legs of ``2 * limit`` rows, fused by rank, normalised, filtered.
+def hybrid_documents(corpus: Corpus, queries: DataFrame, limit: int) -> DataFrame:
+    """``(query, id, score, cosine, rank)``: lexical and vector legs of ``2 * limit`` rows, fused by rank, normalised.
 
-    ``docs(id, title, body, ...)``, ``queries(query, text)``: a small stated set. The cosine stays absolute.
+    ``corpus`` has the fields title and body; ``queries(query, text)``: a stated set. The cosine stays absolute.
     """
-    live = docs.where(shown)
     terms = queries.select("query", F.array_distinct(content_tokens(F.col("text"))).alias("terms"))
-    lex = lexical.bm25(live, terms, {"title": (F.col("title"), 10.0), "body": (F.col("body"), 1.0)}).select("query", "id", F.round("score", 6).alias("lex"))
-    lex = top(lex, 2 * limit, F.desc("lex"), F.col("id"))
-    vectors = hashed(live.select("id", F.concat_ws(" ", "title", "body").alias("text")), "text")
-    q = hashed(queries.select(F.col("query").alias("id"), "text"), "text").withColumnRenamed("id", "query")
-    vec = sparse_cosine(vectors, q).select("query", "id", F.round("cosine", 6).alias("cosine"))
-    vec = top(vec, 2 * limit, F.desc("cosine"), F.col("id"))
+    lex = corpus.index.search(terms, 2 * limit, {"title": 10.0, "body": 1.0}).select("query", "id", F.col("score").alias("lex"))
+    vec = commits.kept(corpus.near(queries, 2 * limit).drop("rank"), "nearest")
     fused = hybrid.rrf([(lex, [F.desc("lex"), F.col("id")], hybrid.LEXICAL_WEIGHT), (vec, [F.desc("cosine"), F.col("id")], hybrid.VECTOR_WEIGHT)], per="query")
     fused = hybrid.normalize(fused, "score", ["query"]).withColumn("score", F.round("score", 6))
     return top(fused.join(vec.select("query", "id", "cosine"), ["query", "id"], "left"), limit, F.desc("score"), F.col("id"))
 
 
-def recall(entries: DataFrame, queries: DataFrame, limit: int, now: int, floor: float, half_life: int = 14 * 86_400) -> DataFrame:
+def recall(corpus: Corpus, entries: DataFrame, queries: DataFrame, limit: int, now: int, floor: float, half_life: int = 14 * 86_400) -> DataFrame:
     """``(query, id, score, cosine, rank)``: gated hybrid recall over memory entries.
 
-    Candidates come from any shared recall term and from the nearest vectors; an entry is admitted by strong
-    lexical evidence or by its absolute cosine, before anything is normalised; recency adds a third rank;
-    relevance and confidence are blended at the end.
+    ``corpus`` holds the fields title and content of ``entries``. Candidates come from any shared recall term and from
+    the nearest vectors; an entry is admitted by strong lexical evidence or by its absolute cosine, before anything
+    is normalised; recency adds a third rank; relevance and confidence are blended at the end.
     """
     terms = queries.select("query", recall_terms(F.col("text")).alias("terms"))
-    lex = lexical.bm25(entries, terms, {"title": (F.col("title"), 1.0), "content": (F.col("content"), 1.0)}).select("query", "id", F.round("score", 6).alias("lex"))
-    lex = top(lex, 2 * limit, F.desc("lex"), F.col("id")).drop("rank")
-    vectors = hashed(entries.select("id", F.concat_ws(" ", "title", "content").alias("text")), "text")
-    q = hashed(queries.select(F.col("query").alias("id"), "text"), "text").withColumnRenamed("id", "query")
-    cos = sparse_cosine(vectors, q).select("query", "id", F.round("cosine", 6).alias("cosine"))
-    vec = top(cos, 2 * limit, F.desc("cosine"), F.col("id")).drop("rank")
+    lex = commits.kept(corpus.index.search(terms, 2 * limit, {"title": 1.0, "content": 1.0}).select("query", "id", F.col("score").alias("lex")), "lexical")
+    vec = commits.kept(corpus.near(queries, 2 * limit).drop("rank"), "nearest")
     pool = lex.select("query", "id").union(vec.select("query", "id")).distinct()
-    # tokens are made below the joins: a filter above would otherwise make them again for each use
+    # the pool is small: only its entries are tokenised, and only its pairs get a cosine where the vector leg has none
     whole = F.concat_ws(" ", "title", "content")
     tokens = entries.join(pool.select("id").distinct(), "id", "left_semi").withColumns({"whole": whole, "_e": content_tokens(whole)})
     asked = queries.select("query", content_tokens(F.col("text")).alias("_q"), identifiers(F.col("text")).alias("_i"))
-    pool = pool.join(tokens, "id").join(small(asked, 1_000), "query").join(cos, ["query", "id"], "left")
+    q = dense(hashed(queries.select(F.col("query").alias("id"), "text"), "text")).toDF("query", "qv")
+    pairs = pool.join(corpus.vectors(), "id").join(q, "query").select("query", "id", F.round(vectors.cosine("v", "qv"), 6).alias("cosine"))
+    pool = pool.join(tokens, "id").join(small(asked, 1_000), "query").join(pairs, ["query", "id"], "left")
     admitted = pool.where(hybrid.admits(strong_tokens(F.col("_q"), F.col("_e"), F.col("_i"), F.col("whole")), F.sqrt(2 * (1 - F.least("cosine", F.lit(1.0)))), (2 * (1 - floor)) ** 0.5 + 1e-9))
-    keys = admitted.select("query", "id", "cosine", F.round(memory.access_recency(F.lit(now), half_life), 9).alias("recency"), memory.confidence(F.lit(now)).alias("confidence"))
+    keys = commits.kept(admitted.select("query", "id", "cosine", F.round(memory.access_recency(F.lit(now), half_life), 9).alias("recency"), F.round(memory.confidence(F.lit(now)), 9).alias("confidence")), "admitted")
     inside = lambda leg: leg.join(keys.select("query", "id"), ["query", "id"], "left_semi")
     legs = [(inside(lex), [F.desc("lex"), F.col("id")], hybrid.LEXICAL_WEIGHT), (inside(vec), [F.desc("cosine"), F.col("id")], hybrid.VECTOR_WEIGHT), (keys.where("recency > 0").select("query", "id", "recency"), [F.desc("recency"), F.col("id")], 1.0)]
     fused = hybrid.normalize(hybrid.rrf(legs, per="query"), "score", ["query"]).join(keys, ["query", "id"])

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-
-from .bounds import small
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of one side of a block of pairs.
 BLOCK = 2_048
@@ -42,9 +42,58 @@ def cosine_of_distance(d: Column) -> Column:
     return 1 - d * d / 2
 
 
+#: Stated queries that are compared at once, and what a rounded value may lie from its exact one.
+MOST_QUERIES, MARGIN = 10_000, 2e-6
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, by: str = "distance") -> DataFrame:
+    """``(query, id, value)``: the k nearest of ``vectors(id, v)`` for each of ``queries(query, q)``, by L2 ``distance`` or by ``cosine``.
+
+    Exact: a batch of vectors and all queries are one matrix product, a task passes on only what can still be
+    among its k best, ties and a margin for rounding included; the caller ranks what is left, at most a few times k for a
+    query and task. Queries are a stated set, taken in runs of ``MOST_QUERIES``. By cosine, only vectors that share a
+    component with the query count. Null vectors and those of another length than the first query's take no part.
+    """
+    spark, kinds = vectors.sparkSession, dict(vectors.dtypes)
+    shape = f"query {dict(queries.dtypes)['query']}, id {kinds['id']}, value double"
+    asked = queries.where("q IS NOT NULL").select("query", F.col("q").cast("array<double>").alias("q")).toLocalIterator()
+    out = None
+
+    def part(names: list, q: np.ndarray) -> DataFrame:
+        labels = pa.array(names, to_arrow_type(queries.schema["query"].dataType))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = np.full((len(q), k), -np.inf)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                if by == "cosine":
+                    norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        s = np.where((norms > 0) & ((q != 0).astype(np.float32) @ (x != 0).T.astype(np.float32) > 0), q @ x.T / norms, -np.inf)
+                else:
+                    short = np.maximum(0, (q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1))
+                    s = -np.sqrt(short)
+                whole = np.concatenate((best, s), axis=1)
+                best = np.partition(whole, whole.shape[1] - k, axis=1)[:, -k:]
+                i, j = np.nonzero((s >= best.min(1)[:, None] - (MARGIN if by == "cosine" else MARGIN + 1e-6 * (1 + np.abs(s)))) & np.isfinite(s))
+                value = s[i, j] if by == "cosine" else np.sqrt(((q[i] - x[j]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([labels.take(pa.array(i)), batch.column(0).take(pa.array(j)), pa.array(value)], names=["query", "id", "value"])
+
+        held = vectors.where(F.size("v") == q.shape[1]).select("id", F.col("v").cast("array<double>").alias("v"))
+        return held.where("NOT exists(v, x -> x IS NULL)").mapInArrow(run, shape)
+
+    while rows := list(islice(asked, MOST_QUERIES)):
+        rows = [r for r in rows if len(r.q) == len(rows[0].q)]
+        found = part([r.query for r in rows], np.array([r.q for r in rows]))
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], shape)
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """``(query, id, distance, rank)``: exact k nearest by L2 distance, ties by id. ``queries(query, q)`` is a stated set, broadcast up to 10,000 of them."""
-    d = vectors.crossJoin(small(queries, 10_000)).select("query", "id", F.round(l2("v", "q"), digits).alias("distance"))
+    """``(query, id, distance, rank)``: exact k nearest of a stated set ``queries(query, q)`` by L2 distance, ties by id."""
+    d = nearest(vectors, queries, k).select("query", "id", F.round("value", digits).alias("distance"))
     w = W.partitionBy("query").orderBy("distance", "id")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

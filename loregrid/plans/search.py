@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import retrieval as S, vectors as V
+from ..storage import commits
 from .filters import _CURRENT, current, visible
 from .catalog import query
 from .relational import _SHINGLES, _TOK
@@ -38,13 +39,21 @@ _COS = """cosines AS (SELECT qv.id AS query, dv.id AS id, round(sum(dv.v * qv.v)
     JOIN (SELECT id, sqrt(sum(v * v)) AS nd FROM dv GROUP BY id) AS a ON a.id = dv.id JOIN (SELECT id, sqrt(sum(v * v)) AS nq FROM qv GROUP BY id) AS b ON b.id = qv.id GROUP BY qv.id, dv.id)"""
 
 
+def _corpus(t, name: str, rows, fields: list[str]):
+    """The corpus of a table, under a name that changes with the driver's files: written by the first query that needs it."""
+    paths = [f"{t.sf_dir}/{x}.parquet" for x in ("documents", "labels")]
+    root = f"{commits.shared_dir(t.spark)}/corpora/{name}-{commits.fingerprint(t.spark, *paths)}"
+    return S.Corpus(t.spark, root, fields, [f for f in fields if f in ("title", "body", "content")]).add(rows, "all")
+
+
+def _docs(t):
+    return _corpus(t, "docs", t.docs.where(current()), ["title", "body"])
+
+
 @query("RET01", f"WITH {_bm25('docs', {'title': 10.0, 'body': 1.0}, _terms('true'), _CURRENT)} SELECT query, id, lex AS score FROM lex QUALIFY row_number() OVER (PARTITION BY query ORDER BY lex DESC, id) <= 10")
 def _(t):
-    from ..operators.lexical import bm25
-
     q = t.benchmark.select(F.col("item_id").alias("query"), F.array_distinct(X.content_tokens(F.col("text"))).alias("terms"))
-    s = bm25(t.docs.where(current()), q, {"title": (F.col("title"), 10.0), "body": (F.col("body"), 1.0)}).withColumn("score", F.round("score", 6))
-    return S.top(s, 10, F.desc("score"), F.col("id")).drop("rank")
+    return _docs(t).index.search(q, 10, {"title": 10.0, "body": 1.0}).drop("rank")
 
 
 _AND = "SELECT 0 AS query, unnest(['the', 'tion', 'ering'][1:2]) AS term, 2 AS asked UNION ALL SELECT 1, 'note', 1"
@@ -52,20 +61,16 @@ _AND = "SELECT 0 AS query, unnest(['the', 'tion', 'ering'][1:2]) AS term, 2 AS a
 
 @query("RET01_and", f"WITH {_bm25('docs', {'title': 10.0, 'body': 1.0}, _AND, _CURRENT)} SELECT query, id, lex AS score FROM lex WHERE matched = asked QUALIFY row_number() OVER (PARTITION BY query ORDER BY lex DESC, id) <= 10")
 def _(t):
-    from ..operators.lexical import bm25
-
     q = t.spark.range(2).select(F.col("id").cast("int").alias("query"), F.when(F.col("id") == 0, F.array(F.lit("the"), F.lit("tion"))).otherwise(F.array(F.lit("note"))).alias("terms"))
-    s = bm25(t.docs.where(current()), q, {"title": (F.col("title"), 10.0), "body": (F.col("body"), 1.0)}, require_all=True).withColumn("score", F.round("score", 6))
-    return S.top(s, 10, F.desc("score"), F.col("id")).drop("rank")
+    return _docs(t).index.search(q, 10, {"title": 10.0, "body": 1.0}, require_all=True).drop("rank")
 
 
 @query("RET02", f"WITH {_bm25('memory', {'id': 1.0, 'title': 1.0, 'content': 1.0, 'tags': 1.0}, _terms('true'))} SELECT query, id, lex AS score FROM lex QUALIFY row_number() OVER (PARTITION BY query ORDER BY lex DESC, id) <= 10")
 def _(t):
-    from ..operators.lexical import bm25
-
     q = t.benchmark.select(F.col("item_id").alias("query"), F.array_distinct(X.content_tokens(F.col("text"))).alias("terms"))
-    s = bm25(t.memory, q, {c: (F.col(c), 1.0) for c in ("id", "title", "content", "tags")}).withColumn("score", F.round("score", 6))
-    return S.top(s, 10, F.desc("score"), F.col("id")).drop("rank")
+    fields = ["key", "title", "content", "tags"]  # an entry's id is a field and names the row
+    corpus = _corpus(t, "memory", t.memory.select("id", F.col("id").alias("key"), "title", "content", "tags"), fields)
+    return corpus.index.search(q, 10, dict.fromkeys(fields, 1.0)).drop("rank")
 
 
 @query("RET03", "SELECT q.vec_id AS query, e.vec_id AS id, round(1 - list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id < 3 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6), e.vec_id) <= 10")
@@ -87,13 +92,14 @@ def _(t):
     SELECT z.query, z.id, score, cosine, row_number() OVER (PARTITION BY z.query ORDER BY score DESC, z.id) AS rank FROM z LEFT JOIN v ON v.query = z.query AND v.id = z.id QUALIFY rank <= 10""")
 def _(t):
     q = t.benchmark.select(F.col("item_id").alias("query"), "text")
-    return S.hybrid_documents(t.docs, q, 10, current()).withColumn("rank", F.col("rank").cast("long"))
+    return S.hybrid_documents(_docs(t), q, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("RET06")
 def _(t):
     q = t.benchmark.select(F.col("item_id").alias("query"), "text")
-    return S.recall(t.memory.where((F.col("status") == "active") & visible()), q, 5, NOW, 0.40)
+    live = t.memory.where((F.col("status") == "active") & visible())
+    return S.recall(_corpus(t, "live-memory", live, ["title", "content"]), live, q, 5, NOW, 0.40)
 
 
 @query("RET07", "SELECT prompt_id, rank, rank = 0 OR coalesce(sqrt(2 * (1 - cosine)) <= sqrt(1.2::DOUBLE), false) AS admitted FROM recall_candidates")
