@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..storage import commits
+
 # Fixed value: order in which kinds of changes of one path prevail.
 KIND_RANK = {"removed": 3, "created": 2, "modified": 1}
 
@@ -29,14 +31,31 @@ def routes(path: str = "path"):
     return F.when(p.rlike(r"(^|/)memory/[^/]+\.md$"), "memory").when(p.rlike(r"\.mdx?$|\.txt$"), "doc").when(p.rlike(r"\.(rs|py|go|ts|js|java|c|h|cpp)$"), "code").when(p.rlike(r"(^|/)(\.gitignore|config\.toml)$"), "reconcile").otherwise("none")
 
 
+def table_stream(spark: SparkSession, folder: str, table: str, per_trigger: int = 16) -> DataFrame:
+    """``<folder>/<table>.parquet``, a file or a folder of files, as a stream of its files."""
+    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    fs, path = commits._fs(spark, f"{folder}/{table}.parquet")
+    if fs.getFileStatus(path).isDirectory():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{folder}/{table}.parquet")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+
+
+def run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Runs a stream over what is there now, each micro-batch given to ``sink`` with its number; a batch that failed comes again."""
+    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and returns its result from a memory table (for small results)."""
-    spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    where = f"{base.rstrip('/')}/streams-{name}" if base else tempfile.mkdtemp(prefix=f"loregrid-{name}-")
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Runs a stream over what is there now; its result, written to the shared folder: the last one, or in append mode all of them.
+
+    Each micro-batch writes a folder of its own number, so one that comes again replaces itself.
+    """
+    spark, root = stream.sparkSession, commits.fresh_dir(stream.sparkSession, f"stream-{name}")
+    run(stream, lambda df, batch: df.write.mode("overwrite").parquet(f"{root}/out/batch={batch:09d}"), f"{root}/checkpoint", mode)
+    batches = commits.listed(spark, f"{root}/out")
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{root}/out/{b}" for b in (batches[-1:] if mode == "complete" else batches)])
 
 
 def session_gaps(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
