@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, Window as W, functions as F
 
 from ..functions import text as X
+from ..functions.multi import found
+from ..operators.spans import innermost
+from ..storage import commits
+from ..storage.trigrams import TrigramIndex
 from .catalog import query
 from .tables import NOW
 
@@ -52,9 +56,17 @@ def _(t):
     return top("popular", "access_count").unionByName(top("recent", "updated_at")).unionByName(top("newest", "created_at"))
 
 
+def symbol_names(t) -> TrigramIndex:
+    """The stored index of symbol names, written by the first query that needs it."""
+    root = f"{commits.shared_dir(t.spark)}/corpora/symbols-{commits.fingerprint(t.spark, f'{t.sf_dir}/part.parquet')}"
+    return TrigramIndex(t.spark, root).add(t.symbols.select("id", "name"), "all")
+
+
 @query("FIL06", """SELECT id, name, count(*) OVER () AS total FROM symbols WHERE contains(name, 'fn1') AND kind = 'function' AND contains(file_path, 'm1/') QUALIFY row_number() OVER (ORDER BY name, id) <= 50""")
 def _(t):
-    hit = t.symbols.where(F.col("name").contains("fn1") & (F.col("kind") == "function") & F.col("file_path").contains("m1/"))
+    """By the stored trigram index of names; the other conditions on what it finds."""
+    named = symbol_names(t).search(t.spark.createDataFrame([(0, "fn1")], "query int, text string")).select("id")
+    hit = commits.kept(t.symbols.join(named, "id", "left_semi").where((F.col("kind") == "function") & F.col("file_path").contains("m1/")).select("id", "name"), "hits")
     total = hit.agg(F.count("*").alias("total"))
     return hit.orderBy("name", "id").limit(50).select("id", "name").crossJoin(F.broadcast(total))
 
@@ -67,15 +79,15 @@ def _(t):
 @query("FIL08", "SELECT id, name, name = 'fn12' AS exact FROM symbols WHERE contains(name, 'fn12') ORDER BY name = 'fn12' DESC, file_path, line_start, id LIMIT 30")
 def _(t):
     exact = F.col("name") == "fn12"
-    return t.symbols.where(F.col("name").contains("fn12")).withColumn("exact", exact).orderBy(F.desc("exact"), "file_path", "line_start", "id").limit(30).select("id", "name", "exact")
+    named = symbol_names(t).search(t.spark.createDataFrame([(0, "fn12")], "query int, text string")).select("id")
+    return t.symbols.join(named, "id", "left_semi").withColumn("exact", exact).orderBy(F.desc("exact"), "file_path", "line_start", "id").limit(30).select("id", "name", "exact")
 
 
 @query("FIL09", """SELECT l.id AS literal_id, s.id AS symbol_id FROM literals l JOIN symbols s ON s.file_path = l.path AND l.line BETWEEN s.line_start AND coalesce(s.line_end, s.line_start)
     QUALIFY row_number() OVER (PARTITION BY l.id ORDER BY s.line_end - s.line_start, s.id) = 1""")
 def _(t):
-    s = t.symbols.select(F.col("id").alias("symbol_id"), F.col("file_path").alias("path"), "line_start", F.coalesce("line_end", "line_start").alias("line_end"))
-    inside = t.literals.select(F.col("id").alias("literal_id"), "path", "line").join(s, "path").where("line BETWEEN line_start AND line_end")
-    return inside.groupBy("literal_id").agg(F.min_by("symbol_id", F.struct(F.expr("line_end - line_start"), "symbol_id")).alias("symbol_id"))
+    s = t.symbols.select("id", F.col("file_path").alias("path"), "line_start", F.coalesce("line_end", "line_start").alias("line_end"))
+    return innermost(t.literals.select("id", "path", "line"), s).select(F.col("id").alias("literal_id"), F.col("span").alias("symbol_id"))
 
 
 @query("FIL10", "SELECT id, name, line_start, col_start FROM symbols WHERE file_path = 'src/m3/f3.rs' ORDER BY line_start, col_start, id")
@@ -170,14 +182,14 @@ _P = ["the", "le", "der", "que"]
 
 @query("FIL17", f"SELECT id, array_to_string(list_filter([{', '.join(f'CASE WHEN contains(value, {p!r}) THEN {i} END' for i, p in enumerate(_P))}], lambda x: x IS NOT NULL), ',') AS matched FROM literals WHERE {' OR '.join(f'contains(value, {p!r})' for p in _P)}")
 def _(t):
-    which = F.array_compact(F.array(*[F.when(F.col("value").contains(p), F.lit(str(i))) for i, p in enumerate(_P)]))
-    return t.literals.withColumn("w", which).where(F.size("w") > 0).select("id", F.array_join("w", ",").alias("matched"))
+    hits = found(t.literals, "id", "value", _P).select("id", "pattern").distinct()
+    return hits.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("pattern")), lambda p: p.cast("string")), ",").alias("matched"))  # the patterns at most
 
 
 @query("FIL18", r"""SELECT doc_id, i AS line, length(encode(regexp_extract(ls[i], '^(.*?)(token|password)', 1))) + 1 AS col FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) AS d, unnest(range(1, len(ls) + 1)) AS u(i) WHERE regexp_matches(ls[i], 'token|password')""".replace("length(encode(", "octet_length(encode("))
 def _(t):
-    ls = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "l")).where(F.col("l").rlike("token|password"))
-    return ls.select("doc_id", (F.col("n") + 1).cast("long").alias("line"), (F.octet_length(F.regexp_extract("l", "^(.*?)(token|password)", 1)) + 1).cast("long").alias("col"))
+    hits = found(t.documents, "doc_id", "text", ["token", "password"])
+    return hits.groupBy("doc_id", "line").agg(F.min("col").alias("col"))
 
 
 @query("FIL19", """WITH hits AS (SELECT source AS root, doc_id FROM documents WHERE contains(text, 'token')) SELECT root, count(*) AS hits, min(doc_id) AS first, (SELECT count(DISTINCT source) FROM documents) AS roots, (SELECT count(*) FROM hits) > 10 AS truncated FROM hits GROUP BY root""")

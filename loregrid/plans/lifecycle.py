@@ -6,8 +6,10 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
 from ..operators import memory as M, priors as P, relational as R, telemetry as T
-from ..sources import logs as L
-from ..streaming import streams as ST
+from ..sources import ignore, logs as L
+from ..storage import commits
+from ..storage.snapshots import Snapshots
+from ..streaming import streams as ST, watch as WT
 from .filters import visible, _VISIBLE
 from .catalog import query
 from .relational import _SIG
@@ -16,9 +18,13 @@ from .tables import DAY, NOW
 
 @query("MEM01", "SELECT id, entry_type, coalesce(expires_at, CASE WHEN entry_type = 'prior' THEN created_at + 30 * 86400 END) AS expires_at FROM memory WHERE length(title) BETWEEN 1 AND 200 QUALIFY row_number() OVER (PARTITION BY title ORDER BY created_at, rowid) = 1")
 def _(t):
+    """Two batches of entries into a store by title: the first one created counts, whichever batch brings it; the first batch comes twice."""
     valid = t.memory.where(F.length("title").between(1, 200))
-    first = R.latest(valid, ["title"], F.col("created_at"), F.col("rowid"))
-    return first.select("id", "entry_type", F.coalesce("expires_at", F.when(F.col("entry_type") == "prior", F.col("created_at") + 30 * DAY)).alias("expires_at"))
+    entries = valid.select("title", "id", "entry_type", F.coalesce("expires_at", F.when(F.col("entry_type") == "prior", F.col("created_at") + 30 * DAY)).alias("expires_at"), (-(F.col("created_at") * 1_000_000_000 + F.col("rowid"))).alias("earlier"), F.col("rowid"))
+    store = Snapshots(t.spark, commits.fresh_dir(t.spark, "memory"), "title string, id string, entry_type string, expires_at long, earlier long", ["title"], "earlier", 8)
+    for number in (0, 1, 0):
+        store.merge(entries.where(F.col("rowid") % 2 == number), batch=number)
+    return store.read().select("id", "entry_type", "expires_at")
 
 
 @query("MEM02", "SELECT entry_id, count(*) FILTER (outcome = 'confirmed') AS confirmations, count(*) FILTER (outcome IN ('refuted', 'corrected')) AS corrections, max(prompt_id) FILTER (outcome = 'confirmed') AS last_confirmed FROM recall_candidates GROUP BY entry_id")
@@ -166,10 +172,14 @@ def _(t):
 _CHANGES = "SELECT concat('src/f', CAST(event_id % 300 AS STRING), CASE event_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.rs' WHEN 2 THEN '.txt' ELSE '.bin' END) AS path, CASE event_type WHEN 'view' THEN 'accessed' WHEN 'click' THEN 'modified' WHEN 'signup' THEN 'created' WHEN 'error' THEN 'removed' ELSE 'modified' END AS kind, event_id AS at_s FROM events"
 
 
-def _changes(t):
+def _changed(events):
     kind = F.when(F.col("event_type") == "view", "accessed").when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "removed").otherwise("modified")
     end = F.element_at(F.array(*map(F.lit, (".md", ".rs", ".txt", ".bin"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return t.events.select(F.concat(F.lit("src/f"), (F.col("event_id") % 300).cast("string"), end).alias("path"), kind.alias("kind"), F.col("event_id").alias("at_s"))
+    return events.select(F.concat(F.lit("src/f"), (F.col("event_id") % 300).cast("string"), end).alias("path"), kind.alias("kind"), F.col("event_id").alias("at_s"))
+
+
+def _changes(t):
+    return _changed(t.events)
 
 
 @query("STM01", f"SELECT path, arg_max(kind, CASE kind WHEN 'removed' THEN 3 WHEN 'created' THEN 2 ELSE 1 END::BIGINT * 1000000000 + at_s) AS kind, max(at_s) AS at_s FROM ({_CHANGES}) AS c WHERE kind <> 'accessed' GROUP BY path")
@@ -177,10 +187,25 @@ def _(t):
     return ST.collapsed_changes(_changes(t))
 
 
-@query("STM03", "SELECT user_id, count(*) AS n FROM (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events) AS x WHERE s = 1 GROUP BY user_id")
+@query("STM02", f"SELECT path, at_s AS body FROM (SELECT path, max(at_s) AS at_s, arg_max(kind, at_s) AS kind FROM ({_CHANGES}) AS c WHERE kind <> 'accessed' GROUP BY path) AS l WHERE kind <> 'removed'")
 def _(t):
-    e = t.events.select("user_id", F.col("ts").cast("timestamp").alias("at"))
-    return ST.session_gaps(e).groupBy("user_id").agg(F.count("*").alias("n"))
+    """The events as a stream of changes into a store, by the changed paths or, beyond the bound, by a rescan."""
+    last = _changes(t).where("kind <> 'accessed'").groupBy("path").agg(F.max("at_s").alias("body"), F.max_by("kind", "at_s").alias("kind"))
+    disk = commits.kept(last.where("kind <> 'removed'").select("path", "body"), "disk")
+    store = Snapshots(t.spark, commits.fresh_dir(t.spark, "watched"), "path string, body long, seq long", ["path"], "seq", 8)
+    ST.run(_changed(ST.table_stream(t.spark, t.sf_dir, "events")), WT.BoundedUpdates(store, lambda: disk), f"{store.root}/checkpoint")
+    return store.read().select("path", "body")
+
+
+@query("STM03", """WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events),
+    e AS (SELECT user_id, b, max(ts) AS last FROM (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS b FROM x) AS g GROUP BY user_id, b)
+    SELECT user_id, count(*) AS n FROM e WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY user_id""")
+def _(t):
+    """Each user's changes as a stream, flushed by timers once they were idle for half an hour; bursts that the watermark hasn't closed wait."""
+    WT.with_timers(t.spark)
+    changes = ST.table_stream(t.spark, t.sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("path"), F.lit("changed").alias("kind"), F.col("ts").cast("timestamp").alias("at"))
+    out = ST.run_once(WT.flushes(changes, WT.FlushTimers(idle=1_800, retry=600), "1 hour"), "flushes", "append")
+    return out.groupBy(F.col("key").cast("long").alias("user_id")).agg(F.count("*").alias("n"))
 
 
 @query("STM04", f"SELECT path, CASE WHEN suffix(path, '.md') OR suffix(path, '.txt') THEN 'doc' WHEN suffix(path, '.rs') THEN 'code' ELSE 'none' END AS route FROM (SELECT DISTINCT path FROM ({_CHANGES}) AS c) AS d")
@@ -198,9 +223,21 @@ def _(t):
     return ST.running_counts(t.calls)
 
 
-@query("STM07", "SELECT e.id, e.at_s IS NULL OR e.at_s >= 1704067200 + 10 * 86400 AS counts FROM errors e")
+_CUT = "(SELECT least(max(ts) FILTER (event_type = 'click'), max(ts) FILTER (event_type = 'error')) - INTERVAL 10 MINUTE - INTERVAL 2 DAY - INTERVAL 1 SECOND FROM events)"
+
+
+@query("STM07", f"""WITH i AS (SELECT event_id AS id, user_id, ts, event_id % 3 AS g FROM events WHERE event_type = 'click' AND ts < {_CUT}), e AS (SELECT user_id, ts, event_id % 3 AS g FROM events WHERE event_type = 'error')
+    SELECT id, bool_or(e.ts IS NOT NULL) AS refuted FROM i LEFT JOIN e ON e.user_id = i.user_id AND e.g = i.g AND e.ts >= i.ts AND e.ts <= i.ts + INTERVAL 2 DAY GROUP BY id""")
 def _(t):
-    return t.errors.select("id", (F.col("at_s").isNull() | (F.col("at_s") >= 1704067200 + 10 * DAY)).alias("counts"))
+    """Clicks as injections and errors as two streams, settled two days after; every sixth error has no time of its own."""
+    stream = lambda kind: ST.table_stream(t.spark, t.sf_dir, "events").where(F.col("event_type") == kind).withColumn("at", F.col("ts").cast("timestamp"))
+    i = stream("click").select(F.col("event_id").alias("id"), F.col("user_id").alias("session"), F.col("at").alias("injected_at"), (F.col("event_id") % 3).alias("signature"))
+    e = stream("error").select(F.col("user_id").alias("error_session"), F.col("at").alias("seen_at"), F.when(F.col("event_id") % 6 > 0, F.col("at")).alias("at"), (F.col("event_id") % 3).alias("error_signature"))
+    out = ST.run_once(WT.settled(i, e, F.col("signature") == F.col("error_signature"), "2 days"), "settled", "append")
+    # clicks whose two days the watermark hasn't passed may still be refuted
+    ends = t.events.where("event_type IN ('click', 'error')").groupBy("event_type").agg(F.max("ts").alias("ts")).agg(F.expr("min(ts) - interval 10 minutes - interval 2 days - interval 1 second").alias("cut"))
+    due = t.events.join(F.broadcast(ends), F.col("ts") < F.col("cut")).select(F.col("event_id").alias("id"))
+    return out.groupBy("id").agg(F.max("refuted").alias("refuted")).join(due, "id", "left_semi")
 
 
 # --- catalogue --------------------------------------------------------------------------------------------------
@@ -372,9 +409,13 @@ def _(t):
 
 @query("CAT31", "SELECT path, CASE WHEN file_id % 5 = 0 THEN 'updated' WHEN file_id % 7 = 0 THEN 'removed' ELSE 'unchanged' END AS change FROM code_files")
 def _(t):
-    old = t.code_files.select("path", F.lit("h").alias("hash"))
+    """Given files against the stored table of files: only what changed is merged."""
+    store = Snapshots(t.spark, commits.fresh_dir(t.spark, "code"), "path string, hash string, scan long", ["path"], "scan", 4)
+    first = store.merge(t.code_files.select("path", F.lit("h").alias("hash"), F.lit(1).alias("scan")), batch=1)
     new = t.code_files.where("file_id % 5 = 0 OR file_id % 7 <> 0").select("path", F.when(F.col("file_id") % 5 == 0, "x").otherwise("h").alias("hash"))
-    return L.snapshot_diff(old, new)
+    diff = L.snapshot_diff(store.read().select("path", "hash"), new).where("change <> 'unchanged'")
+    store.merge(diff.join(new, "path", "left").select("path", "hash", F.lit(2).alias("scan"), (F.col("change") == "removed").alias("gone")), batch=2, deleted="gone")
+    return store.read(first).select("path").join(store.changes(first), "path", "left").select("path", F.coalesce("change", F.lit("unchanged")).alias("change"))
 
 
 @query("CAT32", "SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT id FROM symbols WHERE kind <> 'struct')")
@@ -477,9 +518,17 @@ def _(t):
 
 @query("SRC02", "SELECT CASE WHEN id % 9 = 0 THEN 'removed' WHEN id % 4 = 1 THEN 'updated' ELSE 'unchanged' END AS change, count(*) AS n FROM docs GROUP BY 1")
 def _(t):
-    old = t.docs.select("path", F.sha2("body", 256).alias("hash"))
-    new = t.docs.where("id % 9 > 0").select("path", F.when(F.col("id") % 4 == 1, F.lit("x")).otherwise(F.sha2("body", 256)).alias("hash"))
-    return L.snapshot_diff(old, new).groupBy("change").agg(F.count("*").alias("n"))
+    """Two scans into a store by path: the second finds what is new, changed and gone."""
+    hashes = t.docs.select("path", F.sha2("body", 256).alias("hash"), F.lit(1).cast("long").alias("scan"), F.lit(False).alias("gone"))
+    store = Snapshots(t.spark, commits.fresh_dir(t.spark, "scans"), "path string, hash string, scan long", ["path"], "scan", 8)
+    first = store.merge(hashes, batch=1, deleted="gone")
+    now = t.docs.where("id % 9 > 0").select("path", F.when(F.col("id") % 4 == 1, F.lit("x")).otherwise(F.sha2("body", 256)).alias("hash"))
+    diff = commits.kept(L.snapshot_diff(store.read().select("path", "hash"), now), "diff")
+    moved = diff.where("change <> 'unchanged'").join(now, "path", "left").select("path", "hash", F.lit(2).cast("long").alias("scan"), (F.col("change") == "removed").alias("gone"))
+    store.merge(moved, batch=2, deleted="gone")
+    changed = store.changes(first).groupBy("change").agg(F.count("*").alias("n"))
+    same = store.read().where("scan = 1").agg(F.count("*").alias("n")).select(F.lit("unchanged").alias("change"), "n")
+    return changed.unionByName(same.where("n > 0"))
 
 
 @query("SRC03", "SELECT id FROM docs WHERE id IN (SELECT item_id FROM benchmark) AND status IS NULL")
@@ -487,9 +536,12 @@ def _(t):
     return t.docs.where("status is null").join(t.benchmark.select(F.col("item_id").alias("id")), "id", "left_semi").select("id")
 
 
-@query("SRC04", "SELECT path FROM code_files WHERE NOT regexp_matches(path, '/m1[0-9]?/')")
+@query("SRC04", "SELECT path FROM code_files WHERE NOT regexp_matches(path, '/m1[0-9]?/') AND NOT (starts_with(path, 'src/m3/') AND NOT regexp_matches(path, '/f[0-9]*3[.]rs$')) AND path <> 'src/m4/f4.rs'")
 def _(t):
-    return t.code_files.where(~F.col("path").rlike("/m1[0-9]?/")).select("path")
+    """The tree of code files with ignore files at its root and in a folder; an extra pattern besides."""
+    tree = t.code_files.select("path", F.lit("").alias("content"))
+    rules = t.spark.createDataFrame([(".gitignore", "# generated\n/src/m1*/\n!/src/m10/f10.rs\n"), ("src/m3/.gitignore", "*.rs\n!f*3.rs\n")], "path string, content string")
+    return ignore.visible(tree.unionByName(rules), ["/src/m4/f4.rs"]).where("path NOT LIKE '%.gitignore'").select("path")
 
 
 @query("SRC05", "SELECT doc_id, sha256(text) AS hash, octet_length(encode(text)) AS bytes, ceil(octet_length(encode(text)) / 4)::BIGINT AS tokens FROM documents WHERE octet_length(encode(text)) <= 1048576")
@@ -531,7 +583,11 @@ def _(t):
 
 @query("SRC11", "SELECT source, id, revision, title FROM (SELECT * FROM external QUALIFY row_number() OVER (PARTITION BY source, id ORDER BY revision DESC) = 1) AS l WHERE NOT deleted")
 def _(t):
-    return R.latest(t.external, ["source", "id"], F.desc("revision")).where("NOT deleted").select("source", "id", "revision", "title")
+    """Revisions in two batches, the later one first, and one of them twice; removed records stay removed."""
+    store = Snapshots(t.spark, commits.fresh_dir(t.spark, "external"), "source string, id string, revision long, title string", ["source", "id"], "revision", 8)
+    for batch, odd in enumerate((1, 0, 1)):
+        store.merge(t.external.where(F.col("revision") % 2 == odd), batch=batch, deleted="deleted")
+    return store.read()
 
 
 @query("SRC12", "SELECT id, title, entry_type, CASE WHEN rowid % 11 = 0 THEN 'conflict markers' END AS error FROM memory WHERE NOT contains(content, chr(10) || 'id: ')")
@@ -564,10 +620,16 @@ def _(t):
 
 @query("SRC17", "SELECT d.id, e.vec_id IS NULL OR d.id % 6 = 0 AS embed FROM docs d LEFT JOIN embeddings e ON e.vec_id = d.id")
 def _(t):
-    was = t.docs.select("id", F.sha2("body", 256).alias("was"))
-    now = t.docs.select("id", F.when(F.col("id") % 6 == 0, F.lit("new")).otherwise(F.sha2("body", 256)).alias("now"))
+    """Documents by collection and path, twice: a vector stays where the second merge left the content alone."""
+    rows = lambda h, n: t.docs.select("collection", "path", "id", h.alias("hash"), F.lit(n).cast("long").alias("seq"))
+    store = Snapshots(t.spark, commits.fresh_dir(t.spark, "documents"), "collection string, path string, id long, hash string, seq long", ["collection", "path"], "seq", 8)
+    first = store.merge(rows(F.sha2("body", 256), 1), batch=1)
+    now = rows(F.when(F.col("id") % 6 == 0, F.lit("new")).otherwise(F.sha2("body", 256)), 2)
+    was = store.read().select("collection", "path", "hash")
+    store.merge(now.join(was, ["collection", "path", "hash"], "left_anti"), batch=2)
+    changed = store.changes(first).select("collection", "path", F.lit(True).alias("changed"))
     has = t.embeddings.select(F.col("vec_id").alias("id"), F.lit(True).alias("has"))
-    return was.join(now, "id").join(has, "id", "left").select("id", (F.col("has").isNull() | (F.col("was") != F.col("now"))).alias("embed"))
+    return store.read().join(changed, ["collection", "path"], "left").join(has, "id", "left").select("id", (F.col("has").isNull() | F.col("changed").isNotNull()).alias("embed"))
 
 
 @query("SRC18", "SELECT repo, count(*) AS n FROM (SELECT 'docs' AS repo FROM docs UNION ALL SELECT 'memory' FROM memory UNION ALL SELECT 'code' FROM symbols) AS u GROUP BY repo")

@@ -33,8 +33,9 @@ def _(t):
 
 @query("STR04", "SELECT id, count(DISTINCT substr(name, i, 3)) AS trigrams FROM symbols, unnest(range(1, length(name) - 1)) AS u(i) GROUP BY id")
 def _(t):
-    grams = F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.substring("name", i, F.lit(3)))
-    return t.symbols.where(F.length("name") >= 3).select("id", F.size(F.array_distinct(grams)).cast("long").alias("trigrams"))
+    from .filters import symbol_names
+
+    return symbol_names(t).postings().select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("trigrams"))
 
 
 @query("STR04_porter")
