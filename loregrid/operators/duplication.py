@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..storage import commits
 
 # Trust buckets in their order, and the ladder of visibilities.
 BUCKETS = ["0", "1-3", "4", "5", "at cut", "cosine"]
@@ -83,32 +85,84 @@ def _cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder that the session names; a local folder only where none is set in local mode."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(f"/tmp/checkpoints/{sc.applicationId}")
+        sc.setCheckpointDir(commits.shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
-def dense_groups(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+#: Rounds in which groups are formed side by side; what waits longer is finished component by component.
+MOST_ROUNDS = 24
+
+
+def dense_groups(pairs: DataFrame, comps: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """``(root, grp, node)``: complete-linkage groups within components, greedy in node order.
 
-    Each node joins the first group all of whose members it is linked with. One component is one task's
-    group; components of duplicate code bodies are small, and their size is the caller's bound.
+    Each node joins the first group all of whose members it is linked with. A node waits only for smaller ones up to
+    two links away, so all nodes that are the least undecided ones within two links are decided at once, in
+    rounds. Nodes with the same links (copies of one another, as it mostly is with duplicates) always share a
+    group and count as one. A chain of nodes in order waits along its length: components that
+    are undecided after ``most_rounds`` are finished by one task each, which holds only their undecided nodes, those
+    nodes' links, and the groups so far.
     """
-    linked = pairs.select("a", "b").join(comps.toDF("a", "root"), "a")
-
-    def groups(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).where("a <> b").distinct()
+    links = commits.kept(both, "links")
+    nodes = links.select(F.col("a").alias("node")).distinct()
+    # a node and its links as one number, whatever their order: equal for nodes that are linked with each other and the same others
+    own = links.union(nodes.select("node", "node")).groupBy(F.col("a").alias("node")).agg(*[F.sum(F.xxhash64("b", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)])
+    twins = commits.kept(own.select("node", F.min("node").over(W.partitionBy("h1", "h2")).alias("first")), "twins")
+    firsts = twins.where("node = first").select(F.col("node").alias("a"))
+    links = commits.kept(links.join(firsts, "a", "left_semi").join(firsts.toDF("b"), "b", "left_semi").select("a", "b"), "links")
+    open_ = commits.kept(firsts.toDF("node"), "open")
+    groups = open_.select("node", F.col("node").alias("grp")).where("false")
+    for _ in range(most_rounds):
+        if open_.isEmpty():
+            break
+        waiting = open_.select(F.col("node").alias("b"))
+        # the least undecided node of each neighbourhood, then of its neighbours' neighbourhoods
+        near = links.join(waiting, "b", "left_semi").select("a", "b").union(open_.select(F.col("node").alias("a"), F.col("node").alias("b"))).groupBy("a").agg(F.min("b").alias("m"))
+        far = links.select(F.col("a").alias("node"), F.col("b").alias("a")).join(near, "a").select("node", "m").union(near.select(F.col("a").alias("node"), "m")).groupBy("node").agg(F.min("m").alias("m"))
+        ready = commits.kept(open_.join(far, "node").where("m = node").select("node"), "ready")
+        met = ready.join(links.toDF("node", "b"), "node").join(groups.select(F.col("node").alias("b"), "grp"), "b").groupBy("node", "grp").agg(F.count("*").alias("n"))
+        size = groups.groupBy("grp").agg(F.count("*").alias("size"))
+        fits = met.join(size, "grp").where("n = size").groupBy("node").agg(F.min("grp").alias("grp"))
+        joined = ready.join(fits, "node", "left")
+        joined = joined.select("node", F.coalesce("grp", "node").alias("grp"))
+        groups = commits.kept(groups.unionByName(joined), "groups")
+        open_ = commits.kept(open_.join(ready, "node", "left_anti"), "open")
+    if not open_.isEmpty():
+        groups = groups.unionByName(_finished(open_, links, groups, comps))
+    members = twins.join(groups.toDF("first", "grp"), "first").select("node", "grp")
+    return members.join(comps.toDF("node", "root"), "node").select("root", "grp", "node")
+
+
+def _finished(open_: DataFrame, links: DataFrame, groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(node, grp)`` of the nodes that are still undecided, by one pass in order for each of their components."""
+    mine = open_.toDF("a").join(links, "a", "left").join(comps.toDF("a", "root"), "a")
+    told = mine.join(groups.toDF("b", "grp"), "b", "left").select("root", "a", "b", "grp")
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("size"))
+    rows = told.join(sizes, "grp", "left").select("root", "a", "b", "grp", "size")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        out: list[list] = []
+        size: dict = {}
+        home: dict = {}
+        for a, b, grp, n in zip(pdf["a"], pdf["b"], pdf["grp"], pdf["size"], strict=True):
+            near.setdefault(a, set())
+            if b == b and b is not None:  # a node may have had no links but those to its copies
+                near[a].add(int(b))
+            if grp == grp and grp is not None:
+                home[int(b)], size[int(grp)] = int(grp), int(n)
+        out = []
         for node in sorted(near):
-            home = next((g for g in out if all(m in near[node] for m in g)), None)
-            home.append(node) if home is not None else out.append([node])
-        return pd.DataFrame([(key[0], g[0], n) for g in out for n in g], columns=["root", "grp", "node"])
-
-    return linked.groupBy("root").applyInPandas(groups, "root long, grp long, node long")
+            met: dict = {}
+            for b in near[node]:
+                if b in home:
+                    met[home[b]] = met.get(home[b], 0) + 1
+            grp = min((g for g, n in met.items() if n == size[g]), default=node)
+            home[node], size[grp] = grp, size.get(grp, 0) + 1
+            out.append((node, grp))
+        return pd.DataFrame(out, columns=["node", "grp"])
+
+    return rows.groupBy("root").applyInPandas(run, "node long, grp long")
 
 
 def bucket(hamming: Column, cut: int) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import signatures_match
+from ..storage import commits
+from . import vectors
 
 # The injection threshold, sessions for promotion, similarity of one cluster, verdicts before demotion.
 INJECT_THRESHOLD, PROMOTE_SESSIONS, SAME_CLUSTER, MIN_SETTLEMENTS = 0.3, 2, 0.70, 3
@@ -61,27 +62,42 @@ def demoted(clusters: DataFrame, settled: DataFrame) -> DataFrame:
     return c.where((F.col("state") == "promoted") & (F.col("refuted_count") > F.col("confirmed_count")) & (F.col("confirmed_count") + F.col("refuted_count") >= MIN_SETTLEMENTS)).select("id", "refuted_count")
 
 
-def cluster_candidates(candidates: DataFrame, least: float = SAME_CLUSTER) -> DataFrame:
-    """``(key, id, cluster)``: candidates in order of creation join the first-made cluster of their error key whose first member is similar enough.
+def leaders(order: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Stored ``(id)``: of ``order(id, place)`` the rows that a pass in order of place makes leaders: those without an earlier leader among ``pairs(a, b)``.
 
-    Order matters, so each key is one sequential group; a key's candidates are those of one error.
+    In rounds instead of one pass: a row none of whose earlier neighbours is undecided or a leader is a leader; one
+    with an earlier leader is none, and stops nobody. Each round decides the first undecided row of every
+    neighbourhood, so the rounds are as many as the longest run of rows that wait for each other.
     """
+    place = order.select("id", "place")
+    both = pairs.join(place.toDF("a", "pa"), "a").join(place.toDF("b", "pb"), "b").where("a <> b")
+    first = F.col("pa") < F.col("pb")
+    edges = commits.kept(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late")).distinct(), "edges")
+    out = commits.kept(order.select("id").join(edges.select(F.col("late").alias("id")).distinct(), "id", "left_anti"), "leaders")
+    new = out
+    while not edges.isEmpty():
+        out_of = commits.kept(edges.join(new.select(F.col("id").alias("early")), "early", "left_semi").select(F.col("late").alias("id")).distinct(), "followers")
+        waiting = edges.join(out_of.select(F.col("id").alias("late")), "late", "left_anti")
+        rest = commits.kept(waiting.join(out_of.select(F.col("id").alias("early")), "early", "left_anti"), "edges")
+        new = commits.kept(waiting.select(F.col("late").alias("id")).distinct().join(rest.select(F.col("late").alias("id")).distinct(), "id", "left_anti"), "leaders")
+        out, edges = out.union(new), rest
+    return out
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values(["created_at", "id"])
-        seeds: list[tuple[int, np.ndarray]] = []
-        out = []
-        for i, v in zip(pdf["id"], pdf["v"], strict=True):
-            x = np.asarray(v, dtype=float)
-            n = np.linalg.norm(x)
-            best = max(((float(x @ s / (n * np.linalg.norm(s) or 1)), -k, k) for k, s in seeds), default=None) if n else None
-            if best is not None and best[0] >= least:
-                out.append(best[2])
-            else:
-                seeds.append((i, x))
-                out.append(i)
-        return pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "cluster": out})
-
-    return candidates.select("key", "id", "created_at", "v").groupBy("key").applyInPandas(run, "key string, id long, cluster long")
+def cluster_candidates(candidates: DataFrame, least: float = SAME_CLUSTER) -> DataFrame:
+    """``(key, id, cluster)``: candidates in order of creation join the nearest cluster of their error key whose first member is similar enough, ties to the smaller id.
+
+    The order is kept by rounds over the pairs of similar candidates (``leaders``), so a key isn't a task. Of equal vectors
+    of a key only the first can lead a cluster, and only it makes pairs. Null and zero vectors are clusters of their own.
+    """
+    rows = candidates.select("key", "id", F.struct("created_at", "id").alias("place"), F.col("v").cast("array<double>").alias("v"), F.xxhash64("key", "v").alias("class"))
+    rows = commits.kept(rows.withColumn("sound", F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))), "candidates")
+    once = rows.where("sound").groupBy("key", "v", "class").agg(F.min_by("id", "place").alias("id"), F.min("place").alias("place"))
+    once = commits.kept(once, "classes")
+    pairs = commits.kept(vectors.cosine_pairs(once.select("id", "v", "key"), least, within="key"), "pairs")
+    led = commits.kept(leaders(once, pairs).join(once, "id").select("key", F.col("id").alias("leader"), F.col("place").alias("since"), F.col("class").alias("lc")), "led")
+    # each class with the leaders near it, itself among them; a row joins the nearest of those that were there before it
+    ends = pairs.select("a", "b", "score").union(pairs.select("b", "a", "score")).join(once.select(F.col("id").alias("b"), "class", "key"), "b")
+    near = ends.join(led.select(F.col("leader").alias("a"), "since"), "a").select("key", "class", F.col("a").alias("leader"), "since", "score").union(led.select("key", F.col("lc").alias("class"), "leader", "since", F.lit(1.0).alias("score")))
+    best = rows.where("sound").join(near, ["key", "class"]).where(F.col("since") <= F.col("place")).groupBy("key", "id").agg(F.max_by("leader", F.struct("score", -F.col("leader"))).alias("cluster"))
+    return best.unionByName(rows.where("NOT sound").select("key", "id", F.col("id").alias("cluster")))

@@ -7,11 +7,16 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows of one side of a block of pairs.
-BLOCK = 2_048
+from ..storage import commits
+
+#: Rows of one side of a block of pairs, and vectors among which pivots are chosen, those of the smallest hashes.
+BLOCK, SAMPLE = 2_048, 4_096
+#: Pivots at most: they go with every task.
+MOST_PIVOTS = 512
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -98,29 +103,104 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> Data
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cosine_pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """``(a, b, score)``, a < b: all pairs of ``vectors(id, v)`` with cosine ``least`` or more.
+def _pivots(sample: np.ndarray, bound: float) -> np.ndarray:
+    """Pivots for a join of unit vectors within ``bound``: of several numbers of them the one that compares least on the sample.
 
-    Exact and in blocks: rows are dealt into blocks of about ``block``, each pair of blocks is one matrix
-    product, and only pairs above the threshold leave it.
+    A pivot's cell compares the vectors nearest to it with each other and with those copied there. Many pivots make small
+    cells where vectors cluster, but copy everything where they don't: there few pivots win, down to a single cell.
+    """
+    best = (len(sample) ** 2 / 2, sample[:1])
+    most = min(MOST_PIVOTS, len(sample) // 4)
+    # each pivot is the vector farthest from those before it, so that clusters get one each before any gets two
+    order, far = [0], np.full(len(sample), np.inf)
+    for _ in range(most):
+        far = np.minimum(far, 2 - 2 * sample @ sample[order[-1]])
+        order.append(int(far.argmax()))
+    n = 8
+    while n <= most:
+        chosen = sample[order[:n]]
+        d = np.sqrt(np.maximum(0, 2 - 2 * sample @ chosen.T))
+        home = d.argmin(1)
+        inner = np.bincount(home, minlength=n)
+        copied = ((d <= d.min(1)[:, None] + 2 * bound) & (np.arange(n) <= home[:, None])).sum(0)
+        cost = float((inner * (copied - inner / 2)).sum() + len(sample) * n)
+        best = min(best, (cost, chosen), key=lambda x: x[0])
+        n *= 2
+    return best[1]
+
+
+def _cells(vectors: DataFrame, least: float, block: int, within: str | None) -> DataFrame:
+    """Pairs of blocks to compare: ``li, lf, lh, ri, rf, rh, cell, same`` (ids, flat unit vectors, homes; whether both are one block).
+
+    Every vector stands in the cell of its nearest pivot, its home, and in each cell of a smaller number whose pivot is
+    within twice the bound of that distance: two vectors within the bound meet in the smaller of their homes, once. Within a
+    cell the distance to the pivot cuts bands as wide as the bound, by the triangle inequality only equal and
+    neighbouring bands meet; a band of many rows is dealt into blocks, so no cell is one task.
+    """
+    bound = distance_bound(least) + 1e-9
+    kinds = dict(vectors.dtypes)
+    group = F.col(within).cast("string") if within else F.lit("")
+    rows = vectors.where("v IS NOT NULL").select("id", F.coalesce(group, F.lit("")).alias("within"), F.col("v").cast("array<double>").alias("v"))
+    sampled = rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()
+    width = max((len(r.v) for r in sampled), key=[len(r.v) for r in sampled].count, default=0)
+    sample = np.array([r.v for r in sampled if len(r.v) == width], dtype=float).reshape(-1, width)
+    norms = np.linalg.norm(sample, axis=1, keepdims=True)
+    sample = (sample / np.maximum(norms, 1e-300))[norms[:, 0] > 0]
+    pivots = _pivots(sample, bound) if len(sample) else np.zeros((1, width))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            n = np.linalg.norm(x, axis=1)
+            x = x / np.maximum(n, 1e-300)[:, None]
+            d = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T))
+            home = d.argmin(1)
+            near = (d <= d.min(1)[:, None] + 2 * bound) & (np.arange(len(pivots)) <= home[:, None]) & (n > 0)[:, None]
+            i, cell = np.nonzero(near)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * x.shape[1]), pa.array(x[i].ravel()))
+            take = pa.array(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), flat, pa.array(cell.astype(np.int32)), pa.array(home[i].astype(np.int32)), pa.array(d[i, cell])], names=["id", "within", "v", "cell", "home", "d"])
+
+    sized = rows.where((F.size("v") == width) & ~F.exists("v", lambda x: x.isNull()))
+    held = commits.kept(sized.mapInArrow(placed, f"id {kinds['id']}, within string, v array<double>, cell int, home int, d double").withColumn("band", F.floor(F.col("d") / F.lit(max(bound, 1e-6))).cast("int")), "cells")
+    counts = held.groupBy("within", "cell", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = held.join(counts, ["within", "cell", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = dealt.groupBy("within", "cell", "band", "block").agg(F.collect_list(F.struct("id", "v", "home")).alias("x")).select("within", "cell", "band", "block", F.col("x.id").alias("i"), F.flatten("x.v").alias("f"), F.col("x.home").alias("h"))
+    blocks = commits.kept(blocks, "blocks")
+    left = blocks.select("within", "cell", F.col("band").alias("lb"), F.col("block").alias("lk"), F.col("i").alias("li"), F.col("f").alias("lf"), F.col("h").alias("lh"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    right = blocks.select("within", "cell", "band", F.col("block").alias("rk"), F.col("i").alias("ri"), F.col("f").alias("rf"), F.col("h").alias("rh"))
+    met = left.join(right, ["within", "cell", "band"]).where("lb < band OR lk <= rk")
+    return met.select("li", "lf", "lh", "ri", "rf", "rh", "cell", (F.col("lb").eqNullSafe(F.col("band")) & (F.col("lk") == F.col("rk"))).alias("same"))
+
+
+def cosine_pairs(vectors: DataFrame, least: float, block: int = BLOCK, within: str | None = None) -> DataFrame:
+    """``(a, b, score)``, a < b: all pairs of ``vectors(id, v)``, ids unique, with cosine ``least`` (above 0) or more; of equal ``within`` only, if named.
+
+    Exact, by cells around pivots (``_cells``): what is compared grows with the sizes of the clusters, not with the square
+    of the table, unless the vectors don't cluster at this threshold. Null and zero vectors, and those that aren't of the
+    usual length, have no pairs.
     """
-    n = max(1, -(-vectors.count() // block))
-    dealt = vectors.select("id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
-    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("x")).select("block", F.col("x.id").alias("ids"), F.flatten("x.v").alias("flat"))
-    l, r = blocks.toDF("lb", "li", "lf"), blocks.toDF("rb", "ri", "rf")
+    kind = dict(vectors.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                li, lf, ri, rf = (np.array(batch.column(c)[at].values) for c in range(4))
-                x, y = lf.reshape(len(li), -1), rf.reshape(len(ri), -1)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-                s = x @ y.T
-                i, j = np.nonzero(s >= least)
-                a, b, keep = np.minimum(li[i], ri[j]), np.maximum(li[i], ri[j]), li[i] != ri[j]
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(s[i, j][keep])], names=["a", "b", "score"])
-
-    # a stated grid of blocks against blocks, each pair of blocks once
-    grid = l.join(r, F.col("lb") <= F.col("rb"))
-    return grid.select("li", "lf", "ri", "rf").mapInArrow(run, "a long, b long, score double").dropDuplicates(["a", "b"])
+                li, ri = batch.column(0)[at].values, batch.column(3)[at].values
+                lf, lh, rf, rh = (np.array(batch.column(c)[at].values) for c in (1, 2, 4, 5))
+                cell, same = batch.column(6)[at].as_py(), batch.column(7)[at].as_py()
+                s = lf.reshape(len(lh), -1) @ rf.reshape(len(rh), -1).T
+                hit = (s >= least) & ((lh == cell)[:, None] | (rh == cell))
+                i, j = np.nonzero(np.triu(hit, 1) if same else hit)
+                a, b = li.take(pa.array(i)), ri.take(pa.array(j))
+                turned = pc.greater(a, b)
+                yield pa.RecordBatch.from_arrays([pc.if_else(turned, b, a), pc.if_else(turned, a, b), pa.array(s[i, j])], names=["a", "b", "score"])
+
+    return _cells(vectors, least, block, within).mapInArrow(run, f"a {kind}, b {kind}, score double").where("a <> b")
+
+
+def compared(vectors: DataFrame, least: float, block: int = BLOCK) -> int:
+    """Pairs of vectors that ``cosine_pairs`` compares."""
+    cells = _cells(vectors, least, block, None).select(F.size("lh").cast("long").alias("n"), F.size("rh").cast("long").alias("m"), "same")
+    return cells.agg(F.coalesce(F.sum(F.when(F.col("same"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("m"))), F.lit(0)).cast("long")).first()[0]
