@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .duplication import _cut
+from ..storage import commits
 
 # Callable kinds, and the tiers that stand for external and unplaced targets.
 CALLABLE = ("function", "method")
@@ -43,18 +43,27 @@ def callers(edges: DataFrame) -> DataFrame:
     return edges.where((F.col("tier") == F.col("nearest")) & (F.col("tier") != EXTERNAL)).groupBy("sym_id", "from_id").agg(F.min("tier").alias("tier"))
 
 
+#: Nodes of a frontier that are named in the filter of a scan; more are joined.
+FEW = 1_000
+
+
 def impact(calls: DataFrame, start: int, depth: int) -> DataFrame:
-    """``(id, tier)``: all that may call ``start``, directly or over ``depth`` further hops; unplaced arrivals are reported but not followed."""
+    """``(id, tier)``: all that may call ``start``, directly or over ``depth`` further hops; unplaced arrivals are reported but not followed.
+
+    A hop is one stored table; a short frontier is pushed down to the scan of ``calls(sym_id, from_id, tier)``.
+    """
     frontier = calls.sparkSession.range(1).select(F.lit(start).cast("long").alias("sym_id"))
     seen, queued = None, frontier
     for _ in range(depth + 1):
-        hop = _cut(calls.join(F.broadcast(frontier) if frontier.count() <= 100_000 else frontier, "sym_id").groupBy(F.col("from_id").alias("id")).agg(F.min("tier").alias("tier")))
-        seen = hop if seen is None else _cut(seen.union(hop).groupBy("id").agg(F.min("tier").alias("tier")))
-        frontier = _cut(hop.where(F.col("tier") != UNPLACED).select(F.col("id").alias("sym_id")).join(queued, "sym_id", "left_anti"))
-        queued = queued.union(frontier)
-        if frontier.isEmpty():
+        few = [r.sym_id for r in frontier.limit(FEW + 1).collect()]
+        if not few:
             break
-    return seen
+        met = calls.where(F.col("sym_id").isin(few)) if len(few) <= FEW else calls.join(frontier, "sym_id")
+        hop = commits.kept(met.groupBy(F.col("from_id").alias("id")).agg(F.min("tier").alias("tier")), "hop")
+        seen = hop if seen is None else seen.unionByName(hop)
+        frontier = hop.where(F.col("tier") != UNPLACED).select(F.col("id").alias("sym_id")).join(queued, "sym_id", "left_anti")
+        queued = queued.union(frontier)
+    return seen.groupBy("id").agg(F.min("tier").alias("tier"))
 
 
 def receiver_types(functions: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import signatures_match
 from ..storage import commits
 from . import vectors
+from .duplication import components
 
 # The injection threshold, sessions for promotion, similarity of one cluster, verdicts before demotion.
 INJECT_THRESHOLD, PROMOTE_SESSIONS, SAME_CLUSTER, MIN_SETTLEMENTS = 0.3, 2, 0.70, 3
@@ -101,3 +102,17 @@ def cluster_candidates(candidates: DataFrame, least: float = SAME_CLUSTER) -> Da
     near = ends.join(led.select(F.col("leader").alias("a"), "since"), "a").select("key", "class", F.col("a").alias("leader"), "since", "score").union(led.select("key", F.col("lc").alias("class"), "leader", "since", F.lit(1.0).alias("score")))
     best = rows.where("sound").join(near, ["key", "class"]).where(F.col("since") <= F.col("place")).groupBy("key", "id").agg(F.max_by("leader", F.struct("score", -F.col("leader"))).alias("cluster"))
     return best.unionByName(rows.where("NOT sound").select("key", "id", F.col("id").alias("cluster")))
+
+
+def reclustered(candidates: DataFrame, least: float = SAME_CLUSTER) -> DataFrame:
+    """``(id, cluster)``: candidates of ``candidates(key, id, v)`` by single link: those of one key that a chain of similar vectors joins, under the smallest id.
+
+    Groups that a candidate bridges are one. Equal vectors of a key are one node of the chain.
+    """
+    rows = candidates.select("key", "id", F.col("v").cast("array<double>").alias("v"))
+    once = commits.kept(rows.groupBy("key", "v").agg(F.min("id").alias("first")), "classes")
+    pairs = commits.kept(vectors.cosine_pairs(once.select(F.col("first").alias("id"), "v", "key"), least, within="key").select("a", "b"), "pairs")
+    root = components(pairs).toDF("first", "root")
+    classes = once.join(root, "first", "left").select("key", "v", F.coalesce("root", "first").alias("cluster"))
+    same = rows["key"].eqNullSafe(classes["key"]) & rows["v"].eqNullSafe(classes["v"])
+    return rows.join(classes, same).select("id", "cluster")

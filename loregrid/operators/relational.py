@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..storage import commits
 
 #: Spans into which distinct values are dealt for running sums.
 SPANS = 64
@@ -43,10 +44,10 @@ def offset_percentile(values: Column, p: int) -> Column:
 def offset_percentiles(df: DataFrame, value: str, ps: tuple[int, ...]) -> DataFrame:
     """One row ``p50, p95, ...`` of offset percentiles without gathering the values: counts by value, then running sums.
 
-    Distinct values are dealt into ``SPANS`` spans by approximate quantiles and summed within each; only the
+    The counts are stored once and read by each of these steps. Distinct values are dealt into ``SPANS`` spans by approximate quantiles and summed within each; only the
     spans' totals pass through a single ordered partition. Where the cuts lie doesn't change the result.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
+    counts = commits.kept(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c")), "counts")
     cuts = counts.agg(F.percentile_approx(value, [k / SPANS for k in range(1, SPANS)])).first()[0] or []
     span = F.lit(0)
     for cut in sorted(set(cuts)):

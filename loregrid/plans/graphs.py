@@ -115,8 +115,17 @@ _TIERS = f"""SELECT r.id AS edge, r.from_symbol_id AS from_id, s.id AS sym_id, C
 _CALLERS = f"SELECT sym_id, from_id, min(tier) AS tier FROM (SELECT *, min(tier) OVER (PARTITION BY edge) AS nearest FROM ({_TIERS}) AS x) AS y WHERE tier = nearest AND tier <> 3 GROUP BY sym_id, from_id"
 
 
+_CODE = ["lineitem", "part"]
+
+
 def _edges(t):
-    return K.resolved_edges(t.relationships, t.symbols, t.imports)
+    """Resolved calls, stored by the first query that needs them."""
+    return t.once("edges", _CODE, lambda: K.resolved_edges(t.relationships, t.symbols, t.imports))
+
+
+def _callers(t):
+    """Callers by callee, stored in ranges of the callee: what is asked of a few callees skips the rest."""
+    return t.once("callers", _CODE, lambda: K.callers(_edges(t)).repartitionByRange("sym_id").sortWithinPartitions("sym_id"))
 
 
 @query("COD01")
@@ -169,7 +178,7 @@ def _(t):
 
 @query("COD08", _CALLERS)
 def _(t):
-    return K.callers(_edges(t))
+    return _callers(t)
 
 
 _HOP = "SELECT from_id AS id, min(tier) AS tier FROM c WHERE sym_id IN ({}) GROUP BY from_id"
@@ -177,7 +186,7 @@ _HOP = "SELECT from_id AS id, min(tier) AS tier FROM c WHERE sym_id IN ({}) GROU
 
 @query("COD09", f"WITH c AS MATERIALIZED ({_CALLERS}), h0 AS ({_HOP.format('12')}), h1 AS ({_HOP.format('SELECT id FROM h0 WHERE tier <> 7 AND id <> 12')}) SELECT id, min(tier) AS tier FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1) AS u GROUP BY id")
 def _(t):
-    return K.impact(D._cut(K.callers(_edges(t))), 12, 1)
+    return K.impact(_callers(t), 12, 1)
 
 
 @query("COD10", "SELECT id, name, kind, file_path FROM symbols WHERE name = 'fn7' UNION ALL SELECT id, name, kind, file_path FROM symbols WHERE contains(name, 'fn30') AND kind = 'struct'")
@@ -193,7 +202,7 @@ def _(t):
 
 @query("COD12", f"SELECT DISTINCT least(from_id, sym_id) AS a, greatest(from_id, sym_id) AS b FROM ({_CALLERS}) AS c WHERE tier <= 2 AND from_id <> sym_id")
 def _(t):
-    c = K.callers(_edges(t)).where("tier <= 2 AND from_id <> sym_id")
+    c = _callers(t).where("tier <= 2 AND from_id <> sym_id")
     return c.select(F.least("from_id", "sym_id").alias("a"), F.greatest("from_id", "sym_id").alias("b")).distinct()
 
 

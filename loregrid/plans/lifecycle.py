@@ -105,12 +105,13 @@ def _(t):
     return P.cluster_candidates(c.join(t.embeddings.select("vec_id", F.col("embedding").alias("v")), "vec_id"))
 
 
-@query("PRI05")
+@query("PRI05", f"""WITH RECURSIVE c AS MATERIALIZED (SELECT k.id, k.id % 7 AS key, e.vec_id, e.embedding::DOUBLE[] AS v FROM candidates k JOIN embeddings e ON e.vec_id = k.id % 500),
+    n AS MATERIALIZED (SELECT key, vec_id, any_value(v) AS v, min(id) AS id FROM c GROUP BY key, vec_id), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.key = b.key AND a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= {P.SAME_CLUSTER}),
+    w AS (SELECT id, id AS r FROM n UNION SELECT w.id, e.b FROM w JOIN e ON e.a = w.r), g AS (SELECT id, min(r) AS cluster FROM w GROUP BY id)
+    SELECT c.id, cluster FROM c JOIN n ON n.key = c.key AND n.vec_id = c.vec_id JOIN g ON g.id = n.id""")
 def _(t):
-    from ..operators.duplication import components
-    from ..operators.vectors import cosine_pairs
-
-    return components(cosine_pairs(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), P.SAME_CLUSTER).select("a", "b"))
+    c = t.candidates.select((F.col("id") % 500).alias("vec_id"), "id", (F.col("id") % 7).alias("key"))
+    return P.reclustered(c.join(t.embeddings.select("vec_id", F.col("embedding").alias("v")), "vec_id"))
 
 
 @query("PRI06", "SELECT cluster_id FROM candidates GROUP BY cluster_id HAVING count(DISTINCT session) >= 2")

@@ -8,9 +8,13 @@ queries and their SQL twins therefore start from the same rows.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import commits
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: Moment that all derived ages refer to.
@@ -158,6 +162,16 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    def once(self, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+        """The rows of ``build()``, written by the first query that needs them and read by the others, until the files of ``sources`` change."""
+        root = f"{commits.shared_dir(self.spark)}/corpora/{name}-{commits.fingerprint(self.spark, *[f'{self.sf_dir}/{s}.parquet' for s in sources])}"
+        version, content = commits.latest(self.spark, root)
+        if not content:
+            content = {"rows": uuid.uuid4().hex}
+            build().write.option("compression", "zstd").parquet(f"{root}/{content['rows']}")
+            commits.publish(self.spark, root, version + 1, content)
+        return self.spark.read.parquet(f"{root}/{content['rows']}")
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
