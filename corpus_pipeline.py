@@ -13,22 +13,41 @@ from loregrid.llm.common import read, stored
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that the classifier rejects go."""
+    """Operator 5: documents that the classifier rejects go.
+
+    Null and empty texts are judged by their shape like any other; repeated rows share their fate, rows that repeat only
+    doc_id are judged by their own texts; labels of unknown documents have no effect; without labels all documents
+    stay; an empty table stays empty. Columns keep their names whatever they are.
+    """
     return quality.accepted(docs, read(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of similar lines the first stays; the texts lose the others."""
+    """Operator 8: of similar lines the first stays; the texts lose the others.
+
+    First is by doc_id (null before all), then line, then the text's hash; rows that repeat doc_id and text lose the same
+    lines. A null text stays null, an empty one empty; a text may lose all its lines and stays as an empty one; an
+    empty table stays empty. n_chars follows the text, other columns pass through.
+    """
     return lines.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of documents with near fingerprints the one with the smallest doc_id stays."""
+    """Operator 7: of documents with near fingerprints the one with the smallest doc_id stays.
+
+    Null doc_ids come last, ties go to one of the rows by the text's hash, so of repeated rows one stays. Texts
+    without words (null ones too) have one fingerprint and are near each other; an empty table stays empty.
+    Columns pass through, whatever their names.
+    """
     return simhash.deduplicated(docs)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: contaminated documents go."""
+    """Operator 10: contaminated documents go.
+
+    Null and empty texts have no words and stay; repeated rows share their fate; null benchmark items and items
+    without words hit nothing; without a benchmark all documents stay; an empty table stays empty. Columns pass through.
+    """
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 

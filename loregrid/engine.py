@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions.requests import checked
 from .operators import code, graph, memory, retrieval, telemetry
 from .plans.filters import current, visible
 from .storage import commits
@@ -26,10 +27,12 @@ class Engine:
         return self._corpora[name]
 
     def search(self, text: str, limit: int = 10, include_superseded: bool = False) -> DataFrame:
+        checked(limit)
         corpus = self._corpus(f"docs-{include_superseded}", self.catalog["docs"].where(current(include_superseded)), ["title", "body"])
         return retrieval.hybrid_documents(corpus, self._queries(text), limit)
 
     def recall(self, text: str, now: int, limit: int = 5, floor: float = 0.40) -> DataFrame:
+        checked(limit, floor=floor)
         live = self.catalog["memory"].where((F.col("status") == "active") & visible(now))
         return retrieval.recall(self._corpus(f"memory-{now}", live, ["title", "content"]), live, self._queries(text), limit, now, floor)
 
@@ -40,9 +43,11 @@ class Engine:
         return self.catalog["memory"].where(visible(now)).withColumn("confidence", memory.confidence(F.lit(now)))
 
     def graph_neighbors(self, entity: int, depth: int = 1) -> DataFrame:
+        checked(depth, 16)
         return graph.neighbors(self.catalog["doc_links"], entity, depth)
 
     def graph_path(self, start: int, target: int, most: int = 6) -> DataFrame:
+        checked(most, 64)
         return graph.shortest_path(self.catalog["doc_links"], start, target, most)
 
     def history(self) -> DataFrame:

@@ -33,37 +33,44 @@ def hamming_join(df: DataFrame, most: int) -> DataFrame:
     return l.join(r, on).select("a", "b", F.bit_count(x).alias("distance"))
 
 
-def fingerprinted(df: DataFrame, text: str, tokens: Callable[[Column], Column]) -> DataFrame:
-    """``df`` with ``fp``: a 64-bit fingerprint of the tokens, the majority of bits over the xxhash64 of their 3-token shingles; 0 without any.
+def md5_60(text: Column) -> Column:
+    """The leading 60 bits of a text's MD5, for fingerprints that SQL engines without xxHash can make too."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def fingerprinted(df: DataFrame, text: str, tokens: Callable[[Column], Column], hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """``df`` with ``fp``: a 64-bit fingerprint of the tokens, the majority of bits over the hashes of their 3-token shingles; 0 without any.
 
     Tokens and hashes are columns of their own before the bits are counted, so each shingle is hashed once.
     """
     n = F.size("_tokens")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2)), lambda i: F.xxhash64(F.array_join(F.slice("_tokens", i, 3), " ")))
-    hashed = df.withColumn("_tokens", tokens(F.col(text))).withColumn("_hashes", F.when(n > 0, grams).otherwise(F.array().cast("array<long>")))
-    return hashed.withColumn("fp", majority_bits(F.col("_hashes"))).drop("_tokens", "_hashes")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2)), lambda i: hashed(F.array_join(F.slice("_tokens", i, 3), " ")))
+    held = df.withColumn("_tokens", tokens(F.col(text))).withColumn("_hashes", F.when(n > 0, grams).otherwise(F.array().cast("array<long>")))
+    return held.withColumn("fp", majority_bits(F.col("_hashes"))).drop("_tokens", "_hashes")
 
 
 def majority_bits(hashes: Column) -> Column:
     """The long whose bits are set where more than half of the array's longs have them; 0 for none.
 
-    Counts of four bits ride in one long, 16 bits each; longer arrays are counted in chunks, so that none runs over.
+    Counts of four bits ride in one long, 16 bits each, so the array is passed over 16 times; longer arrays are counted
+    in chunks, so that none runs over. The 16 sums are made once and named, whatever reads them.
     """
-    chunk = 32_767
+    chunk, zero = 32_767, F.lit(0).cast("long")
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(hashes), F.lit(1)) - 1) / chunk).cast("int")), lambda i: F.slice(hashes, i * chunk + 1, chunk))
-    zero = F.lit(0).cast("long")
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  a name for a value within an expression
 
-    def sums(k: int) -> Column:
+    def sums(parts: Column, k: int) -> Column:
         """Per chunk the counts of bits k, k + 16, k + 32 and k + 48."""
         return F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(0x0001_0001_0001_0001))))
 
-    def count(bit: int) -> Column:
-        return F.aggregate(sums(bit % 16), zero, lambda a, s: a + F.shiftrightunsigned(s, bit // 16 * 16).bitwiseAND(F.lit(0xFFFF)))
+    def bits(counted: Column) -> Column:
+        out = zero
+        for bit in range(64):
+            count = F.aggregate(counted[bit % 16], zero, lambda a, s: a + F.shiftrightunsigned(s, bit // 16 * 16).bitwiseAND(F.lit(0xFFFF)))
+            out = out.bitwiseOR(F.when(count * 2 > F.size(hashes), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(zero))
+        return out
 
-    out = zero
-    for bit in range(64):
-        out = out.bitwiseOR(F.when(count(bit) * 2 > F.size(hashes), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(zero))
-    return out
+    return once(once(parts, lambda p: F.array(*[sums(p, k) for k in range(16)])), bits)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

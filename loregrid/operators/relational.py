@@ -77,3 +77,12 @@ def degrees(links: DataFrame) -> DataFrame:
     """``(entity, out_degree, in_degree, total)`` from ``links(src, dst)``."""
     ends = links.select(F.col("src").alias("entity"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(links.select(F.col("dst").alias("entity"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return ends.groupBy("entity").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count("*").alias("total"))
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """``df`` with its place, from 1, in the order over all rows, which should leave no ties: rows are sorted in ranges, and each range adds the sizes of those before it."""
+    held = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    placed = commits.kept(held, "ranges")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each range
+    before = sizes.select("_part", "_first", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "_before")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, Window as W, functions as F
 
-from ..functions import text as X
+from ..functions import requests, text as X
 from ..functions.multi import found
 from ..operators.spans import innermost
 from ..storage import commits
@@ -204,6 +204,30 @@ def _(t):
     return t.memory.where((1.0 + F.col("confirmations")) / (2.0 + F.col("confirmations") + 3.0 * F.col("corrections")) >= 0.6).orderBy("rowid").limit(25).select("id", "confirmations")
 
 
+_SCOPES = ["text", "strings", "code", "coupling", "docs", "memory", "symbols", "duplicates", "source", "literals", "semantic-code", "knowledge", "nowhere"]
+_REQUESTS = f"""(SELECT event_id, CASE WHEN event_id % 14 < 13 THEN [{', '.join(f"'{s}'" for s in _SCOPES)}][event_id % 14 + 1] END AS scope, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN ' ' END AS query,
+    CASE event_id % 5 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [event_type] WHEN 2 THEN [event_type, ' '] END AS patterns, CASE WHEN event_id % 7 = 0 THEN 'src' END AS path, CASE WHEN event_id % 11 < 2 THEN 'f.rs' END AS file,
+    event_id % 13 = 0 AS regex, event_id % 4 = 0 AS ignore_case, CASE event_id % 17 WHEN 0 THEN 'v2' WHEN 1 THEN 'v1' END AS contract FROM events)"""
+_PURPOSE = "CASE " + " ".join(f"WHEN scope = '{s}' THEN '{p}'" for s, p in requests.PURPOSES.items()) + f" WHEN scope IS NULL THEN '{requests.DEFAULT}' END"
+
+
+@query("FIL21", f"""WITH r AS (SELECT *, {_PURPOSE} AS p, coalesce(len(patterns), 0) AS n, coalesce(query, '') AS q FROM {_REQUESTS} AS x),
+    e AS (SELECT event_id, p, CASE WHEN p IS NULL THEN 'unknown scope' WHEN patterns IS NOT NULL AND n = 0 THEN 'patterns are empty' WHEN n > 0 AND (p NOT IN ('source', 'literals') OR q <> '') THEN 'patterns are for source and literals, without a query'
+      WHEN n > 64 OR len(list_filter(patterns, lambda x: trim(x) = '')) > 0 THEN '1 to 64 patterns, none blank' WHEN p IN ('source', 'literals', 'semantic_code', 'knowledge') AND n = 0 AND trim(q) = '' THEN 'a query or patterns are needed'
+      WHEN regex AND p <> 'source' THEN 'regex is for source' WHEN path IS NOT NULL AND p NOT IN ('source', 'literals', 'symbols', 'duplicates') THEN 'no path for this scope' WHEN path IS NOT NULL AND file IS NOT NULL THEN 'path or file, not both'
+      WHEN file IS NOT NULL AND p = 'source' THEN 'source takes a path' WHEN ignore_case AND p IN ('semantic_code', 'knowledge') THEN 'no ignore_case for this scope' WHEN contract IS NOT NULL AND (contract <> 'v2' OR p NOT IN ('symbols', 'docs', 'memory')) THEN 'no such contract for this scope' END AS error FROM r)
+    SELECT event_id, CASE WHEN error IS NULL THEN p END AS purpose, error FROM e""")
+def _(t):
+    i = F.col("event_id")
+    text, none = F.col("event_type"), F.lit(None).cast("string")
+    asked = t.events.select(
+        "event_id", F.when(i % 14 < 13, F.get(F.array(*map(F.lit, _SCOPES)), (i % 14).cast("int"))).alias("scope"), F.when(i % 3 == 0, text).when(i % 3 == 1, " ").alias("query"),
+        F.when(i % 5 == 0, F.array().cast("array<string>")).when(i % 5 == 1, F.array(text)).when(i % 5 == 2, F.array(text, F.lit(" "))).alias("patterns"), F.when(i % 7 == 0, "src").otherwise(none).alias("path"), F.when(i % 11 < 2, "f.rs").otherwise(none).alias("file"),
+        (i % 13 == 0).alias("regex"), (i % 4 == 0).alias("ignore_case"), F.when(i % 17 == 0, "v2").when(i % 17 == 1, "v1").alias("contract"),
+    )
+    return requests.validated(asked).select("event_id", "purpose", "error")
+
+
 @query("FIL22", f"""SELECT id, entry_type FROM memory WHERE expires_at <= {NOW} OR (entry_type = 'handoff' AND updated_at < {NOW} - 10 * 86400 AND id IS DISTINCT FROM (SELECT id FROM memory WHERE entry_type = 'handoff' ORDER BY updated_at DESC, id DESC LIMIT 1))""")
 def _(t):
     newest = t.memory.where("entry_type = 'handoff'").agg(F.max_by("id", F.struct("updated_at", "id")).alias("newest"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..operators import code as K, duplication as D, graph as G, relational as R
+from ..storage import commits
+from ..storage.snapshots import Snapshots
 from .catalog import query
 from .relational import _CONNECTED, _RESOLVED, connected_pairs
 
@@ -220,10 +222,10 @@ _NEAR = 6
 
 
 def _text_fingerprints(t):
-    """``(doc_id, fp)`` of every document's text."""
+    """``(doc_id, fp)`` of every document's text, stored: the long expression behind a fingerprint is planned once."""
     from ..functions.text import content_tokens
 
-    return D.fingerprinted(t.documents, "text", content_tokens).select("doc_id", "fp")
+    return commits.kept(D.fingerprinted(t.documents, "text", content_tokens).select("doc_id", "fp"), "fingerprints")
 
 
 def _near_pairs(fps):
@@ -249,7 +251,7 @@ def _(t):
 
 @query("COD16")
 def _(t):
-    fps = D._cut(_text_fingerprints(t))
+    fps = _text_fingerprints(t)
     pairs = _near_pairs(fps)
     comps = D.components(pairs.select("a", "b"))
     worst = pairs.join(comps.toDF("a", "root"), "a").groupBy("root").agg(F.max("distance").alias("hamming"))
@@ -264,7 +266,12 @@ def _(t):
     return R.cochange(t.commits).where("n >= 5").join(connected_pairs(t), ["file_a", "file_b"], "left_anti").orderBy(F.desc("n"), "file_a", "file_b")
 
 
-@query("COD18", "SELECT s.id, min(o.id) AS reuse FROM symbols s JOIN symbols o ON o.signature = s.signature AND o.id < 500 WHERE s.id >= 500 GROUP BY s.id")
+@query("COD18", "WITH a AS (SELECT id, signature FROM symbols WHERE file_id % 2 = 0), b AS (SELECT id, signature FROM symbols) SELECT b.id, min(a.id) AS reuse FROM b LEFT JOIN a ON a.signature = b.signature GROUP BY b.id")
 def _(t):
-    old = t.symbols.where("id < 500").groupBy("signature").agg(F.min("id").alias("reuse"))
-    return t.symbols.where("id >= 500").join(old, "signature").select("id", "reuse")
+    """Vectors by text: a first pass over half of the files stores one for each signature, the pass over all files reuses them where the text is the same."""
+    store = Snapshots(t.spark, commits.fresh_dir(t.spark, "vectors"), "signature string, id long, pass long", ["signature"], "pass", 8)
+    first = lambda df, n: df.groupBy("signature").agg(F.min("id").alias("id")).withColumn("pass", F.lit(n))
+    store.merge(first(t.symbols.where("file_id % 2 = 0"), 1), batch=1)
+    known = commits.kept(store.read().select("signature", F.col("id").alias("reuse")), "known")
+    store.merge(first(t.symbols.join(known, "signature", "left_anti"), 2), batch=2)  # only new texts are embedded
+    return t.symbols.select("id", "signature").join(known, "signature", "left").select("id", "reuse")

@@ -6,10 +6,13 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
 from ..operators import relational as R
+from ..storage import commits
 from .filters import _CURRENT, current, visible
 from .catalog import query
 from .tables import DAY, NOW
 
+_TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: octet_length(encode(w)) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "], w))"
+_SHINGLES = "list_transform(range(1, len({0}) - 1), lambda i: {0}[i] || ' ' || {0}[i + 1] || ' ' || {0}[i + 2])"
 _HITS = "SELECT doc_id, length(text) - length(replace(text, 'en', '')) AS score FROM documents WHERE contains(text, 'en')"
 
 
@@ -202,19 +205,23 @@ def _(t):
     return t.symbols.where("kind IN ('function', 'method') AND line_end - line_start + 1 >= 10").join(lang, "file_id", "left").select("id", "language")
 
 
-def _fps(t):
-    h = F.conv(F.substring(F.md5(F.concat("lang", (F.col("doc_id") % 97).cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
-    return t.documents.select(F.col("doc_id").alias("id"), h.bitwiseXOR(F.expr("shiftleft(1L, cast(doc_id % 60 as int))")).alias("fp"))
+_FP = f"""(WITH w AS (SELECT doc_id, {_TOK.format('text')} AS w FROM documents), g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM w),
+    h AS (SELECT doc_id, ('0x' || substr(md5(s), 1, 15))::BIGINT AS h FROM g), b AS (SELECT doc_id, {' + '.join(f'CASE WHEN 2 * sum((h >> {k}) & 1) > count(*) THEN {1 << k}::BIGINT ELSE 0 END' for k in range(60))} AS fp FROM h GROUP BY doc_id)
+    SELECT d.doc_id AS id, coalesce(fp, 0) AS fp FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id)"""
+
 
+def text_fingerprints(t):
+    """``(id, fp)``: fingerprints of all texts that SQL can make too."""
+    from ..operators.duplication import fingerprinted, md5_60
 
-_FP = "SELECT doc_id AS id, xor(('0x' || substr(md5(concat(lang, CAST(doc_id % 97 AS STRING))), 1, 15))::BIGINT, 1::BIGINT << (doc_id % 60)::INT) AS fp FROM documents"
+    return fingerprinted(t.documents, "text", X.content_tokens, md5_60).select(F.col("doc_id").alias("id"), "fp")
 
 
-@query("JOI24", f"SELECT a.id AS a, b.id AS b, bit_count(xor(a.fp, b.fp))::INT AS distance FROM ({_FP}) AS a JOIN ({_FP}) AS b ON a.id < b.id AND bit_count(xor(a.fp, b.fp)) <= 6")
+@query("JOI24", f"WITH f AS MATERIALIZED (SELECT * FROM {_FP} AS x) SELECT a.id AS a, b.id AS b, bit_count(xor(a.fp, b.fp))::INT AS distance FROM f a JOIN f b ON a.id < b.id AND bit_count(xor(a.fp, b.fp)) <= 6")
 def _(t):
     from ..operators.duplication import hamming_join
 
-    return hamming_join(_fps(t), 6)
+    return hamming_join(commits.kept(text_fingerprints(t), "fingerprints"), 6)
 
 
 _COS = 0.45
@@ -573,8 +580,6 @@ def _(t):
     return t.documents.select("doc_id", X.shingles(w, 3).alias("s")).where(F.size("s") > 0).select("doc_id", F.size("s").cast("long").alias("n"), F.get("s", F.lit(0)).alias("first"))
 
 
-_TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: octet_length(encode(w)) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "], w))"
-_SHINGLES = "list_transform(range(1, len({0}) - 1), lambda i: {0}[i] || ' ' || {0}[i + 1] || ' ' || {0}[i + 2])"
 
 
 @query("WIN10", f"WITH q AS (SELECT item_id, {_TOK.format('text')} AS q FROM benchmark), e AS (SELECT doc_id, {_TOK.format('text')} AS e FROM documents) SELECT item_id, doc_id FROM q, e WHERE list_has_any({_SHINGLES.format('q')}, {_SHINGLES.format('e')})")
@@ -615,7 +620,7 @@ _REACH = "CASE visibility WHEN 'public' THEN 5 WHEN 'package' THEN 4 WHEN 'crate
 def _(t):
     from ..operators.duplication import cluster_report, ranking
 
-    return cluster_report(_dups(t), 6).select("cluster", F.row_number().over(W.orderBy(*ranking(), "cluster")).cast("long").alias("place"))
+    return R.numbered(cluster_report(_dups(t), 6), *ranking(), F.col("cluster"), name="place").select("cluster", "place")
 
 
 @query("TOP05", f"SELECT file_a, file_b, n FROM ({_COCHANGE}) AS c WHERE n >= 3 ORDER BY n DESC, file_a, file_b LIMIT 50")

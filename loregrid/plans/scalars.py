@@ -8,7 +8,7 @@ from ..functions import porter, text as X
 from ..operators import memory as M, vectors as V
 from .filters import glob_regex
 from .catalog import query
-from .relational import _SHINGLES, _SIG, _TOK
+from .relational import _FP, _SHINGLES, _SIG, _TOK, text_fingerprints
 from .tables import DAY, NOW
 
 
@@ -63,18 +63,16 @@ def _(t):
     return t.docs.where(F.size(p) >= 3).select("id", F.element_at(p, -3).alias("project"), F.element_at(p, -2).alias("dir"))
 
 
-@query("STR08", f"WITH q AS (SELECT item_id, {_TOK.format('text')} AS q FROM benchmark), e AS (SELECT doc_id, {_TOK.format('text')} AS e FROM documents) SELECT item_id, doc_id, list_has_any({_SHINGLES.format('q')}, {_SHINGLES.format('e')}) OR len(list_filter(list_distinct(list_intersect(q, e)), lambda w: octet_length(encode(w)) >= 7)) >= 2 AS strong FROM q, e")
+@query("STR08", f"WITH q AS (SELECT item_id, {_TOK.format('text')} AS q FROM benchmark), e AS (SELECT doc_id, {_TOK.format('text')} AS e FROM documents) SELECT item_id, doc_id FROM q, e WHERE list_has_any({_SHINGLES.format('q')}, {_SHINGLES.format('e')}) OR len(list_filter(list_distinct(list_intersect(q, e)), lambda w: octet_length(encode(w)) >= 7)) >= 2")
 def _(t):
-    # benchmark items hold no identifiers; evidence is met by equi-joins, then told for each pair of a stated query and a document
+    # benchmark items hold no identifiers; evidence is met by equi-joins
     words = lambda df, key: df.select(key, X.content_tokens(F.col("text")).alias("w"))
     runs = lambda df, key: words(df, key).select(key, F.explode(F.array_distinct(X.shingles(F.col("w"), 3))).alias("s"))
     long = lambda df, key: words(df, key).select(key, F.explode(F.array_distinct("w")).alias("s")).where(F.octet_length("s") >= X.RARE_TERM_LEN)
     b, d = t.benchmark, t.documents
     phrase = runs(b, "item_id").join(runs(d, "doc_id"), "s").select("item_id", "doc_id").distinct()
     rare = long(b, "item_id").join(long(d, "doc_id"), "s").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= X.RARE_TERMS).select("item_id", "doc_id")
-    strong = phrase.union(rare).distinct().withColumn("strong", F.lit(True))
-    pairs = d.select("doc_id").crossJoin(F.broadcast(b.select("item_id")))
-    return pairs.join(strong, ["item_id", "doc_id"], "left").select("item_id", "doc_id", F.coalesce("strong", F.lit(False)).alias("strong"))
+    return phrase.union(rare).distinct()
 
 
 _MD = "concat('see [[', title, '|shown]] and `[[code]]` or [[Note 7#part]]', chr(10), '```', chr(10), '[[fenced]]', chr(10), '```', chr(10), substr(body, 1, 20))"
@@ -324,11 +322,9 @@ def _(t):
     return t.documents.select("doc_id", F.bit_count((F.col("doc_id") * 7919).bitwiseXOR(F.col("doc_id") * 104729)).alias("distance"))
 
 
-@query("MTH09")
+@query("MTH09", f"SELECT id AS doc_id, fp AS fingerprint FROM {_FP} AS f")
 def _(t):
-    from ..operators.duplication import fingerprinted
-
-    return fingerprinted(t.documents, "text", X.content_tokens).select("doc_id", F.col("fp").alias("fingerprint"))
+    return text_fingerprints(t).select(F.col("id").alias("doc_id"), F.col("fp").alias("fingerprint"))
 
 
 @query("MTH10", """WITH h AS (SELECT DISTINCT query_hash, sha256(concat('exp', query_hash)) AS h FROM query_events) SELECT query_hash, CASE WHEN ('0x' || substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::UBIGINT::DOUBLE / 18446744073709551615.0 < 0.4 THEN 'A' ELSE 'B' END AS variant FROM h""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import retrieval as S, vectors as V
 from ..storage import commits
-from .filters import _CURRENT, current, visible
+from .filters import _CURRENT, _VISIBLE, current, visible
 from .catalog import query
 from .relational import _SHINGLES, _TOK
 from .scalars import _CONF, _RECENCY
@@ -95,11 +95,26 @@ def _(t):
     return S.hybrid_documents(_docs(t), q, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("RET06")
+_LIVE = f"status = 'active' AND {_VISIBLE}"
+_RECALL = f"""SELECT query, term, 0 AS asked FROM (SELECT item_id AS query, w[i] AS term, min(i) AS i FROM (SELECT item_id, {_TOK.format('text')} AS w FROM benchmark) AS b, unnest(range(1, len(w) + 1)) AS u(i) GROUP BY item_id, w[i]) AS d
+    QUALIFY row_number() OVER (PARTITION BY query ORDER BY octet_length(encode(term)) DESC, i) <= 32"""
+_IDS = r"list_transform(list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g')), lambda w: octet_length(encode(w)) >= 3 AND (regexp_matches(w, '[_.\p{N}]|::') OR (regexp_matches(w, '\p{Ll}') AND regexp_matches(w, '^.+\p{Lu}')))), lambda w: lower(w))"
+
+
+@query("RET06", f"""WITH {_bm25('memory', {'title': 1.0, 'content': 1.0}, _RECALL, _LIVE)}, {_hashed(f"SELECT id, concat_ws(' ', title, content) AS text FROM memory WHERE {_LIVE}", 'dv')}, {_hashed("SELECT item_id AS id, text FROM benchmark", 'qv')}, {_COS},
+    l AS (SELECT query, id, lex FROM lex QUALIFY row_number() OVER (PARTITION BY query ORDER BY lex DESC, id) <= 10), v AS (SELECT query, id, cosine FROM cosines QUALIFY row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) <= 10),
+    qt AS (SELECT item_id AS query, {_TOK.format('text')} AS q, {_IDS} AS ids FROM benchmark), et AS (SELECT id, {_TOK.format('whole')} AS e, lower(whole) AS low, round({_RECENCY}, 9) AS recency, round({_CONF}, 9) AS confidence FROM (SELECT *, concat_ws(' ', title, content) AS whole FROM memory WHERE {_LIVE}) AS m),
+    k AS (SELECT p.query, p.id, coalesce(c.cosine, 0) AS cosine, recency, confidence FROM (SELECT query, id FROM l UNION SELECT query, id FROM v) AS p JOIN qt ON qt.query = p.query JOIN et ON et.id = p.id LEFT JOIN cosines c ON c.query = p.query AND c.id = p.id
+      WHERE len(list_filter(ids, lambda x: contains(low, x))) > 0 OR list_has_any({_SHINGLES.format('q')}, {_SHINGLES.format('e')}) OR len(list_filter(list_distinct(list_intersect(q, e)), lambda w: octet_length(encode(w)) >= 7)) >= 2 OR sqrt(2 * (1 - least(coalesce(c.cosine, 0), 1))) <= sqrt(1.2::DOUBLE) + 1e-9),
+    fused AS (SELECT query, id, sum(s) AS s FROM (SELECT l.query, l.id, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY l.query ORDER BY lex DESC, l.id)) AS s FROM l JOIN k ON k.query = l.query AND k.id = l.id
+      UNION ALL SELECT v.query, v.id, 0.7::DOUBLE / (60 + row_number() OVER (PARTITION BY v.query ORDER BY v.cosine DESC, v.id)) FROM v JOIN k ON k.query = v.query AND k.id = v.id
+      UNION ALL SELECT query, id, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query ORDER BY recency DESC, id)) FROM k WHERE recency > 0) AS u GROUP BY query, id),
+    z AS (SELECT fused.query, fused.id, round(0.7 * (s / max(s) OVER (PARTITION BY fused.query)) + 0.3 * confidence, 6) AS score, cosine FROM fused JOIN k ON k.query = fused.query AND k.id = fused.id)
+    SELECT query, id, score, cosine, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM z QUALIFY rank <= 5""")
 def _(t):
     q = t.benchmark.select(F.col("item_id").alias("query"), "text")
     live = t.memory.where((F.col("status") == "active") & visible())
-    return S.recall(_corpus(t, "live-memory", live, ["title", "content"]), live, q, 5, NOW, 0.40)
+    return S.recall(_corpus(t, "live-memory", live, ["title", "content"]), live, q, 5, NOW, 0.40).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("RET07", "SELECT prompt_id, rank, rank = 0 OR coalesce(sqrt(2 * (1 - cosine)) <= sqrt(1.2::DOUBLE), false) AS admitted FROM recall_candidates")
