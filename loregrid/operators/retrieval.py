@@ -43,12 +43,18 @@ class Corpus:
         self.spark, self.root, self.embedded = spark, root, list(embedded)
         self.index = LexicalIndex(spark, f"{root}/lexical", fields)
 
-    def add(self, rows: DataFrame, batch: str) -> Corpus:
+    def add(self, rows: DataFrame, batch: str, embed: bool = True) -> Corpus:
+        """``embed``: whether vectors are wanted too; they can follow later."""
         self.index.add(rows, batch)
+        if not embed:
+            return self
         version, content = commits.latest(self.spark, f"{self.root}/vectors")
         if batch not in content:
             folder = uuid.uuid4().hex
-            dense(hashed(rows.select("id", F.concat_ws(" ", *self.embedded).alias("text")), "text")).write.parquet(f"{self.root}/vectors/{folder}")
+            # texts are dealt by id once, and all sums over their words stay where they are
+            tasks = max(self.spark.sparkContext.defaultParallelism, rows.count() // 50_000)
+            texts = rows.select("id", F.concat_ws(" ", *self.embedded).alias("text")).repartition(tasks, "id")
+            dense(hashed(texts, "text")).write.parquet(f"{self.root}/vectors/{folder}")
             commits.publish(self.spark, f"{self.root}/vectors", version + 1, content | {batch: folder})
         return self
 

@@ -39,15 +39,15 @@ _COS = """cosines AS (SELECT qv.id AS query, dv.id AS id, round(sum(dv.v * qv.v)
     JOIN (SELECT id, sqrt(sum(v * v)) AS nd FROM dv GROUP BY id) AS a ON a.id = dv.id JOIN (SELECT id, sqrt(sum(v * v)) AS nq FROM qv GROUP BY id) AS b ON b.id = qv.id GROUP BY qv.id, dv.id)"""
 
 
-def _corpus(t, name: str, rows, fields: list[str]):
+def _corpus(t, name: str, rows, fields: list[str], embed: bool = True):
     """The corpus of a table, under a name that changes with the driver's files: written by the first query that needs it."""
     paths = [f"{t.sf_dir}/{x}.parquet" for x in ("documents", "labels")]
     root = f"{commits.shared_dir(t.spark)}/corpora/{name}-{commits.fingerprint(t.spark, *paths)}"
-    return S.Corpus(t.spark, root, fields, [f for f in fields if f in ("title", "body", "content")]).add(rows, "all")
+    return S.Corpus(t.spark, root, fields, [f for f in fields if f in ("title", "body", "content")]).add(rows, "all", embed)
 
 
-def _docs(t):
-    return _corpus(t, "docs", t.docs.where(current()), ["title", "body"])
+def _docs(t, embed: bool = False):
+    return _corpus(t, "docs", t.docs.where(current()), ["title", "body"], embed)
 
 
 @query("RET01", f"WITH {_bm25('docs', {'title': 10.0, 'body': 1.0}, _terms('true'), _CURRENT)} SELECT query, id, lex AS score FROM lex QUALIFY row_number() OVER (PARTITION BY query ORDER BY lex DESC, id) <= 10")
@@ -69,7 +69,7 @@ def _(t):
 def _(t):
     q = t.benchmark.select(F.col("item_id").alias("query"), F.array_distinct(X.content_tokens(F.col("text"))).alias("terms"))
     fields = ["key", "title", "content", "tags"]  # an entry's id is a field and names the row
-    corpus = _corpus(t, "memory", t.memory.select("id", F.col("id").alias("key"), "title", "content", "tags"), fields)
+    corpus = _corpus(t, "memory", t.memory.select("id", F.col("id").alias("key"), "title", "content", "tags"), fields, False)
     return corpus.index.search(q, 10, dict.fromkeys(fields, 1.0)).drop("rank")
 
 
@@ -92,7 +92,7 @@ def _(t):
     SELECT z.query, z.id, score, cosine, row_number() OVER (PARTITION BY z.query ORDER BY score DESC, z.id) AS rank FROM z LEFT JOIN v ON v.query = z.query AND v.id = z.id QUALIFY rank <= 10""")
 def _(t):
     q = t.benchmark.select(F.col("item_id").alias("query"), "text")
-    return S.hybrid_documents(_docs(t), q, 10).withColumn("rank", F.col("rank").cast("long"))
+    return S.hybrid_documents(_docs(t, True), q, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 _LIVE = f"status = 'active' AND {_VISIBLE}"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loregrid.operators import lexical
-from loregrid.storage import commits
+from loregrid.storage import commits, postings
 from loregrid.storage.postings import LexicalIndex
 from loregrid.storage.snapshots import Snapshots
 
@@ -97,8 +97,9 @@ def _texts(seed: int, n: int) -> list[tuple]:
     return [(i, " ".join(rng.choices(words[: rng.choice([20, 400])], k=rng.randrange(0, 4))), " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(400)], k=rng.choice([0, 5, 40, 300])))) for i in range(n)]
 
 
-@pytest.mark.parametrize("require_all", [False, True])
-def test_index_gives_the_best_of_all_postings(spark, tmp_path, require_all):
+@pytest.mark.parametrize(("require_all", "at_once"), [(False, 0), (True, 0), (False, 10**9), (True, 10**9)])
+def test_index_gives_the_best_of_all_postings(spark, tmp_path, monkeypatch, require_all, at_once):
+    monkeypatch.setattr(postings, "AT_ONCE", at_once)
     docs = spark.createDataFrame([*_texts(3, 900), (5_000, None, None), (5_001, "word1 word1", "")], "id long, title string, body string")
     index = LexicalIndex(spark, f"file://{tmp_path}/index{require_all}", ["title", "body"], buckets=8)
     assert index.add(docs.where("id < 600"), "first") == 1 and index.add(docs.where("id >= 600"), "second") == 2
