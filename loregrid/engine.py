@@ -16,6 +16,7 @@ class Engine:
     def __init__(self, spark: SparkSession, catalog: dict[str, DataFrame]) -> None:
         self.spark, self.catalog = spark, catalog
         self._corpora: dict[str, retrieval.Corpus] = {}
+        self._calls: tuple[DataFrame, DataFrame] | None = None
 
     def _queries(self, text: str) -> DataFrame:
         return self.spark.range(1).select(F.lit(0).alias("query"), F.lit(text).alias("text"))
@@ -53,11 +54,16 @@ class Engine:
     def history(self) -> DataFrame:
         return graph.current_versions(self.catalog["evolution"])
 
-    def callers(self) -> DataFrame:
-        return code.callers(code.resolved_edges(self.catalog["relationships"], self.catalog["symbols"], self.catalog["imports"]))
+    def callers(self, among: DataFrame | None = None) -> DataFrame:
+        r, s = self.catalog["relationships"], self.catalog["symbols"]
+        if self._calls is None:
+            forms = code.asked(r)
+            proof = commits.kept(code.imported_modules(forms, s, self.catalog["imports"]), "imported")
+            self._calls = commits.kept(code.placed_calls(code.nearest_tiers(r, s, forms, proof)), "placed"), proof
+        return code.callers(self._calls[0], s, self._calls[1], among)
 
     def impact(self, symbol: int, depth: int = 2) -> DataFrame:
-        return code.impact(self.callers(), symbol, depth)
+        return code.impact(self.callers, self.spark, symbol, depth)
 
     def usage(self) -> DataFrame:
         return telemetry.recall_report(self.catalog["recall_candidates"])
