@@ -104,3 +104,10 @@ def test_no_call_meets_candidates_before_its_tier_is_known(spark, graph):
     placed = code.placed_calls(code.nearest_tiers(r, s, forms, none))
     assert placed.count() == n and {x.nearest for x in placed.collect()} == {4}
     assert code.callers(placed, s, none).count() == n
+
+
+def test_nearest_edges_are_found_without_a_sort_of_all_pairs(spark):
+    from loregrid.plans import registry
+
+    plan = registry.QUERIES["WIN01"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
