@@ -130,8 +130,10 @@ def _(t):
 
     from ..operators.memory import access_recency
 
-    q = t.benchmark.where("item_id = 0").select("text")
-    m = t.memory.crossJoin(F.broadcast(q)).where(X.strong_lexical(F.col("text"), F.col("content")))
+    q = t.benchmark.where("item_id = 0").select(X.content_tokens(F.col("text")).alias("q"), X.identifiers(F.col("text")).alias("ids"))
+    # a text is split once: the words come out of a generator, or each of the expressions over them would split it again
+    e = t.memory.withColumn("e", F.explode(F.array(X.content_tokens(F.col("content")))))
+    m = e.crossJoin(F.broadcast(q)).where(X.strong_tokens(F.col("q"), F.col("e"), F.col("ids"), F.col("content")))
     ranked = m.select("id", F.round(access_recency(F.lit(NOW), 14 * 86_400), 9).alias("r")).orderBy(F.desc("r"), "id").limit(50)
     return ranked.select("id", F.round(1.0 / F.row_number().over(W.orderBy(F.desc("r"), "id")), 6).alias("score"))
 
