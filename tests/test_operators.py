@@ -152,3 +152,22 @@ def test_bm25_beyond_the_broadcast_bound(spark, monkeypatch):
     near = run()
     monkeypatch.setattr(lexical, "MOST_ROWS", 0)
     assert [r[:2] for r in near] == [(0, 1), (0, 2), (1, 2)] and run() == near
+
+
+def test_strong_evidence_is_told_for_every_pair(spark):
+    """Weak pairs are rows too: the result was cut to the strong ones."""
+    from loregrid.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    got = registry.QUERIES["STR08"](spark, d)
+    assert got.count() == spark.read.parquet(f"{d}/benchmark.parquet").count() * spark.read.parquet(f"{d}/documents.parquet").count()
+    assert got.select("strong").distinct().count() == 2
+
+
+def test_entries_are_split_once_for_lexical_recall(spark):
+    """The words of a text are one array that later expressions read; they were split again for each phrase."""
+    from loregrid.plans import registry
+
+    plan = registry.QUERIES["RET08"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    tree = [x for x in plan.split("\n") if "split(lower(coalesce(" in x]
+    assert tree and all("arrays_overlap" not in x for x in tree)
