@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -171,3 +172,11 @@ def test_entries_are_split_once_for_lexical_recall(spark):
     plan = registry.QUERIES["RET08"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     tree = [x for x in plan.split("\n") if "split(lower(coalesce(" in x]
     assert tree and all("arrays_overlap" not in x for x in tree)
+
+
+def test_triggers_are_matched_by_title_before_entries(spark):
+    """Nothing gathers pairs of entry and session to make them distinct."""
+    from loregrid.plans import registry
+
+    plan = registry.QUERIES["JOI19"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if re.search(r"Aggregate \[(id#\d+, session_id#|session_id#\d+, id#|id#\d+, session_id#\d+, cluster_id#)", x)]
