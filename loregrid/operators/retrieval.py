@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions.text import content_tokens, identifiers, recall_terms, strong_tokens
@@ -117,7 +116,7 @@ CHUNK = T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.Str
 
 
 def markdown_chunks(max_tokens: int = 400):
-    """Pandas UDF: a Markdown text as chunks under heading paths ``A > B``; chunks below a quarter of the limit join the one before."""
+    """UDF: a Markdown text as chunks under heading paths ``A > B``; chunks below a quarter of the limit join the one before."""
 
     def size(text: str) -> int:
         return len(text.split())
@@ -147,15 +146,11 @@ def markdown_chunks(max_tokens: int = 400):
                 chunks.append([heading, body])
         return [(i, h, b) for i, (h, b) in enumerate(chunks)]
 
-    @F.pandas_udf(CHUNK)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("index", "heading", "content"), c, strict=True)) for c in cut(t)])
-
-    return run
+    return F.udf(cut, CHUNK, useArrow=False)  # an Arrow batch would hold ten thousand texts and all their chunks at once
 
 
 def fixed_chunks(max_tokens: int = 200, overlap: int = 40):
-    """Pandas UDF: windows of whole lines of about ``max_tokens`` words; each begins with the last lines of the one before, ``overlap`` words at most."""
+    """UDF: windows of whole lines of about ``max_tokens`` words; each begins with the last lines of the one before, ``overlap`` words at most."""
 
     def cut(text: str) -> list[tuple[int, str, str]]:
         lines = (text or "").split("\n")
@@ -178,11 +173,7 @@ def fixed_chunks(max_tokens: int = 200, overlap: int = 40):
             at = back
         return out
 
-    @F.pandas_udf(CHUNK)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("index", "heading", "content"), c, strict=True)) for c in cut(t)])
-
-    return run
+    return F.udf(cut, CHUNK, useArrow=False)  # an Arrow batch would hold ten thousand texts and all their chunks at once
 
 
 def session_chunks(turns: DataFrame, size: int = 10, overlap: int = 2, least_user: int = 3) -> DataFrame:

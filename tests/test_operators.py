@@ -180,3 +180,13 @@ def test_triggers_are_matched_by_title_before_entries(spark):
 
     plan = registry.QUERIES["JOI19"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.split("\n") if re.search(r"Aggregate \[(id#\d+, session_id#|session_id#\d+, id#|id#\d+, session_id#\d+, cluster_id#)", x)]
+
+
+def test_chunkers_hold_few_texts_at_once(spark):
+    """A Python worker held an Arrow batch of ten thousand texts with all their chunks."""
+    from loregrid.operators import retrieval
+
+    for cut in (retrieval.fixed_chunks(3, 1), retrieval.markdown_chunks(3)):
+        df = spark.createDataFrame([(1, "a b\nc d\ne"), (2, None)], "id long, t string").select("id", F.explode(cut(F.col("t"))).alias("c"))
+        assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+        assert {r.id for r in df.collect()} == {1}
