@@ -24,6 +24,8 @@ from . import commits
 
 #: Documents of a block, blocks from which a query's first bound comes, and terms that are pushed down to the files as a list.
 BLOCK, SEED_BLOCKS, FEW_TERMS = 128, 4, 200
+#: Blocks of which one task writes a bucket's rows.
+SPAN = 512
 #: Postings of all queries' terms up to which they are scored at once: below it, bounds cost more than they save.
 AT_ONCE = 20_000_000
 #: Scores are compared to this many decimals, ties by id.
@@ -91,8 +93,10 @@ class LexicalIndex:
         rows = toks.repartition(tasks, "block").groupBy("block").applyInArrow(_block_rows(self.fields), self._shape(dict(docs.dtypes)["id"]))
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
         folder = uuid.uuid4().hex
-        # a bucket's blocks are dealt to several tasks where there are many
-        rows.repartition(tasks, "bucket", F.floor(F.col("block") / 65_536)).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/segments/{folder}")
+        # a bucket is a task for each span of blocks, so a task's share is the same however many documents there are
+        spans = ceil(n_blocks / SPAN)
+        dealt = rows.repartitionById(self.buckets * spans, (F.col("bucket") * spans + F.floor(F.col("block") / SPAN)).cast("int"))
+        dealt.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/segments/{folder}")
         # lengths and ids come from the documents, for one without words has no posting
         total = toks.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.size(f)), F.lit(0)).alias(f) for f in self.fields]).first()
         segment = {"folder": folder, "batch": batch, "n": total.n, "lengths": {f: total[f] for f in self.fields}}

@@ -48,6 +48,15 @@ def test_two_batches_and_a_replay(spark, store, tmp_path):
     assert store.vacuum() > 0 and rows(store.read()) == held
 
 
+def test_a_bucket_is_written_by_a_task_for_each_span_of_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    monkeypatch.setattr(postings, "SPAN", 2, raising=False)
+    docs = spark.createDataFrame([(k, f"common word{k % 3}") for k in range(64)], "id long, body string")
+    LexicalIndex(spark, f"file://{tmp_path}/spans", ["body"], buckets=2).add(docs, "one")
+    files = spark.read.parquet(f"file://{tmp_path}/spans/segments").where("term = 'common'").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n").alias("n"), F.count_distinct(F.floor(F.col("block") / 2)).alias("spans")).collect()
+    assert sum(f.n for f in files) == 64 and len(files) == 8 and {f.spans for f in files} == {1}
+
+
 def test_failed_batch_is_invisible_and_can_come_again(spark, store, monkeypatch):
     store.merge(spark.createDataFrame([("a", 1, "x")], SCHEMA), batch=1)
     change = spark.createDataFrame([("a", 2, "y"), ("b", 1, "z")], SCHEMA)
