@@ -190,3 +190,28 @@ def test_chunkers_hold_few_texts_at_once(spark):
         df = spark.createDataFrame([(1, "a b\nc d\ne"), (2, None)], "id long, t string").select("id", F.explode(cut(F.col("t"))).alias("c"))
         assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
         assert {r.id for r in df.collect()} == {1}
+
+
+def test_hamming_join_compares_few_and_expands_copies(spark):
+    from loregrid.operators.duplication import hamming_join
+
+    rnd = random.Random(5)
+    fps = {i: rnd.getrandbits(64) - (1 << 63) for i in range(2_000)} | {2_000 + i: 7 for i in range(30)} | {3_000: 7 ^ 0b111000111}
+    df = spark.createDataFrame(list(fps.items()), "id long, fp long")
+    pairs = hamming_join(df, 6)
+    copies = list(range(2_000, 2_030))
+    assert {(r.a, r.b): r.distance for r in pairs.collect()} == {**dict.fromkeys(itertools.combinations(copies, 2), 0), **{(i, 3_000): 6 for i in copies}}
+
+
+def test_hamming_join_meets_by_two_bands(spark):
+    import loregrid.operators.duplication as D
+
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(i, rnd.getrandbits(64) - (1 << 63)) for i in range(3_000)], "id long, fp long")
+    # with every distance passed what is left are the candidates
+    plain, D.F.bit_count = D.F.bit_count, lambda x: D.F.lit(0)
+    try:
+        met = D.hamming_join(df, 6).count()
+    finally:
+        D.F.bit_count = plain
+    assert met < 3_000**2 / 2 * 28 / 65_536 * 1.5  # by one of seven bands it would be thirty times as many
