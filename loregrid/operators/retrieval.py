@@ -19,9 +19,11 @@ DIMENSIONS = 64
 
 def hashed(texts: DataFrame, text: str) -> DataFrame:
     """``(id, bucket, v)``: a sparse unit vector for each ``texts(id, text)``: content words in signed hash buckets."""
-    words = texts.select("id", F.explode(content_tokens(F.col(text))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("tf"))
-    h = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 15), 16, 10).cast("long")
-    summed = words.select("id", (h % DIMENSIONS).alias("bucket"), (F.when(F.floor(h / F.lit(DIMENSIONS).cast("decimal(10,0)")) % 2 == 0, 1).otherwise(-1) * F.col("tf")).alias("v")).groupBy("id", "bucket").agg(F.sum("v").cast("double").alias("v"))
+    md5 = F.md5(F.col("w").cast("binary"))
+    h = F.conv(F.substring(md5, 14, 2), 16, 10).cast("int")  # the low byte of the leading 60 bits holds bucket and sign
+    words = texts.select("id", F.explode(content_tokens(F.col(text))).alias("w")).select("id", h.alias("h"))
+    # a word counts each time it stands there, so no table of a text's words is held: a text is DIMENSIONS sums at most
+    summed = words.groupBy("id", (F.col("h") % DIMENSIONS).cast("long").alias("bucket")).agg(F.sum(F.when(F.floor(F.col("h") / DIMENSIONS) % 2 == 0, 1).otherwise(-1)).cast("double").alias("v"))
     return summed.where("v <> 0")
 
 
