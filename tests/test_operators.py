@@ -215,3 +215,20 @@ def test_hamming_join_meets_by_two_bands(spark):
     finally:
         D.F.bit_count = plain
     assert met < 3_000**2 / 2 * 28 / 65_536 * 1.5  # by one of seven bands it would be thirty times as many
+
+
+def test_cochange_counts_rows_before_repeats_go(spark):
+    from loregrid.operators.relational import cochange
+
+    rows = [(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (3, "a"), (4, "a"), (4, "a"), (5, None), (5, "a"), (5, "b"), (None, "a"), (None, "b"), (6, "a"), (6, "b"), (6, "c"), (6, "d")]
+    got = {(r.file_a, r.file_b): r.n for r in cochange(spark.createDataFrame(rows, "commit_id long, path string"), most_files=3).collect()}
+    assert got == {("a", "b"): 3, ("a", "c"): 1, ("b", "c"): 1}
+
+
+def test_cochange_deals_rows_to_tasks_by_number(spark, monkeypatch):
+    from loregrid.operators import relational as R
+
+    monkeypatch.setattr(R, "TASK_ROWS", 50, raising=False)
+    rows = spark.range(2_000).selectExpr("id div 4 AS commit_id", "concat('f', id % 37) AS path")
+    plan = R.cochange(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(commit_id" in plan and ", 40)" in plan and "Join" not in plan
