@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..storage import commits
+
 RECORD = "type string, timestamp string, sessionId string, gitBranch string, message struct<content: string>"
 
 
@@ -29,10 +31,19 @@ def read_hook_log(spark: SparkSession, path: str, since: int) -> DataFrame:
 
 
 def parse_commit_log(lines: DataFrame, mark: str = "commit ") -> DataFrame:
-    """``(log, commit, path)`` from ``lines(log, n, value)`` of a name-only log; a line belongs to the last commit line above it."""
-    w = W.partitionBy("log").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    """``(log, commit, path)`` from ``lines(log, n, value)`` of a name-only log; a line belongs to the last commit line above it.
+
+    Lines are sorted in ranges over all logs, so a long log is many ranges; a range's first lines take the last commit of the ranges before it.
+    """
     own = F.when(F.col("value").startswith(mark), F.substring("value", F.lit(len(mark) + 1), F.lit(64)))
-    return lines.withColumn("commit", F.last(own, ignorenulls=True).over(w)).where(~F.col("value").startswith(mark) & (F.trim("value") != "") & F.col("commit").isNotNull()).select("log", "commit", F.col("value").alias("path"))
+    held = lines.select("log", "n", "value").repartitionByRange("log", "n").sortWithinPartitions("log", "n").withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    ranges = commits.kept(held.select("log", "value", "_part", "_at"), "ranges")
+    marks = ranges.groupBy("_part", "log").agg(F.max(F.when(own.isNotNull(), F.col("_at"))).alias("_mark"))  # a row for each log in each range
+    last = commits.kept(marks.join(ranges.where(own.isNotNull()).select(F.col("_at").alias("_mark"), own.alias("_last")), "_mark", "left").select("_part", "log", "_last"), "marks")
+    before = last.select("_part", "log", F.last("_last", ignorenulls=True).over(W.partitionBy("log").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    w = W.partitionBy("_part", "log").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    told = ranges.withColumn("commit", F.last(own, ignorenulls=True).over(w)).where(~F.col("value").startswith(mark) & (F.trim("value") != "")).join(before, ["_part", "log"])
+    return told.withColumn("commit", F.coalesce("commit", "_before")).where("commit IS NOT NULL").select("log", "commit", F.col("value").alias("path"))
 
 
 def owned(files: DataFrame, roots: DataFrame) -> DataFrame:
