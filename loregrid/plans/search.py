@@ -163,7 +163,8 @@ def _(t):
 @query("RET12", "SELECT a.rowid AS new, 'title' AS evidence, min(b.rowid) AS old FROM memory a JOIN memory b ON a.title = b.title AND b.rowid < a.rowid WHERE a.rowid >= 700 GROUP BY a.rowid UNION ALL SELECT a.vec_id, 'vector', min(b.vec_id) FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 0.32 GROUP BY a.vec_id")
 def _(t):
     a = t.memory.where("rowid >= 700").select(F.col("rowid").alias("new"), "title")
-    same = a.join(t.memory.select(F.col("rowid").alias("old"), "title"), "title").where("old < new").groupBy("new").agg(F.min("old").alias("old")).select("new", F.lit("title").alias("evidence"), "old")
+    first = t.memory.groupBy("title").agg(F.min("rowid").alias("old"))  # the least of a title is the least before any other, so no pairs are made
+    same = a.join(first, "title").where("old < new").groupBy("new").agg(F.min("old").alias("old")).select("new", F.lit("title").alias("evidence"), "old")
     pairs = V.cosine_pairs(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 1 - 0.32**2 / 2 - 1e-6)
     e = t.embeddings.select("vec_id", "embedding")
     near = pairs.join(e.toDF("a", "va"), "a").join(e.toDF("b", "vb"), "b").where(V.l2("va", "vb") < 0.32).groupBy(F.col("b").alias("new")).agg(F.min("a").alias("old"))
