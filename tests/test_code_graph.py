@@ -111,3 +111,24 @@ def test_nearest_edges_are_found_without_a_sort_of_all_pairs(spark):
 
     plan = registry.QUERIES["WIN01"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_receivers_of_names_need_no_unparser(monkeypatch):
+    import ast
+
+    from loregrid.sources import code
+
+    source = "import os\nos.path.join(g(x))\nself.n()\na.b.c.d(1)\n(a + b).m()\nf(1).g.h()\n'x'.join([])\nx[0].y.z()\n"
+    want = [ast.unparse(x.func.value) for x in ast.walk(ast.parse(source)) if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute)]
+    calls, plain = [], ast.unparse
+    monkeypatch.setattr(code.ast, "unparse", lambda n: calls.append(n) or plain(n))
+    got = [r[6] for r in code.parse_python(source) if r[0] == "call" and r[6]]
+    assert sorted(got) == sorted(want) and len(calls) == 4  # only what isn't a dotted name
+
+
+def test_sources_of_one_partition_are_parsed_by_many_tasks(spark):
+    from loregrid.sources.code import parse_sources
+
+    files = spark.range(64).selectExpr("concat('f', id, '.py') AS path", "concat('def f', id, '(): pass') AS source").coalesce(1)
+    got = parse_sources(files).selectExpr("name", "spark_partition_id() AS p").collect()
+    assert sorted(r.name for r in got) == sorted(f"f{k}" for k in range(64)) and len({r.p for r in got}) > 1
