@@ -271,7 +271,7 @@ def test_many_to_many_equals_the_plain_join(spark, monkeypatch):
     assert R.many_to_many(left, right, "k").count() > 500
 
 
-@pytest.mark.parametrize("name", ["JOI07"])
+@pytest.mark.parametrize("name", ["JOI07", "JOI20"])
 def test_pairs_of_many_to_many_joins_are_written_in_little_space(spark, tmp_path, name):
     """Rows in the order of a table take several bytes each, and a hot key or a file was one task."""
     from loregrid.plans import registry
