@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +16,8 @@ from .streams import collapsed_changes
 
 # Paths that are kept one by one, and seconds between full passes.
 MOST_PENDING, RECOVERY_SECONDS = 1024, 30
+#: Waiting rows in one element of state.
+PACK = 4_096
 
 
 class BoundedUpdates:
@@ -85,9 +89,9 @@ class FlushTimers(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, kind string, path string")
+        self.waiting = handle.getListState("waiting", "rows string")
         self.pending = handle.getListState("pending", "kind string, path string")
-        self.times = handle.getValueState("times", "last long, full boolean, done long, failed long")
+        self.times = handle.getValueState("times", "last long, full boolean, done long, failed long, first long, timer long, held boolean")
 
     def _deadline(self, last: int, full: bool, done: int, failed: int, changed: dict, broken: dict) -> tuple[int, str] | None:
         due = []
@@ -99,21 +103,27 @@ class FlushTimers(StatefulProcessor):
             due.append((failed + self.retry, "failed"))
         return min(due, default=None)
 
-    def _advance(self, key: str, until: int) -> Iterator[pd.DataFrame]:
-        """Takes the waiting rows and the deadlines up to ``until`` (microseconds) in order of time."""
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[0], r[2], r[1])) if self.waiting.exists() else []
-        last, full, done, failed = self.times.get() if self.times.exists() else (0, False, -(1 << 60), 0)
+    def _advance(self, key: str, until: int, came: list[tuple], expired: bool) -> Iterator[pd.DataFrame]:
+        """Adds ``came`` to the waiting rows and takes those and the deadlines up to ``until`` (microseconds) in order of time.
+
+        Each use of state is a round trip for a key, and each element of a list is coded by itself: rows wait in texts of
+        ``PACK``, nothing is read that isn't due, and nothing is written that is as it was.
+        """
+        last, full, done, failed, first, timer, held = self.times.get() or (0, False, -(1 << 60), 0, None, None, False)
+        timer = None if expired else timer  # an expired one is gone by itself
+        first = min([r[0] for r in came] + ([] if first is None else [first]), default=None)
         kept: dict[str, dict] = {"changed": {}, "failed": {}}
-        if self.pending.exists():
+        if held:
             for kind, path in self.pending.get():
                 kept[kind][path] = None
         changed, broken, out = kept["changed"], kept["failed"], []
+        was = [*changed], [*broken]
 
         def flush(limit: int) -> None:
             nonlocal full, done
             while (due := self._deadline(last, full, done, failed, changed, broken)) and due[0] <= limit:
                 at, what = due
-                paths = sorted({**changed, **broken}) if what == "full" else sorted(changed if what == "changed" else broken)
+                paths = sorted({**changed, **broken} if what == "full" else changed if what == "changed" else broken, key=lambda p: p or "")
                 out.append((key, at, what, len(paths), [] if what == "full" else paths))
                 if what == "full":
                     full, done = False, at
@@ -122,45 +132,58 @@ class FlushTimers(StatefulProcessor):
                 else:
                     (changed if what == "changed" else broken).clear()
 
-        ready = [r for r in rows if r[0] <= until]
-        for at, kind, path in ready:
-            flush(at)
-            if kind == "failed":
-                broken[path], failed = None, at
-                continue
-            last = at
-            if kind == "reconcile":
-                full = True
-            elif not full:
-                changed[path] = None
-                if len(changed) > self.most:
+        if first is not None and first <= until:
+            rows = sorted([*(tuple(r) for (text,) in self.waiting.get() for r in json.loads(text)), *came], key=lambda r: (r[0], r[2] or "", r[1] or ""))
+            ready = bisect_right(rows, until, key=lambda r: r[0])
+            for at, kind, path in rows[:ready]:
+                flush(at)
+                if kind == "failed":
+                    broken[path], failed = None, at
+                    continue
+                last = at
+                if kind == "reconcile":
                     full = True
-                    changed.clear()
+                elif not full:
+                    changed[path] = None
+                    if len(changed) > self.most:
+                        full = True
+                        changed.clear()
+            rest = rows[ready:]
+            self.waiting.put(self._packed(rest)) if rest else self.waiting.clear()
+            first = rest[0][0] if rest else None
+        elif came:
+            self.waiting.appendList(self._packed(came))
         flush(until)
-        rest = rows[len(ready) :]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        held = [(k, p) for k, ps in kept.items() for p in ps]
-        self.pending.put(held) if held else self.pending.clear()
-        self.times.update((last, full, done, failed))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
+        if was != ([*changed], [*broken]):
+            held = bool(changed or broken)
+            self.pending.put([(k, p) for k, ps in kept.items() for p in ps]) if held else self.pending.clear()
         due = self._deadline(last, full, done, failed, changed, broken)
-        after = min([*(r[0] for r in rest), *([due[0]] if due else [])], default=None)
-        if after is not None:
-            self.handle.registerTimer(-(-after // 1000))
+        after = min([*([] if first is None else [first]), *([due[0]] if due else [])], default=None)
+        next_ = None if after is None else -(-after // 1000)
+        if next_ != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if next_ is not None:
+                self.handle.registerTimer(next_)
+        self.times.update((last, full, done, failed, first, next_, held))
         if out:
             df = pd.DataFrame(out, columns=["key", "at", "what", "n", "paths"])
             df["at"] = pd.to_datetime(df["at"], unit="us")
             yield df
 
+    @staticmethod
+    def _packed(rows: list[tuple]) -> list[tuple[str]]:
+        return [(json.dumps(rows[k : k + PACK]),) for k in range(0, len(rows), PACK)]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        came: list[tuple] = []
         for pdf in rows:
             at = pdf["at"].astype("datetime64[us]").astype("int64")
-            self.waiting.appendList(list(zip(at.tolist(), pdf["kind"].tolist(), pdf["path"].tolist())))
-        yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
+            came += zip(at.tolist(), pdf["kind"].tolist(), pdf["path"].tolist())
+        yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs() * 1000, came, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs() * 1000, [], True)
 
     def close(self) -> None:
         pass

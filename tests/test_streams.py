@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,59 @@ def test_flush_timers_with_late_and_idle_keys(spark, tmp_path):
     assert got == want and {w for *_, w, _ in want} == {"changed", "failed", "full"} and ("idle", 13, "changed", 1) in got
 
 
+def test_flush_timers_use_state_only_for_what_is_due():
+    """Every use of state is a round trip for each key: rows that wait were read and written again in each batch, timers listed."""
+    from types import SimpleNamespace
+
+    used = []
+
+    class Held:
+        def __init__(self, name, value):
+            self.name, self.value = name, value
+
+        def get(self):
+            used.append(f"{self.name} get")
+            return self.value if self.name == "times" else iter(self.value)
+
+        def update(self, value):
+            used.append(f"{self.name} update")
+            self.value = value
+
+        put = update
+
+        def appendList(self, rows):
+            used.append(f"{self.name} append")
+            self.value = [*self.value, *rows]
+
+        def clear(self):
+            used.append(f"{self.name} clear")
+            self.value = []
+
+        def exists(self):
+            used.append(f"{self.name} exists")
+            return bool(self.value)
+
+    timers, at = watch.FlushTimers(idle=10, retry=25), lambda s: pd.Timestamp(s, unit="s")
+    set_ = []
+    timers.init(SimpleNamespace(getListState=lambda name, _: Held(name, []), getValueState=lambda name, _: Held(name, None), listTimers=lambda: used.append("list") or iter(set_), registerTimer=set_.append, deleteTimer=set_.remove))
+    mark = lambda s: SimpleNamespace(getCurrentWatermarkInMs=lambda: s * 1_000)
+    batch = lambda *s: iter([pd.DataFrame({"at": [at(k) for k in s], "kind": "changed", "path": [None, *"abcdefgh"][: len(s)]})])
+    assert not [*timers.handleInputRows(("k",), batch(100, 103, 140), mark(0))]
+    assert used == ["times get", "waiting append", "times update"] and set_ == [100_000]
+    used.clear()
+    assert not [*timers.handleInputRows(("k",), batch(90), mark(50))] and set_ == [90_000]  # an earlier row, an earlier timer
+    assert used == ["times get", "waiting append", "times update"]
+    out = [*timers.handleExpiredTimer(("k",), mark(130), None)]
+    set_.remove(90_000)  # as the engine does after the call
+    assert [(r.at, r.what, r.n) for df in out for r in df.itertuples()] == [(at(100), "changed", 1), (at(113), "changed", 2)] and set_ == [140_000]
+    out = [*timers.handleExpiredTimer(("k",), mark(145), None)]
+    set_.remove(140_000)
+    assert not out and set_ == [150_000]
+    used.clear()
+    out = [*timers.handleExpiredTimer(("k",), mark(200), None)]
+    assert [(r.at, r.n) for df in out for r in df.itertuples()] == [(at(150), 1)] and used == ["times get", "pending get", "pending clear", "times update"]
+
+
 def test_settlement_is_the_same_in_any_order(spark, tmp_path):
     """Two streams in two shuffled orders against the table's join, with errors that have no time of their own."""
     rng = random.Random(5)
